@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, cuckoo, fmindex, mixing, secrets
+from . import chat, cuckoo, fmindex, mixing, quality, secrets, wrappers
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op3_chat_format": chat.query,
+    "op4_html_text": wrappers.query,
     "op5_exact_dedup": cuckoo.query,
     "op6_source_mix": mixing.query,
     "op8_secret_scan": secrets.query,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 SQL = {
     "op3_chat_format": chat.SQL,
+    "op4_html_text": wrappers.SQL,
     "op5_exact_dedup": cuckoo.SQL,
     "op6_source_mix": mixing.SQL,
     "op8_secret_scan": secrets.SQL,
