@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cuckoo, fmindex, mixing, quality, secrets, wrappers
+from . import chat, cuckoo, fmindex, mixing, ngram_join, quality, secrets, wrappers
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_html_text": wrappers.query,
     "op5_exact_dedup": cuckoo.query,
     "op6_source_mix": mixing.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_secret_scan": secrets.query,
     "op10_decontaminate": fmindex.query,
 }
