@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, cuckoo, fmindex, mixing, ngram_join, quality, secrets, wrappers
+from . import chat, cuckoo, fmindex, mixing, ngram_join, quality, secrets, sharding, wrappers
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_sharding": sharding.query,
     "op3_chat_format": chat.query,
     "op4_html_text": wrappers.query,
     "op5_exact_dedup": cuckoo.query,
