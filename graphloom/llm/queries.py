@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cuckoo, fmindex, mixing, ngram_join, quality, secrets, sharding, wrappers
+from . import chat, cuckoo, fmindex, mixing, ngram_join, quality, secrets, sharding, suffix, wrappers
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_source_mix": mixing.query,
     "op7_ngram_join": ngram_join.query,
     "op8_secret_scan": secrets.query,
+    "op9_suffix_dedup": suffix.query,
     "op10_decontaminate": fmindex.query,
 }
 SQL = {
