@@ -5,8 +5,9 @@ A text's set is its distinct five-word shingles. Two texts link at a Jaccard sim
 1. Every text gives its set's size and a 128-bit fingerprint; equal sets are one node from here on. The same pass
    counts all shingles into a table of fixed size, whose excess over the mean orders frequent shingles last.
 2. Every set sends its prefix (as many shingles as it can't all miss in a partner) to index lists dealt by
-   shingle. Lists are ordered by size; pairs are bounded by size and by position in both sets. A list gives only
-   the edges that connect it, never all its pairs; the components of these edges hold every link.
+   shingle. Lists are ordered by size; pairs are bounded by size and by position in both sets. A list of more than
+   ``SHORT_LIST`` sets is only chained by size, never paired. Pairs of short lists whose parity bitmaps (one bit a
+   hash class) differ in more places than linked sets can are cut. The components of these edges hold every link.
 3. Within a component's sets, leaders are indexed; lists are kept in blocks by position, and a block whose bound
    fails is skipped. A set that links to a leader derives its answers from the leader's: by the triangle
    inequality of the Jaccard distance only a leader within 0.4 can have members that link, and of those only
@@ -34,16 +35,17 @@ from .common import U64, forget, lowered, mix, stored, text_chunks, word_hashes,
 
 WORDS = 5
 PERCENT = 80
-#: Cells of the table of counts; 2^16 cells of 8 bytes are summed over all documents and broadcast.
-CELLS = 1 << 16
+#: Cells of the table of counts (4 bytes each in a task, summed over all documents; one byte each is broadcast).
+CELL_BITS = 20
+CELLS = 1 << CELL_BITS
 #: Bytes of a bucket of index lists and of a bin of sets, about.
-BUCKET_BYTES, BIN_BYTES = 12 << 20, 16 << 20
+BUCKET_BYTES, BIN_BYTES = 12 << 20, 8 << 20
 #: A component whose sets take more than this is compared in a grid of its parts.
-GIANT_BYTES = 96 << 20
+GIANT_BYTES = 24 << 20
 #: Rows of a (doc, set, component) table that are broadcast at most; beyond, texts are shuffled to it.
 BROADCAST_ROWS = 400_000
 #: Lists up to this long are paired under the position bound; longer ones are chained by size.
-SHORT_LIST = 9
+SHORT_LIST = 128
 FLUSH_POSTINGS = 400_000
 
 FOLD = lowered()
@@ -91,16 +93,39 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return sizes, one, two
 
 
+def parities(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap for each set: the parity of its shingles in as many hash classes as the set has shingles, about.
+
+    Two sets differ in at least as many shingles as their bitmaps in bits.
+    """
+    out = []
+    for s in sets:
+        bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+        odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return out
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two parity bitmaps differ, the larger folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """How far a cell's count stands out: 0 for chance, to 15."""
     mean = counts.mean()
     over = (counts - mean) / (8 * math.sqrt(mean) + 8)
-    return np.where(over < 1, 0, np.minimum(15, 1 + np.log2(np.maximum(over, 1)))).astype(U64)
+    return np.where(over < 1, 0, np.minimum(15, 1 + np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
 
 def keyed(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Sorted keys: frequent shingles last, else by hash."""
-    return np.unique((level[(hashes >> U64(48)).astype(np.int64)] << U64(60)) | (hashes >> U64(4)))
+    return np.unique((level[(hashes >> U64(64 - CELL_BITS)).astype(np.int64)].astype(U64) << U64(60)) | (hashes >> U64(4)))
 
 
 def prefix(n: int, percent: int = PERCENT) -> int:
@@ -109,24 +134,27 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, fp, fp2`` a row; rows with ``counts`` hold a task's table of shingle counts instead."""
+    """``doc_id, n, fp, fp2, parity`` a row; rows with ``counts`` hold a task's table of shingle counts instead."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
-        names = ["doc_id", "n", "fp", "fp2", "counts"]
+        counts = np.zeros(CELLS, dtype=np.uint32)
+        names = ["doc_id", "n", "fp", "fp2", "parity", "counts"]
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column(1)):
                 sets = shingle_sets(data, offs)
                 n, one, two = fingerprints(sets)
-                counts += np.bincount((np.concatenate(sets) >> U64(48)).astype(np.int64), minlength=CELLS)
+                counts += np.bincount((np.concatenate(sets) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two), pa.nulls(hi - lo, pa.binary())],
+                    [
+                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two),
+                        pa.array(parities(sets), pa.binary()), pa.nulls(hi - lo, pa.binary()),
+                    ],
                     names,
                 )
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([counts.tobytes()], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(own, "doc_id long, n long, fp long, fp2 long, counts binary")
+    return docs.mapInArrow(own, "doc_id long, n long, fp long, fp2 long, parity binary, counts binary")
 
 
 def total_counts(measured: DataFrame) -> np.ndarray:
@@ -135,8 +163,8 @@ def total_counts(measured: DataFrame) -> np.ndarray:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for x in batch["counts"]:
-                total += np.frombuffer(x, dtype=np.int64)
+            for x in batch.pop("counts"):
+                total += np.frombuffer(x, dtype=np.uint32)
         yield pd.DataFrame({"counts": [total.tobytes()]})
 
     parts = measured.where(F.col("counts").isNotNull()).select("counts").repartition(16).mapInPandas(fold, "counts binary")
@@ -200,36 +228,67 @@ def connect(group: pa.Table) -> pa.Table:
     run = np.cumsum(np.append(True, flat["key"][1:] != flat["key"][:-1])) if len(flat) else np.empty(0, np.int64)
     length = np.bincount(run)[run] if len(flat) else run
     n, pos = flat["n"].astype(np.int64), flat["at"].astype(np.int64)
-    found = []
+    found = [np.empty((0, 3), np.int64)]
+    left = np.arange(len(flat))
     for lag in range(1, SHORT_LIST):
-        if lag >= len(flat):
+        # entries whose list goes on for so many more, and whose partner isn't too large; partners only grow
+        left = left[left + lag < len(flat)]
+        left = left[run[left] == run[left + lag]]
+        left = left[100 * n[left] >= PERCENT * n[left + lag]]
+        if not len(left):
             break
-        a, b = slice(0, len(flat) - lag), slice(lag, len(flat))
-        ok = (run[a] == run[b]) & (100 * n[a] >= PERCENT * n[b])
-        need = -(-PERCENT * (n[a] + n[b]) // (100 + PERCENT))
-        bound = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
-        ok &= np.where(length[a] <= SHORT_LIST, bound, lag == 1)
-        found.append(np.stack([flat["fp"][a][ok], flat["fp"][b][ok]], 1))
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), np.int64)
-    return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
+        right = left + lag
+        need = -(-PERCENT * (n[left] + n[right]) // (100 + PERCENT))
+        bound = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need
+        ok = np.where(length[left] <= SHORT_LIST, bound, lag == 1)
+        a, b = flat["fp"][left[ok]], flat["fp"][right[ok]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), (length[left[ok]] > SHORT_LIST).astype(np.int64)], 1))
+        if lag == 1:
+            left = left[length[left] <= SHORT_LIST]
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))[: len(pairs)]]
+    return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1], "chain": pairs[:, 2]})
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cuts the pairs that are no chain and whose bitmaps are too far apart for a link."""
+    ends = [nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("src", "dst")]
+    both = pairs.groupBy("src", "dst").agg(F.max("chain").alias("chain")).join(ends[0], "src").join(ends[1], "dst")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst, chain, n, m, p, q = (batch.column(i) for i in range(7))
+            total = n.to_numpy() + m.to_numpy()
+            most = (total - 2 * -(-PERCENT * total // (100 + PERCENT))).tolist()
+            keep = [c or bits_apart(x, y) <= d for c, x, y, d in zip(chain.to_pylist(), p.to_pylist(), q.to_pylist(), most, strict=True)]
+            made = pa.RecordBatch.from_arrays([src, dst], ["src", "dst"])
+            yield made.filter(pa.array([bool(k) for k in keep], pa.bool_()))
+
+    return both.select("src", "dst", "chain", "n_src", "n_dst", "p_src", "p_dst").mapInArrow(own, "src long, dst long")
 
 
 class Blocks:
     """Index lists of leaders, in blocks by position; a block keeps its least position and largest set."""
 
     def __init__(self) -> None:
-        self.lists: dict[int, dict[int, list]] = {}
+        self.lists: dict[int, list[int]] = {}
+        self.widest = 0
 
     def add(self, key: int, at: int, size: int, leader: int) -> None:
-        block = self.lists.setdefault(key, {}).setdefault(at.bit_length(), [at, size, []])
+        self.widest = max(self.widest, at.bit_length())
+        block = self.lists.setdefault(key << 5 | at.bit_length(), [at, size])
         block[0], block[1] = min(block[0], at), max(block[1], size)
-        block[2].append(leader)
+        block.append(leader)
 
     def reach(self, key: int, at: int, size: int, percent: int) -> Iterator[int]:
-        for first, largest, leaders in self.lists.get(key, {}).values():
+        if 100 * (size - at) < percent * size:
+            return
+        for place in range(self.widest + 1):
+            block = self.lists.get(key << 5 | place)
             # the overlap can't exceed what is left of either set
-            if 100 * min(size - at, largest - first) >= percent * size:
-                yield from leaders
+            if block and 100 * (block[1] - block[0]) >= percent * size:
+                yield from block[2:]
 
 
 def local_links(sets: list[np.ndarray]) -> list[int]:
@@ -315,9 +374,11 @@ def join(docs: DataFrame) -> DataFrame:
     shingles = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(shingles * (100 - PERCENT) / 100 * 24 / BUCKET_BYTES) + 1)
     lists = posted(docs, level, buckets).groupBy("bucket")
-    edges = save(lists.applyInArrow(connect, "src long, dst long").distinct(), "candidates")
+    nodes = own.where("n > 0").groupBy("fp").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("parity").alias("parity")
+    )
+    edges = save(plausible(lists.applyInArrow(connect, "src long, dst long, chain long"), nodes), "candidates")
     blocks = components(edges, save).select(F.col("id").alias("fp"), F.col("component").alias("block"))
-    nodes = own.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     wanted = save(nodes.join(blocks, "fp").select("fp", "block", "doc_id", "n"), "wanted")
     sized = wanted.groupBy("block").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"))
     some = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n") * 8 + 64), F.lit(0)).alias("bytes")).first()
@@ -368,7 +429,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked documents: the one with the least doc_id. Rows without words all stay."""
     found = join(docs.select("doc_id", "text"))
     rest = found.where((F.col("component_id") != F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    rest = stored(rest, "copies")
+    small = rest.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(rest) if small else rest.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
