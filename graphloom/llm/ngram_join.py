@@ -157,18 +157,25 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(own, "doc_id long, n long, fp long, fp2 long, parity binary, counts binary")
 
 
-def total_counts(measured: DataFrame) -> np.ndarray:
-    """The sum of the tasks' tables: folded in 16 tasks, 16 tables of fixed size reach the driver."""
+def standing_out(measured: DataFrame) -> np.ndarray:
+    """The level of each cell of the summed tables: 16 tasks fold the tasks' tables, one the 16; a table of one byte a cell comes back."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS, dtype=np.int64)
+    def summed(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        total = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
-            for x in batch.pop("counts"):
+            for x in batch["counts"]:
                 total += np.frombuffer(x, dtype=np.uint32)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+        return total
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"counts": [summed(batches).tobytes()]})
+
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"levels": [levels(summed(batches)).tobytes()]})
 
-    parts = measured.where(F.col("counts").isNotNull()).select("counts").repartition(16).mapInPandas(fold, "counts binary")
-    return sum((np.frombuffer(r["counts"], dtype=np.int64) for r in parts.collect()), np.zeros(CELLS, dtype=np.int64))
+    tables = measured.where(F.col("counts").isNotNull()).select("counts").repartition(16).mapInPandas(fold, "counts binary")
+    found = tables.repartition(1).mapInPandas(level, "levels binary").first()
+    return np.frombuffer(found["levels"], dtype=np.uint8) if found else np.zeros(CELLS, dtype=np.uint8)
 
 
 def posted(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
@@ -369,7 +376,7 @@ def join(docs: DataFrame) -> DataFrame:
     save = lambda df, name: stored(df, name, done)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = stored(measure(docs), "sets")
-    level = levels(total_counts(measured))
+    level = standing_out(measured)
     own = measured.where(F.col("counts").isNull()).drop("counts")
     shingles = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(shingles * (100 - PERCENT) / 100 * 24 / BUCKET_BYTES) + 1)
