@@ -316,41 +316,58 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return copies.unionByName(dealt.groupBy("bin").applyInArrow(repeats, "doc long, start long, end long"))
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """``doc, spans``: the spans of each document in order, those that meet or overlap as one."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
+        if not parts:
+            return
+        doc, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        o = np.lexsort((start, doc))
+        doc, start, end = doc[o], start[o], end[o]
+        fresh = np.append(True, doc[1:] != doc[:-1])
+        base = np.cumsum(fresh) << 40  # texts are shorter than that
+        reach = np.maximum.accumulate(end + base)
+        cut = np.flatnonzero(np.append(True, (start + base)[1:] > reach[:-1]))
+        last = np.append(cut[1:], len(doc)) - 1
+        doc, start, end = doc[cut], start[cut], (reach - base)[last]
+        edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        cells = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)).astype(np.int32)), cells)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[edge]), lists], ["doc", "spans"])
+
+    return found.repartition("doc").mapInArrow(own, "doc long, spans array<struct<start:bigint,end:bigint>>")
+
+
 def cut(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, spans array<struct<start,end>>`` for every row: merged spans that go."""
+    """``doc_id, text, spans array<struct<start,end>>`` for every row: the spans that go, in order and apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(repeated_spans(docs), "spans")
-    listed = found.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    listed = merged(repeated_spans(docs))
     return with_documents(docs, listed, F.size("spans"), "left").select("doc_id", "text", "spans")
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
-                merged: list[list[int]] = []
-                for s in spans or ():
-                    if s["end"] > len(raw):
-                        continue
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["start"], s["end"]])
+                own = [(x["start"], x["end"]) for x in spans or () if x["end"] <= len(raw)]
                 sha, last = hashlib.sha256(), 0
-                for a, b in merged:
+                for a, b in own:
                     sha.update(raw[last:a])
                     last = b
                 sha.update(raw[last:])
-                out.append((len(raw), sum(b - a for a, b in merged), len(merged), sha.hexdigest()))
+                out.append((len(raw), sum(b - a for a, b in own), len(own), sha.hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return rows.mapInArrow(own, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(hashed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
