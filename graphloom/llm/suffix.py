@@ -32,7 +32,7 @@ from .common import BYTE_CODE, U64, mix, powers, stored, text_chunks
 from .winnow import GRAM, PLACE_BITS, SPAN, WIDE, runs
 
 #: Bytes of a bucket of runs, of a bin of run texts (about), and rows and items of a broadcast table at most.
-BUCKET_BYTES, BIN_BYTES = 12 << 20, 3 << 20
+BUCKET_BYTES, BIN_BYTES = 12 << 20, 1 << 20
 BROADCAST_ROWS, BROADCAST_ITEMS = 400_000, 4_000_000
 FLUSH_RUNS = 400_000
 #: Bytes that UTF-8 never holds: between runs, and at the end of a shard.
