@@ -6,16 +6,20 @@ megabytes, so that a worker's memory does not depend on the partition or the bat
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from graphloom.storage import forget, shared_path, stored
+
+__all__ = ["forget", "shared_path", "stored"]
 
 #: Bytes of text that one vectorised step handles at most (a single longer text is one step).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
 U64 = np.uint64
 MASK = (1 << 64) - 1
 #: Odd base of the polynomial word hash and its inverse modulo 2^64.
@@ -24,40 +28,11 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the setting is missing, as in tests on one machine, a temporary folder stands in.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = tempfile.mkdtemp(prefix="graphloom-")
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    if kept is not None:
-        kept.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, paths: list[str]) -> None:
-    """Removes stored tables that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    paths.clear()
+def lean_batches(spark: SparkSession) -> None:
+    """Texts reach Python in Arrow batches of ``BATCH_ROWS`` rows, unless the session has its own size: a worker then holds a few megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

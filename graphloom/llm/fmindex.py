@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lowered, text_chunks, word_hashes, word_spans
+from .common import U64, lean_batches, lowered, text_chunks, word_hashes, word_spans
 
 WINDOW = 10
 #: Every so many suffix positions one is kept, for locating.
@@ -172,9 +172,13 @@ def shard_hits(bench: Benchmark, ids: np.ndarray, word_doc: np.ndarray) -> tuple
     return phrase, origin[index.locate(rows)]
 
 
-def annotate(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame:
-    """Adds ``n_words, n_hit, items array<string>, spans array<struct<start,end>>`` (UTF-8 byte spans to remove)."""
+def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool = False) -> DataFrame:
+    """Adds ``n_words, n_hit, items array<string>, spans array<struct<start,end>>`` (UTF-8 byte spans to remove).
+
+    With ``cut`` the spans are also taken out of the text.
+    """
     spark = docs.sparkSession
+    lean_batches(spark)
     shared = spark.sparkContext.broadcast(bench)
     schema = docs.schema.simpleString()[7:-1]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -182,7 +186,8 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(batch.schema.get_field_index(text))):
+            at = batch.schema.get_field_index(text)
+            for lo, hi, data, offs in text_chunks(batch.column(at)):
                 starts, ends = word_spans(data, offs, IS_WORD)
                 word_doc = np.searchsorted(offs, starts, side="right") - 1
                 phrase, first = shard_hits(b, b.ids(word_hashes(data, starts, IS_WORD, FOLD)), word_doc)
@@ -206,6 +211,8 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text") -> DataFrame
                         spans[d].append({"start": int(starts[w] - offs[d]), "end": int(ends[w] - offs[d])})
                     last = w
                 part = batch.slice(lo, n)
+                if cut and hit.any():
+                    part = part.set_column(at, part.schema.field(at), remove_spans(part.column(at), spans))
                 extra = [
                     pa.array(np.bincount(word_doc, minlength=n).astype(np.int64)),
                     pa.array(n_hit.astype(np.int64)),
@@ -228,10 +235,10 @@ def read_benchmark(benchmark: DataFrame) -> Benchmark:
     return Benchmark([(r["item"], r["text"]) for r in own.collect()])
 
 
-def remove_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def remove_spans(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
     """Cuts byte spans (on character boundaries) out of each text."""
     out = []
-    for text, cuts in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+    for text, cuts in zip(texts.to_pylist(), spans, strict=True):
         if text is None or not cuts:
             out.append(text)
             continue
@@ -245,16 +252,7 @@ def remove_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the removal spans cut out of ``text`` and ``n_chars`` counted anew; no row is dropped."""
-    marked = annotate(docs, read_benchmark(benchmark))
-    schema = marked.schema.simpleString()[7:-1]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.schema.get_field_index("text")
-            clean = remove_spans(batch.column(i), batch.column(batch.schema.get_field_index("spans")))
-            yield batch.set_column(i, batch.schema.field(i), clean)
-
-    out = marked.mapInArrow(cut, schema)
+    out = annotate(docs, read_benchmark(benchmark), cut=True)
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 
-from .common import U64, forget, lowered, mix, stored, text_chunks, word_hashes, word_spans
+from .common import U64, forget, lean_batches, lowered, mix, stored, text_chunks, word_hashes, word_spans
 
 WORDS = 5
 PERCENT = 80
@@ -372,6 +372,7 @@ def joined(group: pa.Table) -> pa.Table:
 def join(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    lean_batches(spark)
     done: list[str] = []
     save = lambda df, name: stored(df, name, done)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

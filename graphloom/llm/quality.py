@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, text_chunks, word_hashes, word_spans
+from .common import U64, lean_batches, text_chunks, word_hashes, word_spans
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -208,6 +208,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> PairwiseGam:
     """Fits the model on labelled rows outside the hold-out."""
+    lean_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
@@ -228,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame) -> PairwiseGam:
 
 def score(docs: DataFrame, model: PairwiseGam) -> DataFrame:
     """``docs`` with a ``score`` (0 to 1) for every row."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, mix, powers, stored, text_chunks
+from .common import BYTE_CODE, U64, lean_batches, mix, powers, stored, text_chunks
 from .winnow import GRAM, PLACE_BITS, SPAN, WIDE, runs
 
 #: Bytes of a bucket of runs, of a bin of run texts (about), and rows and items of a broadcast table at most.
@@ -305,6 +305,7 @@ def with_documents(docs: DataFrame, listed: DataFrame, items, how: str = "inner"
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc, start, end``: byte spans of ``docs`` (doc_id, text) that repeat earlier ones; they may overlap."""
+    lean_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(total * 2 / WIDE * 30 / BUCKET_BYTES) + 1)
     found = stored(posted(docs, buckets).groupBy("bucket").applyInArrow(settle, "doc long, at long, strings int, gram long"), "runs")

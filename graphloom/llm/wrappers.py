@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean_batches, stored
 
 #: Bytes of wrapper labels that are broadcast at most; beyond, pages are joined with them by host.
 BROADCAST_LIMIT = 16 << 20
@@ -385,6 +385,7 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = extract(pages, stored(infer(pages), "wrappers"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
