@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.storage import forget, shared_path, stored
 
@@ -35,6 +36,15 @@ def lean_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def set_aside(docs: DataFrame, made: tuple[str, ...]) -> DataFrame:
+    """Renames the columns that bear a name which an operator makes; :func:`put_back` restores them."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"__own_{c}") if c in made else F.col(f"`{c}`") for c in docs.columns])
+
+
+def put_back(out: DataFrame, columns: list[str], made: tuple[str, ...]) -> DataFrame:
+    return out.select(*[F.col(f"`__own_{c}`").alias(c) if c in made else F.col(f"`{c}`") for c in columns])
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
     if len(_POWERS.get("up", ())) < n:

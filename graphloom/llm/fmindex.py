@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lean_batches, lowered, text_chunks, word_hashes, word_spans
+from .common import U64, lean_batches, lowered, put_back, set_aside, text_chunks, word_hashes, word_spans
 
 WINDOW = 10
 #: Every so many suffix positions one is kept, for locating.
@@ -34,6 +34,10 @@ IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x41:0x5B] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
 
+#: Columns that :func:`annotate` makes; input columns of these names give way.
+MADE = ("n_words", "n_hit", "items", "spans")
+
+
 class WaveletMatrix:
     """Rank of a symbol in any prefix, by one bit vector a level."""
 
@@ -179,6 +183,7 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool =
     """
     spark = docs.sparkSession
     lean_batches(spark)
+    docs = docs.drop(*MADE)
     shared = spark.sparkContext.broadcast(bench)
     schema = docs.schema.simpleString()[7:-1]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -252,11 +257,11 @@ def remove_spans(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the removal spans cut out of ``text`` and ``n_chars`` counted anew; no row is dropped."""
-    out = annotate(docs, read_benchmark(benchmark), cut=True)
+    out = annotate(set_aside(docs, MADE), read_benchmark(benchmark), cut=True)
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars)
-    return out.select(*docs.columns)
+    return put_back(out, docs.columns, MADE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

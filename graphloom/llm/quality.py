@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lean_batches, text_chunks, word_hashes, word_spans
+from .common import U64, lean_batches, put_back, set_aside, text_chunks, word_hashes, word_spans
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -228,7 +228,8 @@ def train(docs: DataFrame, labels: DataFrame) -> PairwiseGam:
 
 
 def score(docs: DataFrame, model: PairwiseGam) -> DataFrame:
-    """``docs`` with a ``score`` (0 to 1) for every row."""
+    """``docs`` with a ``score`` (0 to 1) for every row; an input column of that name gives way."""
+    docs = docs.drop("score")
     lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -245,7 +246,8 @@ def score(docs: DataFrame, model: PairwiseGam) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows whose text scores ``threshold`` or more."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    scored = score(set_aside(docs, ("score",)), train(docs, labels)).where(F.col("score") >= threshold)
+    return put_back(scored, docs.columns, ("score",))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

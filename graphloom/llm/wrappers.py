@@ -358,8 +358,9 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``pages`` with the column ``text``."""
+    """``pages`` with the column ``text``; an input column of that name gives way."""
     spark = pages.sparkSession
+    pages = pages.drop("text")
     names = pages.columns
     size = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length("labels")), F.lit(0)).alias("n")).first()["n"]
     known = None
