@@ -81,9 +81,14 @@ def budgets(leaves: DataFrame, weight: list[Column], total: Column, max_epochs:
     return done.select(*LEVELS, "tokens", "given")
 
 
-def order_key(seed: str) -> Column:
+def leaf_table(rows: DataFrame) -> DataFrame:
+    """The tokens of every leaf, kept: budgets read it once a level."""
+    return stored(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaf")
+
+
+def order_key(seed: str, full: str = "full") -> Column:
     """The leaf's seeded order in its partial epoch."""
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(full).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int, seed: str) -> DataFrame:
@@ -91,8 +96,7 @@ def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int,
 
     The cut is found by descending into ever finer ranges of the key, so no task sorts a whole leaf.
     """
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    given = budgets(leaves, weight, total, max_epochs)
+    given = budgets(leaf_table(rows), weight, total, max_epochs)
     whole = F.floor(F.col("given") + 1e-6).cast("long")
     own = stored(
         given.withColumn("budget", whole)
@@ -114,7 +118,7 @@ def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int,
             .groupBy(*by)
             .agg(F.min_by(F.struct("part", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), "upto").alias("edge"))
         )
-        edge = edge.select(*by, "edge.part", F.col("edge.rest").alias("rest"))
+        edge = stored(edge.select(*by, "edge.part", F.col("edge.rest").alias("rest")), "edge")
         keyed = with_leaf(keyed.drop("rest"), edge).where(part == F.col("part")).drop("part")
     upto = W.Window.partitionBy(*by, F.substring("key", 1, 5)).orderBy("key")
     inside = keyed.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= F.col("rest"))
@@ -130,10 +134,10 @@ def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(leaves) if small else leaves, list(LEVELS))
 
 
-def copies(seed: str) -> Column:
+def copies(seed: str, full: str = "full", cut: str = "cut") -> Column:
     """How often a row is taken; a leaf without a ``cut`` was taken whole."""
-    key = order_key(seed)
-    return (F.col("full") + F.when(F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)).cast("long")
+    key = order_key(seed, full)
+    return (F.col(full) + F.when(F.col(cut).isNotNull() & (key <= F.col(cut)), 1).otherwise(0)).cast("long")
 
 
 def token_rows(docs: DataFrame, domain: Column) -> DataFrame:
@@ -167,18 +171,18 @@ def tempered(docs: DataFrame, seed: str, power: float = 0.9, max_epochs: int = 4
     rows = token_rows(docs, domain_of(F.col("source")))
     weight = [F.pow("tokens", F.lit(power))] * 3
     # a leaf's share is at least (its tokens / all)^power; the budget that gives the largest leaf one epoch is enough
-    shares = budgets(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), weight, F.sum("tokens").cast("double"), 1 << 20)
+    shares = budgets(leaf_table(rows), weight, F.sum("tokens").cast("double"), 1 << 20)
     need = shares.agg(F.max(F.col("tokens") / F.col("given")).alias("need")).first()["need"] or 1.0
     total = F.ceil(F.sum("tokens") * F.lit(float(need)))
     leaves = plan(rows, weight, total, max_epochs, seed)
     own = docs.withColumn("__own", F.coalesce(domain_of(F.col("source")), F.lit("")))
-    keys = leaves.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], "full", "cut")
+    keys = leaves.select(*[F.col(c).alias(f"__{c}") for c in (*LEVELS, "full", "cut")])
     small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     same = (F.col("__own") == F.col("__domain")) & (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (
         F.coalesce("source", F.lit("")) == F.col("__source")
     )
     joined = own.join(F.broadcast(keys) if small else keys, same)
-    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), copies(seed).cast("int")))).select(*docs.columns)
+    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), copies(seed, "__full", "__cut").cast("int")))).select(*docs.columns)
 
 
 def _table(column: str, weights: dict[str, int], other: int) -> str:

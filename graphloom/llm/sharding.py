@@ -13,8 +13,6 @@ A null doc_id is placed like any other. Ties between shards go to the lowest num
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -54,6 +52,7 @@ def tally(state: DataFrame, shards: int) -> list[int]:
 
 
 def as_map(values: list[int]) -> Column:
+    """One number a shard."""
     return F.array(*[F.lit(v) for v in values])
 
 
@@ -83,16 +82,15 @@ def propagate(state: DataFrame, edges: DataFrame, shards: int, quota: int) -> Da
     share = []
     for s in range(shards):
         room = max(0, quota - now[s])
-        row = []
         for step in range(GAINS - 1, -1, -1):
             n = asked.get((s, step), 0)
             take = min(n, room)
-            row.append(take / n if n else 0.0)
+            share.append((s, step, take / n if n else 0.0))
             room -= take
-        share.append(row[::-1])
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in share])
-    lucky = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < F.element_at(F.element_at(table, F.col("to") + 1), F.col("step") + 1) * (1 << 20)
-    return moves.select("node", "rows", F.when(F.col("step").isNotNull() & lucky, F.col("to")).otherwise(F.col("shard")).alias("shard"))
+    # shards times gain steps rows
+    table = state.sparkSession.createDataFrame(share, "to int, step int, share double")
+    lucky = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < F.coalesce("share", F.lit(0.0)) * (1 << 20)
+    return moves.join(F.broadcast(table), ["to", "step"], "left").select("node", "rows", F.when(lucky, F.col("to")).otherwise(F.col("shard")).alias("shard"))
 
 
 def numbered(rows: DataFrame, by: str, order: list[Column], pieces: int, piece: Column, name: str) -> DataFrame:
@@ -143,7 +141,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         filled += free
     over = F.col("rank") >= F.element_at(as_map(target), F.col("shard") + 1)
     place = F.element_at(as_map(surplus), F.col("shard") + 1) + F.col("rank")
-    to = reduce(lambda c, g: F.when((place >= g[0]) & (place < g[1]), F.lit(g[2])).otherwise(c), [g for g in gaps if g[1] > g[0]], F.col("shard"))
+    open_ = [g for g in gaps if g[1] > g[0]] or [(0, 0, 0)]
+    before = F.size(F.filter(as_map([g[0] for g in open_]), lambda x: x <= place))
+    to = F.element_at(as_map([g[2] for g in open_]), F.greatest(before, F.lit(1)))
     final = ranked.select("doc_id", "size", "text_crc32", "node", F.when(over, to).otherwise(F.col("shard")).cast("int").alias("shard"))
     by_hash = F.pmod(F.xxhash64("doc_id", "node"), F.lit(pieces))
     out = numbered(final, "shard", [F.col("node"), F.col("doc_id").asc_nulls_first()], pieces, by_hash, "slot")
