@@ -7,7 +7,8 @@ byte) equals a string that covers it; strings are judged on the input and never
    occurrences of a string lie in runs of one k-gram. Of runs with the same bytes only the first can be news: a map task
    settles its own copies before the shuffle, the k-gram's bucket the rest.
 2. Of k-grams with several different runs, the bytes of each first run are fetched and dealt to bins by k-gram. Runs that
-   share no core of a string with another run of their k-gram can't repeat and are left out.
+   share no core of a string with another run of their k-gram can't repeat and are left out. A k-gram with very many runs
+   is split: a run is cut by the quarter of its strings that the k-gram stands in, and each piece is dealt by that quarter's core.
 3. In a bin the runs form two shards. Each shard's suffixes are sorted once and give its transform; the transforms
    are merged by refining the interleave, two symbols a round, with no suffix sorted again. The blocks that stay
    together through ``SPAN`` symbols are the intervals whose common prefix is long enough: repeated strings.
@@ -35,6 +36,8 @@ from .winnow import GRAM, PLACE_BITS, SPAN, WIDE, runs
 BUCKET_BYTES, BIN_BYTES = 12 << 20, 1 << 20
 BROADCAST_ROWS, BROADCAST_ITEMS = 400_000, 4_000_000
 FLUSH_RUNS = 400_000
+#: A k-gram with more different runs than this is dealt by the cores of its strings too.
+HOT_RUNS = 20_000
 #: Bytes that UTF-8 never holds: between runs, and at the end of a shard.
 BREAK, STOP = 0xFF, 0xFE
 NO_ID = -(1 << 63)
@@ -134,10 +137,10 @@ def settle(group: pa.Table) -> pa.Table:
     )
 
 
-def core_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def core_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each run and each quarter of the k-gram's places in a string: a hash of the bytes all those strings cover.
 
-    Quarters that a run's strings don't reach get a value of their own.
+    Quarters that a run's strings don't reach get a value of their own. Also returns where each run's k-gram starts.
     """
     n = len(data)
     up, down = powers(n + 1)
@@ -154,6 +157,23 @@ def core_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
         ok = (hi <= first + size) & (lo >= first)
         a, b = np.maximum(lo, 0), np.minimum(hi, n)
         out[:, i] = np.where(ok, mix((run[b] - run[a]) * down[a]), mix(np.arange(len(first), dtype=U64) + U64(i << 40)))
+    return out, mark
+
+
+def quarters(body: bytes) -> list[tuple[int, int, int]]:
+    """A run's pieces by the quarter in which its k-gram stands in the strings: (first string, strings, hash of their core).
+
+    Equal strings have the k-gram at the same distance, so they lie in pieces of the same quarter and the same core.
+    """
+    data = np.frombuffer(body, dtype=np.uint8)
+    cores, mark = core_hashes(data, np.array([0]), np.array([len(body)]))
+    strings, place = len(body) - SPAN + 1, int(mark[0])
+    edge = [WIDE * i // 4 for i in range(5)]
+    out = []
+    for i in range(4):
+        low, high = max(0, place - edge[i + 1] + 1), min(strings - 1, place - edge[i])
+        if low <= high:
+            out.append((low, high - low + 1, int(cores[0, i].view(np.int64)) ^ i))
     return out
 
 
@@ -217,7 +237,7 @@ def repeats(group: pa.Table) -> pa.Table:
     data = np.frombuffer(b"".join(body.to_pylist()), dtype=np.uint8)
     size = np.array([len(x.as_py()) for x in body], dtype=np.int64)
     first = np.cumsum(size) - size
-    cores = core_hashes(data, first, size)
+    cores, _ = core_hashes(data, first, size)
     live = np.zeros(len(size), dtype=bool)
     for i in range(4):
         o = np.lexsort((cores[:, i], grams))
@@ -263,13 +283,17 @@ def repeats(group: pa.Table) -> pa.Table:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted runs: ``gram, doc, at, body``."""
-    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "strings", "gram")).alias("runs"))
+    """The bytes of the wanted runs: ``gram, doc, at, body`` and the ``key`` that they are dealt by."""
+    hot = stored(wanted.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_RUNS).select("gram", F.lit(True).alias("hot")), "hot")
+    # there is one such k-gram for HOT_RUNS runs at most
+    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = wanted.join(F.broadcast(hot) if few else hot, "gram", "left")
+    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "strings", "gram", "hot")).alias("runs"))
     rows = with_documents(docs, listed, F.size("runs"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             size = 0
             for key, text, own_runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode()
@@ -277,21 +301,23 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     piece = raw[r["at"] : r["at"] + r["strings"] + SPAN - 1]
                     if len(piece) < r["strings"] + SPAN - 1:
                         continue  # of another row with this doc_id
-                    for col, v in zip(out, (r["gram"], key, r["at"], piece), strict=True):
-                        col.append(v)
-                    size += len(piece)
+                    for low, n, core in quarters(piece) if r["hot"] else ((0, r["strings"], 0),):
+                        part = piece[low : low + n + SPAN - 1]
+                        for col, v in zip(out, (r["gram"], key, r["at"] + low, part, core), strict=True):
+                            col.append(v)
+                        size += len(part)
                 if size > 8 << 20:
                     yield _segments(out)
-                    out, size = [[], [], [], []], 0
+                    out, size = [[], [], [], [], []], 0
             if out[0]:
                 yield _segments(out)
 
-    return rows.select("doc", "text", "runs").mapInArrow(own, "gram long, doc long, at long, body binary")
+    return rows.select("doc", "text", "runs").mapInArrow(own, "gram long, doc long, at long, body binary, key long")
 
 
 def _segments(cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["gram", "doc", "at", "body"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["gram", "doc", "at", "body", "key"])
 
 
 def with_documents(docs: DataFrame, listed: DataFrame, items, how: str = "inner") -> DataFrame:
@@ -313,7 +339,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     wanted = found.where("gram IS NOT NULL")
     size = wanted.agg(F.coalesce(F.sum(F.col("strings") + SPAN), F.lit(0)).alias("n")).first()["n"]
     bins = int(size / BIN_BYTES) + 1
-    dealt = fetch(docs, wanted).withColumn("bin", F.pmod(F.xxhash64("gram"), F.lit(bins)))
+    dealt = fetch(docs, wanted).withColumn("bin", F.pmod(F.xxhash64("gram", "key"), F.lit(bins)))
     return copies.unionByName(dealt.groupBy("bin").applyInArrow(repeats, "doc long, start long, end long"))
 
 

@@ -131,7 +131,7 @@ def repetitive(seed=7):
     return rows + [(100, "ab" * 300), (101, "ab" * 90), (102, "z" * 500), (103, passage[4] * 3), (104, "q" * 99), (105, None), (106, "")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 1, "BIN_BYTES": 5_000}])
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 1, "BIN_BYTES": 5_000}, {"HOT_RUNS": 1, "BIN_BYTES": 2_000}])
 def test_suffix_dedup(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix, name, value)
