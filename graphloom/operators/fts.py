@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import check_stemmer, porter2, stem, tokenize
+from ..storage import stored
 
 #: Characters that documents and queries lose by default (queries keep the wildcards).
 IGNORE = "[0-9!@#$%^&*()_+={}\\[\\]:;<>,.?~\\/\\|'\"`-]+"
@@ -91,9 +92,11 @@ def _postings(docs: DataFrame, columns: list[str], config: FtsConfig) -> DataFra
 
 
 def _indexed(postings: DataFrame, config: FtsConfig) -> FtsIndex:
-    lengths = postings.groupBy("id").agg(F.sum("tf").alias("len"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return FtsIndex(postings, lengths, terms, config)
+    """Postings are kept in ranges of terms, sorted, so that a query's terms prune files and row groups of the scan."""
+    kept = stored(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
+    lengths = stored(kept.groupBy("id").agg(F.sum("tf").alias("len")), "lengths")
+    terms = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return FtsIndex(kept, lengths, terms, config)
 
 
 def build(docs: DataFrame, columns: list[str], config: FtsConfig | None = None) -> FtsIndex:
