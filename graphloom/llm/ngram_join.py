@@ -11,7 +11,8 @@ A text's set is its distinct five-word shingles. Two texts link at a Jaccard sim
 3. Within a component's sets, leaders are indexed; lists are kept in blocks by position, and a block whose bound
    fails is skipped. A set that links to a leader derives its answers from the leader's: by the triangle
    inequality of the Jaccard distance only a leader within 0.4 can have members that link, and of those only
-   the ones far enough from it are compared.
+   the ones far enough from it are compared. A component too large for a task is dealt in parts; then the parts'
+   leaders meet, and only members of leaders whose distance leaves a link open are compared across parts.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a text of fewer than five words is one shingle, one without
 words has an empty set and links with nothing. Null texts count as empty, null doc_ids are ignored in a component's least id. Rows that repeat
@@ -40,7 +41,7 @@ CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 #: Bytes of a bucket of index lists and of a bin of sets, about.
 BUCKET_BYTES, BIN_BYTES = 12 << 20, 8 << 20
-#: A component whose sets take more than this is compared in a grid of its parts.
+#: A component whose sets take more than this is compared in parts, then by the parts' leaders.
 GIANT_BYTES = 24 << 20
 #: Rows of a (doc, set, component) table that are broadcast at most; beyond, texts are shuffled to it.
 BROADCAST_ROWS = 400_000
@@ -298,10 +299,23 @@ class Blocks:
                 yield from block[2:]
 
 
-def local_links(sets: list[np.ndarray]) -> list[int]:
-    """Index of a root for each set: sets that links connect have the same. Exact; see the module's step 3."""
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Keys that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def local_links(sets: list[np.ndarray]) -> tuple[list[int], list[tuple[int, float]]]:
+    """Index of a root for each set (sets that links connect have the same), and its leader with the distance to it.
+
+    Exact; see the module's step 3. Every member of a leader links to it.
+    """
     near = 2 * PERCENT - 100  # a leader at this similarity can have members that link
     root = list(range(len(sets)))
+    led = [(i, 0.0) for i in range(len(sets))]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -309,12 +323,6 @@ def local_links(sets: list[np.ndarray]) -> list[int]:
             x = root[x]
         return x
 
-    def common(x: int, y: int) -> int:
-        a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        return int((b[at] == a).sum())
-
     index = Blocks()
     members: dict[int, list[tuple[float, int]]] = {}
     for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
@@ -325,7 +333,7 @@ def local_links(sets: list[np.ndarray]) -> list[int]:
         leaders = {y for at, key in enumerate(first) for y in index.reach(key, at, n, near) if 100 * len(sets[y]) >= near * n}
         best, open_ = None, []
         for y in leaders:
-            both = common(x, y)
+            both = common(sets[x], sets[y])
             union = n + len(sets[y]) - both
             distance = 1 - both / union
             if 100 * both >= PERCENT * union:
@@ -340,33 +348,86 @@ def local_links(sets: list[np.ndarray]) -> list[int]:
                     break  # all members of a leader are connected
                 if own + 1e-9 < distance - (100 - PERCENT) / 100:
                     continue
-                both = common(x, z)
+                both = common(sets[x], sets[z])
                 if 100 * both >= PERCENT * (n + len(sets[z]) - both):
                     root[find(x)] = find(z)
                     break
         if best is not None:
             members[best[1]].append((best[0], x))
+            led[x] = (best[1], best[0])
         else:
             members[x] = []
             for at, key in enumerate(first):
                 index.add(key, at, n, x)
-    return [find(x) for x in range(len(sets))]
+    return [find(x) for x in range(len(sets))], led
 
 
-def joined(group: pa.Table) -> pa.Table:
-    """Links of the sets of each component in a bin: ``src`` (set), ``dst`` (its root's set)."""
+def open_leaders(sets: list[np.ndarray], parts: list[int], radius: list[float]) -> list[tuple[int, int, float | None]]:
+    """Pairs of leaders of different parts that link (distance None), or whose members may: (one, other, distance)."""
+    slack = (100 - PERCENT) / 100
+    near = 100 - 3 * (100 - PERCENT)  # beyond it no members can link, as none is farther than a link from its leader
+    index, out = Blocks(), []
+    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n = len(sets[x])
+        first = sets[x][: prefix(n, near)].tolist()
+        for y in {y for at, key in enumerate(first) for y in index.reach(key, at, n, near)}:
+            if parts[x] == parts[y] or 100 * len(sets[y]) < near * n:
+                continue
+            both = common(sets[x], sets[y])
+            union = n + len(sets[y]) - both
+            distance = 1 - both / union
+            if 100 * both >= PERCENT * union:
+                out.append((x, y, None))
+            elif distance <= slack + radius[x] + radius[y] + 1e-9:
+                out.append((x, y, distance))
+        for at, key in enumerate(first):
+            index.add(key, at, n, x)
+    return out
+
+
+def by_block(group: pa.Table) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """For each component in a bin: rows, sets' names and keys; rows that repeat count once."""
     blocks, fps = group.column("block").to_numpy(), group.column("fp").to_numpy()
     cells = group.column("keys").to_pylist()
-    src, dst = [], []
     for rows in np.split(order := np.argsort(blocks, kind="stable"), np.flatnonzero(np.diff(blocks[order])) + 1):
-        own = dict(zip(fps[rows].tolist(), rows.tolist(), strict=True))  # rows that repeat count once
+        own = dict(zip(fps[rows].tolist(), rows.tolist(), strict=True))
         ids = sorted(own)
-        roots = local_links([np.frombuffer(cells[own[f]], dtype=U64) for f in ids])
-        for i, r in enumerate(roots):
+        yield [own[f] for f in ids], ids, [np.frombuffer(cells[own[f]], dtype=U64) for f in ids]
+
+
+LINK = "src long, dst long, apart double, block long, part int"
+
+
+def links_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32())
+    cols = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(LINK.split(", "), cols, kinds, strict=True)})
+
+
+def joined(group: pa.Table) -> pa.Table:
+    """Links of the sets of each component in a bin: ``src`` (set), ``dst`` (its root's set).
+
+    For sets of a part also ``src`` (set), ``dst`` (its leader), ``apart``, ``block`` and ``part``.
+    """
+    parts, out = group.column("part").to_pylist(), []
+    blocks = group.column("block").to_pylist()
+    for rows, ids, sets in by_block(group):
+        roots, led = local_links(sets)
+        for i, (r, (leader, apart)) in enumerate(zip(roots, led, strict=True)):
             if r != i:
-                src.append(ids[i])
-                dst.append(ids[r])
-    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+                out.append((ids[i], ids[r], None, None, None))
+            if parts[rows[i]] is not None:
+                out.append((ids[i], ids[leader], apart, blocks[rows[i]], parts[rows[i]]))
+    return links_table(out)
+
+
+def met(group: pa.Table) -> pa.Table:
+    """Leaders of a component that link across parts, or (with ``apart``) whose members may."""
+    parts, radius, out = group.column("part").to_pylist(), group.column("radius").to_pylist(), []
+    for rows, ids, sets in by_block(group):
+        for x, y, apart in open_leaders(sets, [parts[r] for r in rows], [radius[r] for r in rows]):
+            out.append((ids[x], ids[y], apart, None, None))
+    return links_table(out)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -391,17 +452,20 @@ def join(docs: DataFrame) -> DataFrame:
     sized = wanted.groupBy("block").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"))
     some = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n") * 8 + 64), F.lit(0)).alias("bytes")).first()
     giant = save(sized.where(F.col("bytes") > GIANT_BYTES), "giants")
-    parts = F.ceil(F.col("bytes") / (GIANT_BYTES // 2)).cast("int")
-    wanted = wanted.join(giant.select("block", parts.alias("parts")), "block", "left")
-    fetched = fetch(docs, wanted, level, some["rows"] <= BROADCAST_ROWS)
-    bins = int(some["bytes"] / BIN_BYTES) + 1
-    # a giant component's parts meet pairwise: cell (i, j) holds the parts i and j
-    cell = F.expr("CASE WHEN parts IS NULL THEN array(0L) ELSE transform(sequence(0, parts - 1), p -> least(p, pmod(fp, parts)) * 1000003L + greatest(p, pmod(fp, parts)) + 1) END")
-    dealt = fetched.withColumn("cell", F.explode(cell)).withColumn(
-        "bin", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.xxhash64("block", "cell"))
+    n_parts = F.ceil(F.col("bytes") / (GIANT_BYTES // 2)).cast("int")
+    some_giant = bool(giant.limit(1).count())
+    dealt = wanted.join(giant.select("block", n_parts.alias("parts")), "block", "left").select(
+        "doc_id", "fp", "block", F.pmod("fp", F.col("parts")).cast("int").alias("part")
     )
-    links = save(dealt.select("bin", "block", "fp", "keys").groupBy("bin").applyInArrow(joined, "src long, dst long"), "links")
-    roots = components(links, save) if giant.limit(1).count() else links.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    bins = int(some["bytes"] / BIN_BYTES) + 1
+    own_bin = F.when(F.col("part").isNull(), F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.xxhash64("block", "part"))
+    fetched = fetch(docs, dealt, level).withColumn("bin", own_bin)
+    links = save(fetched.groupBy("bin").applyInArrow(joined, LINK), "links")
+    if some_giant:
+        links = save(across_parts(docs, wanted, links, level, save), "all_links")
+        roots = components(links, save)
+    else:
+        roots = links.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     # sets of one text alone answer for themselves; only groups of equal sets and linked sets are joined back
     whole = nodes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     shared = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
@@ -414,23 +478,57 @@ def join(docs: DataFrame) -> DataFrame:
     return out
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, level: np.ndarray, small: bool) -> DataFrame:
-    """The sets of the wanted documents: ``fp, block, parts, keys``. A counted small table is broadcast to the texts."""
+def across_parts(docs: DataFrame, wanted: DataFrame, links: DataFrame, level: np.ndarray, save) -> DataFrame:
+    """``src, dst``: the links within parts, and those that connect the parts of components too large for a task."""
+    inner = links.where("apart IS NULL").select("src", "dst")
+    members = links.where("apart IS NOT NULL").select(F.col("src").alias("fp"), F.col("dst").alias("leader"), "apart", "block", "part")
+    leaders = save(members.groupBy("leader", "block", "part").agg(F.max("apart").alias("radius")).withColumnRenamed("leader", "fp"), "leaders")
+    own = leaders.join(wanted.select("fp", "doc_id", "n"), "fp")
+    size = own.groupBy("block").agg((F.ceil(F.sum(F.col("n") * 8 + 64) / GIANT_BYTES)).cast("int").alias("cells"))
+    # leaders are few where sets are alike; where they still fill several tasks, their shares meet pairwise
+    share = F.pmod(F.xxhash64("fp"), F.col("cells"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.least(c, share).alias("a"), F.greatest(c, share).alias("b")))
+    spread = own.join(size, "block").withColumn("cell", F.explode(F.array_distinct(pair)))
+    spread = spread.select("doc_id", "fp", "block", "part", "radius", F.xxhash64("block", "cell").alias("bin"))
+    between = save(fetch(docs, spread, level).groupBy("bin").applyInArrow(met, LINK), "between")
+    known = inner.unionByName(between.where("apart IS NULL").select("src", "dst"))
+    roots = components(known, save)
+    left = between.where("apart IS NOT NULL").select("src", "dst", "apart").distinct()
+    for c in ("src", "dst"):
+        left = left.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"r_{c}")), c, "left")
+        left = left.join(leaders.select(F.col("fp").alias(c), F.col("radius").alias(f"radius_{c}")), c)
+    left = left.where(F.coalesce("r_src", "src") != F.coalesce("r_dst", "dst"))
+    left = save(left.select("src", "dst", "apart", "radius_src", "radius_dst", F.xxhash64("src", "dst").alias("block")), "open")
+    sides = []
+    for mine, other in (("src", "dst"), ("dst", "src")):
+        reach = left.select(F.col(mine).alias("leader"), "block", (F.col("apart") - (100 - PERCENT) / 100 - F.col(f"radius_{other}") - 1e-9).alias("least"))
+        sides.append(members.select("fp", "leader", "apart").join(reach, "leader").where(F.col("apart") >= F.col("least")).select("fp", "block"))
+    asked = sides[0].unionByName(sides[1]).distinct().join(wanted.select("fp", "doc_id"), "fp")
+    asked = asked.select("doc_id", "fp", "block", F.lit(None).cast("int").alias("part"), F.col("block").alias("bin"))
+    rest = fetch(docs, asked, level).groupBy("bin").applyInArrow(joined, LINK).select("src", "dst")
+    return known.unionByName(rest)
+
+
+def fetch(docs: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
+    """``wanted`` (doc_id, fp and more) with the keys of the sets instead of doc_id; a small counted table is broadcast to the texts, else both are shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    wanted = F.broadcast(wanted) if small else wanted.hint("shuffle_hash")
-    rows = docs.join(wanted, "doc_id").select("fp", "block", "parts", "text")
+    wanted = stored(wanted, "fetched")
+    columns = ["fp", *[c for c in wanted.columns if c not in ("fp", "doc_id")]]
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc_id").select(*columns, "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(3)):
+            for lo, hi, data, offs in text_chunks(batch.column(len(columns))):
                 sets = shingle_sets(data, offs)
                 _, one, _ = fingerprints(sets)
                 part = batch.slice(lo, hi - lo)
                 cells = [keyed(s, shared.value).tobytes() for s in sets]
-                made = pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cells, pa.binary())], ["fp", "block", "parts", "keys"])
+                made = pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(cells, pa.binary())], [*columns, "keys"])
                 yield made.filter(pa.array(one == part.column(0).to_numpy()))  # a doc_id that repeats may have other texts
 
-    return rows.mapInArrow(own, "fp long, block long, parts int, keys binary")
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.mapInArrow(own, f"{kinds}, keys binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def near_copies(n=150, seed=1):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHORT_LIST": 3}, {"GIANT_BYTES": 4_000, "SHORT_LIST": 3}, {"BROADCAST_ROWS": 1}])
+@pytest.mark.parametrize("limits", [{}, {"SHORT_LIST": 3}, {"GIANT_BYTES": 4_000, "SHORT_LIST": 3}, {"GIANT_BYTES": 3_000, "SHORT_LIST": 2, "BROADCAST_ROWS": 1}, {"BROADCAST_ROWS": 1}])
 def test_ngram_join(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(ngram_join, name, value)
@@ -90,7 +90,10 @@ def test_local_links_match_all_pairs():
             s = pool[rng.integers(3)].copy()
             s[rng.integers(0, len(s), rng.integers(0, 12))] = rng.integers(400, 1000, 1)
             sets.append(np.unique(s))
-        got = ngram_join.local_links(sets)
+        got, led = ngram_join.local_links(sets)
+        for i, (leader, apart) in enumerate(led):
+            both = len(np.intersect1d(sets[i], sets[leader]))
+            assert apart <= 0.2 + 1e-9 and abs(1 - both / len(np.union1d(sets[i], sets[leader])) - apart) < 1e-9
         root = list(range(40))
         for i in range(40):
             for j in range(i):
