@@ -147,19 +147,21 @@ class Parser:
             if self.take("%"):
                 return lambda x: True
             n = self.name()
-            return lambda x: x == n
+            f = lambda x: x == n
+            f.only = n
+            return f
 
         def both() -> Callable[[str], bool]:
             f = [atom()]
             while self.take("&"):
                 f.append(atom())
-            return lambda x: all(g(x) for g in f)
+            return f[0] if len(f) == 1 else lambda x: all(g(x) for g in f)
 
         def either() -> Callable[[str], bool]:
             f = [both()]
             while self.take("|"):
                 f.append(both())
-            return lambda x: any(g(x) for g in f)
+            return f[0] if len(f) == 1 else lambda x: any(g(x) for g in f)
 
         return either()
 
@@ -693,6 +695,9 @@ class GqlSession:
         for x in items:
             if isinstance(x, Node) and not (df is not None and x.var in df.columns):
                 label = next((n for n in self.catalogue.node_tables if x.label and x.label(n)), None)
+                if self._open() and getattr(x.label, "only", None):
+                    known[x.var] = self._insert_open(x, base)
+                    continue
                 if label is None:
                     raise GqlError("no node table has such a label")
                 own = self.catalogue.node_tables[label]
@@ -704,6 +709,12 @@ class GqlSession:
             ends = []
             for n in (a, b) if e.way != "<" else (b, a):
                 ends.append((F.expr(known[n.var][1]), known[n.var][0]) if n.var in known else (F.col(f"{n.var}.id"), None))
+            only = getattr(e.label, "only", None)
+            if self._open() and only and only not in self.catalogue.edge_tables:
+                labels = [label or base.select(f"{n.var}._label").first()[0] for (_, label), n in zip(ends, (a, b) if e.way != "<" else (b, a), strict=True)]
+                row = base.select(ends[0][0].cast("long").alias("src"), ends[1][0].cast("long").alias("dst"), *[F.expr(v).alias(k) for k, v in e.props.items()])
+                self.catalogue.edge_tables[only] = [(*labels, stored(row, "edges"))]
+                continue
             for label, pairs in self.catalogue.edge_tables.items():
                 if e.label and e.label(label):
                     for i, (s, t, own) in enumerate(pairs):
@@ -713,6 +724,26 @@ class GqlSession:
                             pairs[i] = (s, t, stored(own.unionByName(row), "edges"))
                             break
 
+    def _open(self) -> bool:
+        """Whether the graph in use takes any label and property."""
+        return next((self.types.get(n) for n, g in self.graphs.items() if g is self.catalogue), None) == "ANY"
+
+    def _insert_open(self, x: Node, base: DataFrame) -> tuple[str, str]:
+        """A node of an open graph: its table and columns come into being with it; without an id it gets the next one."""
+        label, own = x.label.only, self.catalogue.node_tables.get(x.label.only)
+        key = x.props.get("id")
+        if key is None:
+            last = own.agg(F.max("id").alias("id")).first()["id"] if own is not None else None
+            key = f"{(last or 0) + 1}L"
+        row = base.limit(1).select(F.expr(key).cast("long").alias("id"), *[F.expr(v).alias(k) for k, v in x.props.items() if k != "id"])
+        if own is not None:
+            for c in set(row.columns) & set(own.columns):
+                if row.schema[c].dataType != own.schema[c].dataType:  # values of several types are kept as text
+                    row, own = row.withColumn(c, F.col(c).cast("string")), own.withColumn(c, F.col(c).cast("string"))
+            row = own.unionByName(row, allowMissingColumns=True)
+        self.catalogue.node_tables[label] = stored(row, "nodes")
+        return label, key
+
     def _update(self, df: DataFrame, changes: dict[tuple[str, str], str]) -> None:
         """All right-hand sides are read before any change, so the order of items says nothing."""
         for var in {v for v, _ in changes}:

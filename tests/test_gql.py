@@ -68,6 +68,10 @@ def test_catalogue(session):
     session.run("CREATE SCHEMA /a/b")
     assert session.schemas() == ["/", "/a/b"]
     session.run("SESSION SET GRAPH g")
+    session.run("INSERT (a:\"My Label\" {name: 'x'})-[:TIES {w: 2}]->(b:Other {size: 1})")
+    session.run("INSERT (a:Other {size: 'large', more: 1.5})")
+    assert rows(session, "MATCH (a)-[t:TIES]->(b:Other) RETURN a.name, t.w, b.size") == [("x", 2, "1")]
+    assert rows(session, "MATCH (b:Other) RETURN b.id, b.size, b.more ORDER BY b.id")[1][:2] == (2, "large")
     session.run("DROP GRAPH g")
 
 
