@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 #: Patterns as (kind, head, value, least code points of the whole match, of the value).
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)""", "([A-Za-z0-9+/_.=-]+)", 0, 6),
-    ("access", "(AKIA)", "([A-Z0-9]+)", 20, 0),
-    ("hex", "()", "([0-9a-f]+)", 24, 0),
+    # the least length is part of these two: a shorter run holds no match, and a longer one is taken whole either way
+    ("access", "(AKIA)", "([A-Z0-9]{16,})", 20, 0),
+    ("hex", "()", "([0-9a-f]{24,})", 24, 0),
 )
 WEAK = (
     ("ident", r"""((?i:client_?id|user_?name|login|account_?id|key_?id)["']?\x20*[:=]\x20*["']?)""", "([A-Za-z0-9@._-]+)", 0, 3),
