@@ -11,8 +11,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from graphloom.llm import fmindex, ngram_join, quality, sharding, suffix
+from graphloom.llm import fmindex, ngram_join, quality, secrets, sharding, suffix
 from graphloom.llm.queries import QUERIES, SQL
 
 from ..oracle import DATA, here, rows_of, rows_of_sql
@@ -233,3 +235,24 @@ def test_pipeline(spark, docs):
             sizes = Counter(r["shard"] for r in after.collect())
             assert sum(sizes.values()) == before.count() and max(sizes.values()) - min(sizes.values()) <= 1
         before = after
+
+
+def secrets_of(text):
+    """The contract's base spans by Python's own engine, failing matches dropped."""
+    kinds = (
+        ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    found = [(m.start(), i, m.end()) for i, (_, p, good) in enumerate(kinds) for m in re.finditer(p, text) if good(m)]
+    return [f"{kinds[i][0]}:{a}:{b}" for a, i, b in sorted(found)]
+
+
+def test_secret_spans_match_the_contract(spark, docs):
+    rng = random.Random(11)
+    bits = ["password", "API_KEY", "token", "secret", "'", '"', " : ", "=", " = ", "AKIA", "abc", "ABCDEFGH", "0af3" * 3, "deadbeef" * 3, "é", "\n", "x", "_-/+=."]
+    rows = docs + [(10_000 + i, "".join(rng.choice(bits) for _ in range(60))) for i in range(200)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["s"] for r in got.select("doc_id", secrets.written(F.col("base_spans")).alias("s")).collect()}
+    assert got == {d: ",".join(secrets_of(t or "")) for d, t in rows}
+    assert sum(map(bool, got.values())) > 100
