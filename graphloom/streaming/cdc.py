@@ -1,7 +1,7 @@
 """Change data capture into versioned snapshots.
 
-A snapshot is a Parquet table below ``<root>/v<n>``; a cursor file names the version and the last batch applied, and is written
-last, so a batch that was interrupted is applied again from the version before it. Upserts come before deletes; the last change of a key wins.
+A snapshot is a Parquet table below ``<root>/v<n>``; the file ``cursor-<n>.json`` names the version and the last batch applied. It is put in place
+last and by one rename, so a batch that was interrupted is applied again from the version before it. Upserts come before deletes; the last change of a key wins.
 """
 
 from __future__ import annotations
@@ -48,11 +48,16 @@ class Snapshot:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def cursor(self) -> dict:
-        path = self._path(f"{self.root}/cursor.json")
-        fs = path.getFileSystem(self._conf)
-        if not fs.exists(path):
+        """The newest cursor."""
+        root = self._path(self.root)
+        fs = root.getFileSystem(self._conf)
+        if not fs.exists(root):
             return {"version": 0, "batch": -1}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/cursor.json").collect()))
+        names = [f.getPath().getName() for f in fs.listStatus(root)]
+        versions = [int(n[7:-5]) for n in names if n.startswith("cursor-") and n.endswith(".json")]
+        if not versions:
+            return {"version": 0, "batch": -1}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/cursor-{max(versions)}.json").collect()))
 
     def read(self) -> DataFrame:
         version = self.cursor()["version"]
@@ -61,16 +66,15 @@ class Snapshot:
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
 
     def replace(self, df: DataFrame, batch: int) -> None:
-        """Writes the next version, then moves the cursor in one rename."""
+        """Writes the next version, then its cursor."""
         version = self.cursor()["version"] + 1
         df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        fresh, path = self._path(f"{self.root}/cursor.next"), self._path(f"{self.root}/cursor.json")
-        fs = path.getFileSystem(self._conf)
+        fresh = self._path(f"{self.root}/next.json")
+        fs = fresh.getFileSystem(self._conf)
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        fs.rename(fresh, self._path(f"{self.root}/cursor-{version}.json"))
 
 
 def sync_stream(changes: DataFrame, snapshot: Snapshot, keys: list[str], checkpoint: str, **trigger):
