@@ -14,8 +14,9 @@ byte) equals a string that covers it; strings are judged on the input and never
    together through ``SPAN`` symbols are the intervals whose common prefix is long enough: repeated strings.
    In each the earliest string stays, the others mark their bytes.
 
-A null text counts as empty. doc_id names a document: rows that repeat it with the same text get the same answer;
-a null doc_id comes before all others. Texts shorter than ``SPAN`` bytes lose nothing. Strings of runs are compared by 64-bit hashes of
+A null text counts as empty. doc_id names a document: rows that repeat it with the same text are one document and get the same answer;
+other texts with that doc_id are documents of their own, in the order of a hash of the text. A null doc_id comes before all others and
+names nothing: each such row is a document, so of equal ones one stays. Texts shorter than ``SPAN`` bytes lose nothing. Strings of runs are compared by 64-bit hashes of
 k-gram and bytes, the merged ones by their bytes. Extra columns are ignored.
 """
 
@@ -40,7 +41,6 @@ FLUSH_RUNS = 400_000
 HOT_RUNS = 20_000
 #: Bytes that UTF-8 never holds: between runs, and at the end of a shard.
 BREAK, STOP = 0xFF, 0xFE
-NO_ID = -(1 << 63)
 FIELDS = (("gram", "<u8"), ("bytes", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("strings", "<u2"))
 
 
@@ -68,6 +68,12 @@ def order_runs(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, gram, gram | np.append(True, b[1:] != b[:-1])[: len(g)]
 
 
+def of_first(c: dict[str, np.ndarray], order: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which runs, in that order, are the first run with their bytes: itself, or the same place of a row that repeats it."""
+    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    return (c["doc"][order] == c["doc"][head]) & (c["at"][order] == c["at"][head])
+
+
 def posted(docs: DataFrame, buckets: int) -> DataFrame:
     """Runs packed by bucket; ``copies`` are those whose bytes an earlier run of the same task has."""
 
@@ -79,12 +85,12 @@ def posted(docs: DataFrame, buckets: int) -> DataFrame:
             c = {k: np.concatenate([h[k] for h in held]) for k, _ in FIELDS}
             order, _, fresh = order_runs(c)
             cells: list[list] = [[], [], []]
-            for column, rows, key in ((1, order[fresh], c["gram"]), (2, order[~fresh], c["doc"].view(U64))):
+            for column, rows, key in ((1, order[fresh], c["gram"]), (2, order[~of_first(c, order, fresh)], c["doc"].view(U64))):
                 rows = np.sort(rows)
                 bucket = (key[rows] % U64(buckets)).astype(np.int32)
                 rows, bucket = rows[o := np.argsort(bucket, kind="stable")], bucket[o]
                 edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True):
+                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)][: len(edge)], strict=True):
                     cells[0].append(bucket[a])
                     cells[column].append(pack(c, rows[a:b]))
                     cells[3 - column].append(None)
@@ -93,7 +99,7 @@ def posted(docs: DataFrame, buckets: int) -> DataFrame:
             )
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            ids = batch.column(0).to_numpy()
             for lo, hi, data, offs in text_chunks(batch.column(1)):
                 c = runs(data, offs)
                 c["doc"] = ids[lo:hi][c.pop("row")]
@@ -106,7 +112,7 @@ def posted(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(own, "bucket int, cells binary, copies binary")
+    return docs.select("doc", "text").mapInArrow(own, "bucket int, cells binary, copies binary")
 
 
 def settle(group: pa.Table) -> pa.Table:
@@ -120,9 +126,7 @@ def settle(group: pa.Table) -> pa.Table:
     # a row that repeats is no copy of itself
     same = np.zeros(len(order), dtype=bool)
     same[1:] = ~fresh[1:] & (c["doc"][order][1:] == c["doc"][order][:-1]) & (c["at"][order][1:] == c["at"][order][:-1])
-    head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    itself = (c["doc"][order] == c["doc"][order][head]) & (c["at"][order] == c["at"][order][head])
-    old = order[~fresh & ~itself & ~same]
+    old = order[~of_first(c, order, fresh) & ~same]
     want = order[first]
     cols = {k: np.concatenate((c[k][want], c[k][old], copies[k])) for k in ("doc", "at", "strings")}
     asked = np.arange(len(cols["doc"])) < len(want)
@@ -320,17 +324,30 @@ def _segments(cols: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["gram", "doc", "at", "body", "key"])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc, doc_id, text``: documents numbered in order; the doc_id itself where all are there and differ."""
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        return docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    # the number of a row without a name must stay the same from here on
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    rows = stored(docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), own.alias("own")), "rows")
+    names = rows.select("doc_id", "hash", "own").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "hash", "own")
+    names = stored(names.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").alias("name"), "hash", "own"), "names")
+    found = rows.join(names, ["hash", "own"]).where(F.col("doc_id").eqNullSafe(F.col("name")))
+    return stored(found.select("doc", "doc_id", "text"), "keyed")
+
+
 def with_documents(docs: DataFrame, listed: DataFrame, items, how: str = "inner") -> DataFrame:
     """Joins a table by document to the texts; it is broadcast if its counted rows and items are few, else both are shuffled."""
     listed = stored(listed, "listed")
     some = listed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(items), F.lit(0)).alias("items")).first()
     small = some["rows"] <= BROADCAST_ROWS and some["items"] <= BROADCAST_ITEMS
-    keyed = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    return keyed.join(F.broadcast(listed) if small else listed.hint("shuffle_hash"), "doc", how)
+    return docs.join(F.broadcast(listed) if small else listed.hint("shuffle_hash"), "doc", how)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc, start, end``: byte spans of ``docs`` (doc_id, text) that repeat earlier ones; they may overlap."""
+    """``doc, start, end``: byte spans of ``docs`` (doc, text) that repeat earlier ones; they may overlap."""
     lean_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(total * 2 / WIDE * 30 / BUCKET_BYTES) + 1)
@@ -370,7 +387,7 @@ def merged(found: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """``doc_id, text, spans array<struct<start,end>>`` for every row: the spans that go, in order and apart."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     listed = merged(repeated_spans(docs))
     return with_documents(docs, listed, F.size("spans"), "left").select("doc_id", "text", "spans")
 

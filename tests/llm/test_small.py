@@ -120,6 +120,22 @@ def test_suffix(odd, none):
     assert suffix.digest(suffix.cut(none)).count() == 0
 
 
+def test_suffix_keeps_rows_that_repeat_and_rows_without_id(spark):
+    a, b, c, d = ("".join(chr(97 + (i * i * k + i // 7 * 5) % 26) + str(i * k) for i in range(120)) for k in (3, 5, 7, 11))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c + c), (None, d + d), (None, "short " + b[:50] + a[:50] + c[:300]), (None, d)]
+    size = lambda x: len(x.encode())
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        cut = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.digest(suffix.cut(docs)).collect()]
+        assert cut.count((1, size(a), 0)) == 2 and (2, size(a), size(a)) in cut
+        assert (3, size(b), 0) in cut
+        # of the unnamed rows one occurrence of d stays, and the text that shares a passage with a later document is whole
+        assert sum(n - gone for i, n, gone in cut if i is None and n in (size(d), 2 * size(d))) in range(size(d), size(d) + 100)
+        assert (None, size(rows[6][1]), 0) in cut
+        same = spark.createDataFrame([(None, a), (None, a)], "doc_id long, text string").repartition(parts)
+        assert sorted(r["n_removed"] for r in suffix.digest(suffix.cut(same)).collect()) == [0, size(a)]
+
+
 def test_fmindex(spark, odd, none):
     items = [("1", "two three four five six seven eight nine ten one two"), ("2", None), ("3", ""), ("4", "émigré 漢字"), ("5", "and there again"), ("5", "and there again")]
     bench = spark.createDataFrame(items, "item_id string, text string")
