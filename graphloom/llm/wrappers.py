@@ -83,7 +83,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def signature(tag: str, source: str) -> str:
     """A container's name with its class, id and role, digits left out."""
     words = sorted({w for m in NAMED.finditer(source) for w in re.sub(r"\d+", "", m[2] or m[3] or m[4] or "").split()})
-    return tag + "".join(f".{w}" for w in words[:8]) if words else tag
+    return tag + "".join(f".{w}" for w in words) if words else tag
 
 
 def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool]]:

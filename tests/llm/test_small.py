@@ -187,6 +187,15 @@ def test_wrappers(spark):
     assert wrappers.extract(pages.limit(0), wrappers.infer(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("word", ["sidebar", "sponsored", "share", "subscribe", "widget"])
+def test_wrappers_read_every_class(spark, word):
+    many = " ".join(f"a-{c}" for c in "bcdefghijk")
+    page = f'<div class="{many} story"><p>kept</p></div><div class="{many} {word}"><p>no</p></div><div>neither</div>'
+    plain = f'<div>kept</div><div class="{many} {word}">no</div>'
+    pages = spark.createDataFrame([("http://a/1", page), ("http://b/1", plain)], "url string, html string")
+    assert [r["text"] for r in wrappers.extract(pages, wrappers.infer(pages)).orderBy("url").collect()] == ["kept", "kept"]
+
+
 def test_wrapper_alignment():
     f = wrappers.fold
     a, b = f("ul li # /li li # /li /ul p # /p".split()), f("ul li # /li /ul h2 # /h2 p # /p p # /p".split())
