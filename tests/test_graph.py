@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.graph import GraphCatalogue, GraphError, ProjectedGraph, register_from_tables
@@ -41,6 +42,19 @@ def test_star_scores(star):
     assert scores(community.core_number(star, True)) == {i: 0.333333 for i in range(4)}
 
 
+def test_eigenvector_matches_dense_power_iteration(spark):
+    rng = random.Random(5)
+    edges = [(0, 1), (1, 2), (2, 0)] + [(rng.randrange(i), i) for i in range(3, 40)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    near = np.zeros((41, 41))  # the last node stands alone
+    for a, b in edges:
+        if a != b:
+            near[a, b] = near[b, a] = 1
+    want = np.abs(np.linalg.eigh(near)[1][:, -1])
+    got = {r[0]: r[1] for r in centrality.eigenvector(graph(spark, 41, edges), 1e-12).collect()}
+    assert len(got) == 41 and max(abs(got[i] - want[i]) for i in range(41)) < 1e-5
+    assert scores(centrality.eigenvector(graph(spark, 2, [(0, 0)]))) == {0: 0, 1: 0}
+
+
 def test_page_rank_counts_its_first_value_and_loses_dangling_mass(spark):
     g = graph(spark, 8, [(0, 1), (0, 2), (3, 4)])
     got = scores(centrality.page_rank(g))
