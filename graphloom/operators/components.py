@@ -2,44 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Save = Callable[[DataFrame, str], DataFrame]
+from ..storage import forget, stored
 
 
-def components(edges: DataFrame, save: Save, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``src, dst`` (long) -> ``id, component``: the least id reachable.
 
-    Every round hooks trees onto the least neighbouring root and then halves the depth of the trees, so rounds
-    grow with the logarithm of a component's diameter. ``save`` stores a table durably and reads it
-    back (lineage stays short, lost executors cost nothing). Minima are combined before each shuffle.
+    Every round each tree hooks onto the least grandparent that a neighbour of one of its nodes has, and paths halve, so
+    rounds grow with the logarithm of a component's diameter; the loop goes on until nothing changes. Each round's parents are
+    stored (lineage stays short, lost executors cost nothing) and replace the last ones. Minima are combined before each shuffle.
     """
-    both = save(
+    spark, held, last = edges.sparkSession, [], []
+    both = stored(
         edges.select("src", "dst").where("src <> dst").union(edges.select(F.col("dst"), F.col("src")).where("src <> dst")).distinct(),
         "edges",
+        held,
     )
-    state = save(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near")).selectExpr("id", "least(id, near) AS parent"), "parents")
-    for _ in range(max_rounds):
-        seen = both.join(state.select(F.col("id").alias("dst"), "parent"), "dst").groupBy(F.col("src").alias("id"))
-        near = state.join(seen.agg(F.min("parent").alias("near")), "id").selectExpr("id", "parent", "least(parent, near) AS near")
-        hook = near.groupBy(F.col("parent").alias("root")).agg(F.min("near").alias("hook"))
-        hooked = near.join(hook.withColumnRenamed("root", "parent"), "parent", "left").selectExpr(
-            "id", "parent AS old", "least(near, hook) AS parent"
-        )
-        own = save(
-            hooked.unionByName(
-                hook.selectExpr("root AS id", "root AS old", "hook AS parent").where("hook < root")
-            ).groupBy("id").agg(F.min("parent").alias("parent"), F.min("old").alias("old")),
-            "hooked",
-        )
-        up = own.select(F.col("id").alias("parent"), F.col("parent").alias("top"))
-        state = save(
-            own.join(up, "parent", "left").selectExpr("id", "least(parent, coalesce(top, parent)) AS parent", "old"), "parents"
-        )
-        if not state.where("parent <> old").limit(1).count():
+    state = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near")).selectExpr("id", "least(id, near) AS parent")
+    state = stored(state, "parents", last)
+    while True:
+        up = state.selectExpr("id AS parent", "parent AS top")
+        halved = state.join(up.hint("merge"), "parent").select("id", "parent", "top")
+        seen = both.join(halved.selectExpr("id AS dst", "top").hint("merge"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("top").alias("near"))
+        best = halved.join(seen.hint("merge"), "id").selectExpr("id", "parent", "least(top, near) AS best")
+        told = best.selectExpr("id", "parent AS old", "best").union(best.selectExpr("parent AS id", "CAST(NULL AS BIGINT) AS old", "best"))
+        now: list[str] = []
+        state = stored(told.groupBy("id").agg(F.min("best").alias("parent"), F.min("old").alias("old")), "parents", now)
+        done = state.where("parent <> old").isEmpty()
+        forget(spark, last)
+        last, state = now, state.select("id", "parent")
+        if done:
             break
-        state = state.select("id", "parent")
+    forget(spark, held)
     return state.select("id", F.col("parent").alias("component"))

@@ -35,7 +35,7 @@ def spanning_forest(graph: ProjectedGraph, variant: str = "min", weight: str | N
         pick = stored(pick.select("a", "e.b", "e.src", "e.dst", "e.rel"), "picked")
         new = pick.select("src", "dst", "rel").distinct()
         taken = new if taken is None else taken.unionByName(new)
-        whole = components(pick.select(F.col("a").alias("src"), F.col("b").alias("dst")), stored)
+        whole = components(pick.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         for c in ("a", "b"):
             top = whole.select(F.col("id").alias(c), F.col("component").alias("top"))
             left = left.join(top, c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
@@ -43,5 +43,5 @@ def spanning_forest(graph: ProjectedGraph, variant: str = "min", weight: str | N
         n += 1
     if taken is None:
         return graph.edges.limit(0).select("rel", "src", "dst", F.col("src").alias("forest_id"))
-    trees = components(taken.select("src", "dst"), stored)
+    trees = components(taken.select("src", "dst"))
     return taken.join(trees.select(F.col("id").alias("src"), F.col("component").alias("forest_id")), "src").select("rel", "src", "dst", "forest_id")

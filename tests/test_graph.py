@@ -93,7 +93,7 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "src long, dst long"), stored).collect()}
+    got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
