@@ -6,9 +6,11 @@ to its siblings first, and leaves the family only if all of them are full (water
 capacities of the subtrees). A leaf gives whole passes and then the prefix of one seeded order
 (MD5 of seed, epoch and doc_id) whose tokens fit the rest of its budget.
 
-Tokens are runs of characters other than blank, tab, line feed and carriage return; a text without any counts as one
-token, so that every row can be placed. Null text, domain, language or source count as
-empty strings. Rows that share a doc_id share their fate; a null doc_id is ordered as the empty string.
+Tokens are runs of characters other than blank, tab, line feed and carriage return; an empty text, or one without any, counts as one
+token, so that every row can be placed. A very long text is counted inside the JVM, and fits a rest only as a whole. Null text, domain,
+language or source count as empty strings. Rows that share a doc_id, repeated rows among them, tie on the key and share their fate; a
+null doc_id is ordered as the empty string. An empty table gives no rows. :func:`tempered` passes extra columns through, whatever
+their names; the query leaves them out.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import stored
+from .common import forget, stored
 
 LEVELS = ("domain", "lang", "source")
 #: Leaf tables up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -81,9 +83,9 @@ def budgets(leaves: DataFrame, weight: list[Column], total: Column, max_epochs:
     return done.select(*LEVELS, "tokens", "given")
 
 
-def leaf_table(rows: DataFrame) -> DataFrame:
+def leaf_table(rows: DataFrame, save=stored) -> DataFrame:
     """The tokens of every leaf, kept: budgets read it once a level."""
-    return stored(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaf")
+    return save(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaf")
 
 
 def order_key(seed: str, full: str = "full") -> Column:
@@ -91,14 +93,18 @@ def order_key(seed: str, full: str = "full") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(full).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int, seed: str) -> DataFrame:
+def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int, seed: str, leaf: DataFrame | None = None) -> DataFrame:
     """``rows``: doc_id, levels, tokens. One row a leaf: whole passes ``full`` and the last key ``cut`` of the partial one.
 
     The cut is found by descending into ever finer ranges of the key, so no task sorts a whole leaf.
     """
-    given = budgets(leaf_table(rows), weight, total, max_epochs)
+    done: list[str] = []
+    save = lambda df, name: stored(df, name, done)
+    leaf = leaf_table(rows, save) if leaf is None else leaf
+    small = few(leaf)
+    given = budgets(leaf, weight, total, max_epochs)
     whole = F.floor(F.col("given") + 1e-6).cast("long")
-    own = stored(
+    own = save(
         given.withColumn("budget", whole)
         .withColumn("full", F.floor(F.col("budget") / F.col("tokens")).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
@@ -106,7 +112,7 @@ def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int,
         "leaves",
     )
     by = list(LEVELS)
-    keyed = with_leaf(rows.select("doc_id", *LEVELS, F.col("tokens").alias("n")), own.select(*LEVELS, "full", "rest"))
+    keyed = with_leaf(rows.select("doc_id", *LEVELS, F.col("tokens").alias("n")), own.select(*LEVELS, "full", "rest"), small)
     keyed = keyed.withColumn("key", order_key(seed))
     for digits in (2, 5):
         part = F.substring("key", 1, digits)
@@ -118,19 +124,25 @@ def plan(rows: DataFrame, weight: list[Column], total: Column, max_epochs: int,
             .groupBy(*by)
             .agg(F.min_by(F.struct("part", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest")), "upto").alias("edge"))
         )
-        edge = stored(edge.select(*by, "edge.part", F.col("edge.rest").alias("rest")), "edge")
-        keyed = with_leaf(keyed.drop("rest"), edge).where(part == F.col("part")).drop("part")
+        edge = save(edge.select(*by, "edge.part", F.col("edge.rest").alias("rest")), "edge")
+        keyed = with_leaf(keyed.drop("rest"), edge, small).where(part == F.col("part")).drop("part")
     upto = W.Window.partitionBy(*by, F.substring("key", 1, 5)).orderBy("key")
     inside = keyed.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") <= F.col("rest"))
     last = inside.groupBy(*by).agg(F.max("key").alias("last"))
     out = own.join(edge.withColumnRenamed("rest", "left"), by, "left").join(last, by, "left")
     # the keys below the edge part, and those in it up to the last that fits
-    return out.withColumn("cut", F.coalesce("last", "part")).select(*LEVELS, "budget", "full", "cut")
+    out = stored(out.withColumn("cut", F.coalesce("last", "part")).select(*LEVELS, "budget", "full", "cut"), "cuts")
+    forget(rows.sparkSession, done)
+    return out
+
+
+def few(leaves: DataFrame) -> bool:
+    """Whether a leaf table may be broadcast, by a count of its rows."""
+    return leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
 
 
-def with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+def with_leaf(rows: DataFrame, leaves: DataFrame, small: bool) -> DataFrame:
     """Joins a leaf table, broadcast only if its counted rows are few."""
-    small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     return rows.join(F.broadcast(leaves) if small else leaves, list(LEVELS))
 
 
@@ -158,7 +170,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = [table_weight("domain", DOMAIN_WEIGHTS, 10), table_weight("lang", LANG_WEIGHTS, 5), F.lit(1)]
     total = F.floor(F.sum("tokens") * BUDGET_PERCENT / 100)
     leaves = plan(rows, weight, total, MAX_EPOCHS, SEED)
-    return with_leaf(rows, leaves).select(
+    return with_leaf(rows, leaves, few(leaves)).select(
         "doc_id", *LEVELS, "tokens", F.col("budget").alias("leaf_budget"), copies(SEED).alias("epochs")
     )
 
@@ -171,13 +183,14 @@ def tempered(docs: DataFrame, seed: str, power: float = 0.9, max_epochs: int = 4
     rows = token_rows(docs, domain_of(F.col("source")))
     weight = [F.pow("tokens", F.lit(power))] * 3
     # a leaf's share is at least (its tokens / all)^power; the budget that gives the largest leaf one epoch is enough
-    shares = budgets(leaf_table(rows), weight, F.sum("tokens").cast("double"), 1 << 20)
+    leaf = leaf_table(rows)
+    shares = budgets(leaf, weight, F.sum("tokens").cast("double"), 1 << 20)
     need = shares.agg(F.max(F.col("tokens") / F.col("given")).alias("need")).first()["need"] or 1.0
     total = F.ceil(F.sum("tokens") * F.lit(float(need)))
-    leaves = plan(rows, weight, total, max_epochs, seed)
+    leaves = plan(rows, weight, total, max_epochs, seed, leaf)
     own = docs.withColumn("__own", F.coalesce(domain_of(F.col("source")), F.lit("")))
     keys = leaves.select(*[F.col(c).alias(f"__{c}") for c in (*LEVELS, "full", "cut")])
-    small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    small = few(leaves)
     same = (F.col("__own") == F.col("__domain")) & (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (
         F.coalesce("source", F.lit("")) == F.col("__source")
     )

@@ -2,11 +2,11 @@
 
 A text's set is its distinct five-word shingles. Two texts link at a Jaccard similarity of 0.8 or more.
 
-1. Every text gives its set's size and a 128-bit fingerprint; equal sets are one node from here on. The same pass
+1. Every text gives its set's size and a 128-bit fingerprint; sets of equal fingerprints are one node from here on. The same pass
    counts all shingles into a table of fixed size, whose excess over the mean orders frequent shingles last.
 2. Every set sends its prefix (as many shingles as it can't all miss in a partner) to index lists dealt by
    shingle. Lists are ordered by size; pairs are bounded by size and by position in both sets. A list of more than
-   ``SHORT_LIST`` sets is only chained by size, never paired. Pairs of short lists whose parity bitmaps (one bit a
+   ``SHORT_LIST`` sets is only chained by size, never paired, and by the tasks that read the texts if it is long there already. Pairs of short lists whose parity bitmaps (one bit a
    hash class) differ in more places than linked sets can are cut. The components of these edges hold every link.
 3. Within a component's sets, leaders are indexed; lists are kept in blocks by position, and a block whose bound
    fails is skipped. A set that links to a leader derives its answers from the leader's: by the triangle
@@ -15,8 +15,10 @@ A text's set is its distinct five-word shingles. Two texts link at a Jaccard sim
    leaders meet, and only members of leaders whose distance leaves a link open are compared across parts.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a text of fewer than five words is one shingle, one without
-words has an empty set and links with nothing. Null texts count as empty, null doc_ids are ignored in a component's least id. Rows that repeat
-share a component. Shingles are compared by 60-bit keys. Extra columns are ignored.
+words has an empty set and links with nothing. A text longer than a chunk is taken in pieces. Null texts count as empty. Rows without a doc_id
+link like others; they are ignored in a component's least id, which is null if no row has one. Rows that repeat share a component, ties on
+the least id mean nothing to it. An empty table gives no rows. Shingles are compared by 60-bit keys. :func:`join` leaves extra columns out,
+:func:`keep_one` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ GIANT_BYTES = 24 << 20
 BROADCAST_ROWS = 400_000
 #: Lists up to this long are paired under the position bound; longer ones are chained by size.
 SHORT_LIST = 128
+#: Ranges of the table of counts that are folded apart, and shares in which a range is folded first.
+RANGES, FOLDS = 64, 16
 FLUSH_POSTINGS = 400_000
 
 FOLD = lowered()
@@ -117,9 +122,8 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """How far a cell's count stands out: 0 for chance, to 15."""
-    mean = counts.mean()
+def levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    """How far a cell's count stands out from the mean of all cells: 0 for chance, to 15."""
     over = (counts - mean) / (8 * math.sqrt(mean) + 8)
     return np.where(over < 1, 0, np.minimum(15, 1 + np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
@@ -135,79 +139,127 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, fp, fp2, parity`` a row; rows with ``counts`` hold a task's table of shingle counts instead."""
+    """``doc_id, hash, n, fp, fp2, parity`` a row of ``docs`` (doc_id, hash, text); rows with ``counts`` hold a range (``part``) of a task's table of shingle counts instead."""
+    names = ["doc_id", "hash", "n", "fp", "fp2", "parity", "part", "salt", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, dtype=np.uint32)
-        names = ["doc_id", "n", "fp", "fp2", "parity", "counts"]
+        seen = 0
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(1)):
+            for lo, hi, data, offs in text_chunks(batch.column(2)):
                 sets = shingle_sets(data, offs)
                 n, one, two = fingerprints(sets)
-                counts += np.bincount((np.concatenate(sets) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two),
-                        pa.array(parities(sets), pa.binary()), pa.nulls(hi - lo, pa.binary()),
-                    ],
-                    names,
-                )
-        none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
+                for s in sets:
+                    np.add.at(counts, (s >> U64(64 - CELL_BITS)).astype(np.int64), 1)
+                seen ^= int(one[0])
+                head = batch.slice(lo, hi - lo)
+                rest = [pa.nulls(hi - lo, k) for k in kinds[6:]]
+                yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(n), pa.array(one), pa.array(two), pa.array(parities(sets), pa.binary()), *rest], names)
+        salt = pa.array([seen % FOLDS] * RANGES, pa.int32())
+        tables = pa.array([x.tobytes() for x in np.split(counts, RANGES)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(RANGES, k) for k in kinds[:6]], pa.array(np.arange(RANGES, dtype=np.int32)), salt, tables], names)
 
-    return docs.mapInArrow(own, "doc_id long, n long, fp long, fp2 long, parity binary, counts binary")
+    return docs.mapInArrow(own, "doc_id long, hash long, n long, fp long, fp2 long, parity binary, part int, salt int, counts binary")
 
 
-def standing_out(measured: DataFrame) -> np.ndarray:
-    """The level of each cell of the summed tables: 16 tasks fold the tasks' tables, one the 16; a table of one byte a cell comes back."""
+def standing_out(measured: DataFrame, shingles: int) -> np.ndarray:
+    """The level of each cell of the summed tables. Every range of cells is folded on its own, in ``FOLDS`` shares first; a byte a cell comes back."""
+    mean = shingles / CELLS
 
-    def summed(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        total = np.zeros(CELLS, dtype=np.uint32)
+    def summed(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch["counts"]:
-                total += np.frombuffer(x, dtype=np.uint32)
+            for part, x in zip(batch["part"], batch["counts"], strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(x, dtype=np.uint32).astype(np.uint64)
         return total
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"counts": [summed(batches).tobytes()]})
+        yield pd.DataFrame([(p, np.minimum(t, U64(2**32 - 1)).astype(np.uint32).tobytes()) for p, t in summed(batches).items()], columns=["part", "counts"])
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"levels": [levels(summed(batches)).tobytes()]})
+        yield pd.DataFrame([(p, levels(t, mean).tobytes()) for p, t in summed(batches).items()], columns=["part", "levels"])
+
+    tables = measured.where(F.col("counts").isNotNull()).select("part", "salt", "counts").repartition("part", "salt").mapInPandas(fold, "part int, counts binary")
+    found = tables.repartition("part").mapInPandas(level, "part int, levels binary").collect()  # RANGES rows, CELLS bytes in all
+    out = np.zeros(CELLS, dtype=np.uint8)
+    for r in found:
+        width = CELLS // RANGES
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["levels"], dtype=np.uint8)
+    return out
+
+
+#: An entry of an index list: shingle key, the set's two fingerprints, its size, the key's position, whether the list is chained.
+POSTING = np.dtype([("key", "<u8"), ("fp", "<i8"), ("fp2", "<i8"), ("n", "<u4"), ("at", "<u4"), ("hot", "u1")])
+#: A chain's edge: two sets by their fingerprints.
+CHAIN = np.dtype([("a", "<i8"), ("a2", "<i8"), ("b", "<i8"), ("b2", "<i8")])
 
-    tables = measured.where(F.col("counts").isNotNull()).select("counts").repartition(16).mapInPandas(fold, "counts binary")
-    found = tables.repartition(1).mapInPandas(level, "levels binary").first()
-    return np.frombuffer(found["levels"], dtype=np.uint8) if found else np.zeros(CELLS, dtype=np.uint8)
 
+def thinned(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A task's postings, its long lists chained here by size: (postings that go on, edges of the chains).
 
-def posted(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
-    """Prefix postings packed by bucket: key u64, set i64, size u32, position u32."""
+    Of a chained list only so many sets go on that each stands within a link's size of the next: a set of another task that
+    falls between two of them meets the smaller, so the chains of all tasks hang together as the whole list's chain would.
+    """
+    flat = flat[np.lexsort((flat["fp2"], flat["fp"], flat["n"], flat["key"]))]
+    fresh = np.append(True, flat["key"][1:] != flat["key"][:-1])
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.append(start, len(flat)))
+    keep = np.ones(len(flat), dtype=bool)
+    edges = []
+    for a, k in zip(start[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist(), strict=True):
+        own = flat[a : a + k]
+        n = own["n"].astype(np.int64)
+        linked = np.flatnonzero(100 * n[:-1] >= PERCENT * n[1:])
+        e = np.empty(len(linked), dtype=CHAIN)
+        e["a"], e["a2"], e["b"], e["b2"] = own["fp"][linked], own["fp2"][linked], own["fp"][linked + 1], own["fp2"][linked + 1]
+        edges.append(e)
+        some, i = [0], 0
+        while i < k - 1:
+            i = max(i + 1, int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right")) - 1)
+            some.append(i)
+        flat["hot"][a : a + k] = 1
+        keep[a : a + k] = False
+        keep[a + np.array(some)] = True
+    chains = np.unique(np.concatenate(edges)) if edges else np.empty(0, CHAIN)
+    return flat[keep], chains
+
+
+def posted(docs: DataFrame, level: np.ndarray, buckets: int) -> tuple[DataFrame, Broadcast]:
+    """Prefix postings packed by bucket, and chain edges of lists that are long in one task already; with the broadcast that the rows need."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    kind = np.dtype([("key", "<u8"), ("fp", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()  # the sets of one input partition
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.concatenate(held)
-            bucket = (flat["key"] % U64(buckets)).astype(np.int32)
-            flat, bucket = flat[order := np.argsort(bucket, kind="stable")], bucket[order]
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            cells = [flat[a:b].tobytes() for a, b in zip(edge, [*edge[1:], len(flat)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(cells, pa.binary())], ["bucket", "cells"])
+            postings, chains = thinned(np.concatenate(held))
+            cells: list[list] = [[], [], []]
+            for column, flat, key in ((1, postings, postings["key"]), (2, chains, chains["a"].view(U64))):
+                bucket = (key % U64(buckets)).astype(np.int32)
+                flat, bucket = flat[order := np.argsort(bucket, kind="stable")], bucket[order]
+                edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist()
+                for a, b in zip(edge, [*edge[1:], len(flat)][: len(edge)], strict=True):
+                    cells[0].append(bucket[a])
+                    cells[column].append(flat[a:b].tobytes())
+                    cells[3 - column].append(None)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.binary()), pa.array(cells[2], pa.binary())], ["bucket", "cells", "chains"]
+            )
 
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
                 sets = shingle_sets(data, offs)
-                n, one, _ = fingerprints(sets)
-                for s, size_, fp in zip(sets, n.tolist(), one.tolist(), strict=True):
-                    if not size_ or fp in seen:  # an equal set of this task has sent the same
+                n, one, two = fingerprints(sets)
+                for s, size_, fp, fp2 in zip(sets, n.tolist(), one.tolist(), two.tolist(), strict=True):
+                    if not size_ or (fp, fp2) in seen:  # an equal set of this task has sent the same
                         continue
-                    seen.add(fp)
+                    seen.add((fp, fp2))
                     keys = keyed(s, shared.value)[: prefix(size_)]
-                    cell = np.empty(len(keys), dtype=kind)
-                    cell["key"], cell["fp"], cell["n"], cell["at"] = keys, fp, size_, np.arange(len(keys))
+                    cell = np.zeros(len(keys), dtype=POSTING)
+                    cell["key"], cell["fp"], cell["fp2"], cell["n"], cell["at"] = keys, fp, fp2, size_, np.arange(len(keys))
                     held.append(cell)
                     size += len(cell)
                 if size >= FLUSH_POSTINGS:
@@ -217,27 +269,39 @@ def posted(docs: DataFrame, level: np.ndarray, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(own, "bucket int, cells binary")
+    return docs.select("text").mapInArrow(own, "bucket int, cells binary, chains binary"), shared
+
+
+PAIR = "src long, src2 long, dst long, dst2 long, chain long"
 
 
 def connect(group: pa.Table) -> pa.Table:
     """Edges that connect the sets of each index list which may link; all steps are over whole columns."""
-    kind = np.dtype([("key", "<u8"), ("fp", "<i8"), ("n", "<u4"), ("at", "<u4")])
-    flat = np.concatenate([np.frombuffer(x, dtype=kind) for x in group.column("cells").to_pylist()])
+    flat = np.concatenate([np.empty(0, POSTING), *[np.frombuffer(x, dtype=POSTING) for x in group.column("cells").to_pylist() if x is not None]])
+    chains = np.concatenate([np.empty(0, CHAIN), *[np.frombuffer(x, dtype=CHAIN) for x in group.column("chains").to_pylist() if x is not None]])
     keys = np.sort(flat["key"])
     twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
     at = np.searchsorted(twice, flat["key"])
     at[at == len(twice)] = 0
     flat = flat[twice[at] == flat["key"]] if len(twice) else flat[:0]
-    flat = flat[np.lexsort((flat["fp"], flat["n"], flat["key"]))]
-    fresh = np.ones(len(flat), dtype=bool)  # equal sets of several tasks are one entry
-    fresh[1:] = (flat["key"][1:] != flat["key"][:-1]) | (flat["fp"][1:] != flat["fp"][:-1])
-    flat = flat[fresh]
-    run = np.cumsum(np.append(True, flat["key"][1:] != flat["key"][:-1])) if len(flat) else np.empty(0, np.int64)
-    length = np.bincount(run)[run] if len(flat) else run
+    # the bucket's sets by a number of their own
+    order = np.lexsort((flat["fp2"], flat["fp"]))
+    one, two = flat["fp"][order], flat["fp2"][order]
+    fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+    name = np.empty(len(flat), dtype=np.int64)
+    name[order] = np.cumsum(fresh) - 1
+    one, two = one[fresh], two[fresh]
+    order = np.lexsort((name, flat["n"], flat["key"]))
+    flat, name = flat[order], name[order]
+    first = np.ones(len(flat), dtype=bool)  # equal sets of several tasks are one entry
+    first[1:] = (flat["key"][1:] != flat["key"][:-1]) | (name[1:] != name[:-1])
+    flat, name = flat[first], name[first]
+    run = np.cumsum(np.append(True, flat["key"][1:] != flat["key"][:-1])) - 1 if len(flat) else np.empty(0, np.int64)
+    long = (np.bincount(run) > SHORT_LIST) | (np.bincount(run, flat["hot"]) > 0) if len(flat) else np.empty(0, bool)
     n, pos = flat["n"].astype(np.int64), flat["at"].astype(np.int64)
-    found = [np.empty((0, 3), np.int64)]
+    found = [np.empty(0, np.int64)]
     left = np.arange(len(flat))
+    width = len(one)
     for lag in range(1, SHORT_LIST):
         # entries whose list goes on for so many more, and whose partner isn't too large; partners only grow
         left = left[left + lag < len(flat)]
@@ -248,21 +312,24 @@ def connect(group: pa.Table) -> pa.Table:
         right = left + lag
         need = -(-PERCENT * (n[left] + n[right]) // (100 + PERCENT))
         bound = np.minimum(n[left] - pos[left], n[right] - pos[right]) >= need
-        ok = np.where(length[left] <= SHORT_LIST, bound, lag == 1)
-        a, b = flat["fp"][left[ok]], flat["fp"][right[ok]]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), (length[left[ok]] > SHORT_LIST).astype(np.int64)], 1))
+        chained = long[run[left]]
+        ok = np.where(chained, lag == 1, bound)
+        a, b = name[left[ok]], name[right[ok]]
+        found.append((np.minimum(a, b) * width + np.maximum(a, b)) * 2 + chained[ok])
         if lag == 1:
-            left = left[length[left] <= SHORT_LIST]
-    pairs = np.concatenate(found)
-    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
-    pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))[: len(pairs)]]
-    return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1], "chain": pairs[:, 2]})
+            left = left[~chained]
+    pairs = np.unique(np.concatenate(found))
+    a, b, chain = pairs // 2 // max(width, 1), pairs // 2 % max(width, 1), pairs % 2
+    cols = [np.concatenate((x[i], chains[k])) for x, i, k in ((one, a, "a"), (two, a, "a2"), (one, b, "b"), (two, b, "b2"))]
+    return pa.table({"src": cols[0], "src2": cols[1], "dst": cols[2], "dst2": cols[3], "chain": np.concatenate((chain, np.ones(len(chains), np.int64)))})
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cuts the pairs that are no chain and whose bitmaps are too far apart for a link."""
-    ends = [nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in ("src", "dst")]
-    both = pairs.groupBy("src", "dst").agg(F.max("chain").alias("chain")).join(ends[0], "src").join(ends[1], "dst")
+    """The pairs by their sets' ids, without those that are no chain and whose bitmaps are too far apart for a link."""
+    both = pairs.groupBy("src", "src2", "dst", "dst2").agg(F.max("chain").alias("chain"))
+    for c in ("src", "dst"):
+        end = nodes.select(F.col("fp").alias(c), F.col("fp2").alias(f"{c}2"), F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+        both = both.join(end, [c, f"{c}2"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +340,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             made = pa.RecordBatch.from_arrays([src, dst], ["src", "dst"])
             yield made.filter(pa.array([bool(k) for k in keep], pa.bool_()))
 
-    return both.select("src", "dst", "chain", "n_src", "n_dst", "p_src", "p_dst").mapInArrow(own, "src long, dst long")
+    return both.select("id_src", "id_dst", "chain", "n_src", "n_dst", "p_src", "p_dst").mapInArrow(own, "src long, dst long")
 
 
 class Blocks:
@@ -386,11 +453,11 @@ def open_leaders(sets: list[np.ndarray], parts: list[int], radius: list[float])
 
 
 def by_block(group: pa.Table) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
-    """For each component in a bin: rows, sets' names and keys; rows that repeat count once."""
-    blocks, fps = group.column("block").to_numpy(), group.column("fp").to_numpy()
+    """For each component in a bin: rows, sets' ids and keys; rows that repeat count once."""
+    blocks, names = group.column("block").to_numpy(), group.column("id").to_numpy()
     cells = group.column("keys").to_pylist()
     for rows in np.split(order := np.argsort(blocks, kind="stable"), np.flatnonzero(np.diff(blocks[order])) + 1):
-        own = dict(zip(fps[rows].tolist(), rows.tolist(), strict=True))
+        own = dict(zip(names[rows].tolist(), rows.tolist(), strict=True))
         ids = sorted(own)
         yield [own[f] for f in ids], ids, [np.frombuffer(cells[own[f]], dtype=U64) for f in ids]
 
@@ -430,114 +497,148 @@ def met(group: pa.Table) -> pa.Table:
     return links_table(out)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+def linked(docs: DataFrame) -> DataFrame:
+    """``doc_id, hash, n, component_id, keeper`` for every row of ``docs`` (doc_id, text).
+
+    ``hash`` is the text's; ``keeper`` (struct of unnamed, doc_id, hash) names the row that stands for the group: null in groups of one row.
+    """
     spark = docs.sparkSession
     lean_batches(spark)
     done: list[str] = []
+    sent: list[Broadcast] = []
     save = lambda df, name: stored(df, name, done)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = stored(measure(docs), "sets")
-    level = standing_out(measured)
-    own = measured.where(F.col("counts").isNull()).drop("counts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    measured = save(measure(docs), "sets")
+    own = measured.where(F.col("counts").isNull()).drop("counts", "part", "salt")
     shingles = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(32, int(shingles * (100 - PERCENT) / 100 * 24 / BUCKET_BYTES) + 1)
-    lists = posted(docs, level, buckets).groupBy("bucket")
-    nodes = own.where("n > 0").groupBy("fp").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("parity").alias("parity")
-    )
-    edges = save(plausible(lists.applyInArrow(connect, "src long, dst long, chain long"), nodes), "candidates")
-    blocks = components(edges, save).select(F.col("id").alias("fp"), F.col("component").alias("block"))
-    wanted = save(nodes.join(blocks, "fp").select("fp", "block", "doc_id", "n"), "wanted")
+    level = standing_out(measured, shingles)
+    buckets = max(32, int(shingles * (100 - PERCENT) / 100 * POSTING.itemsize / BUCKET_BYTES) + 1)
+    # a set goes by the row of the least doc_id that has it, rows without one last
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    nodes = own.where("n > 0").groupBy("fp", "fp2").agg(F.min(row).alias("row"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("parity").alias("parity"))
+    nodes = save(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    lists, broadcast = posted(docs, level, buckets)
+    sent.append(broadcast)
+    edges = save(plausible(lists.groupBy("bucket").applyInArrow(connect, PAIR), nodes), "candidates")
+    blocks = components(edges).select("id", F.col("component").alias("block"))
+    wanted = save(nodes.join(blocks, "id").select("id", "fp", "fp2", "block", "row.unnamed", "row.doc_id", "row.hash", "n"), "wanted")
     sized = wanted.groupBy("block").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"))
-    some = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n") * 8 + 64), F.lit(0)).alias("bytes")).first()
+    some = wanted.agg(F.coalesce(F.sum(F.col("n") * 8 + 64), F.lit(0)).alias("bytes")).first()
     giant = save(sized.where(F.col("bytes") > GIANT_BYTES), "giants")
     n_parts = F.ceil(F.col("bytes") / (GIANT_BYTES // 2)).cast("int")
     some_giant = bool(giant.limit(1).count())
-    dealt = wanted.join(giant.select("block", n_parts.alias("parts")), "block", "left").select(
-        "doc_id", "fp", "block", F.pmod("fp", F.col("parts")).cast("int").alias("part")
-    )
+    dealt = wanted.join(giant.select("block", n_parts.alias("parts")), "block", "left").select(*ROW, "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     bins = int(some["bytes"] / BIN_BYTES) + 1
     own_bin = F.when(F.col("part").isNull(), F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.xxhash64("block", "part"))
-    fetched = fetch(docs, dealt, level).withColumn("bin", own_bin)
-    links = save(fetched.groupBy("bin").applyInArrow(joined, LINK), "links")
+    links = save(fetch(docs, dealt, level, save, sent).withColumn("bin", own_bin).groupBy("bin").applyInArrow(joined, LINK), "links")
     if some_giant:
-        links = save(across_parts(docs, wanted, links, level, save), "all_links")
-        roots = components(links, save)
+        links = save(across_parts(docs, wanted, links, level, save, sent), "all_links")
+        roots = components(links)
     else:
         roots = links.select(F.col("src").alias("id"), F.col("dst").alias("component"))
-    # sets of one text alone answer for themselves; only groups of equal sets and linked sets are joined back
-    whole = nodes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    shared = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
-    answer = whole.select("fp", "root").join(shared.select("root", "component_id"), "root").select("fp", "component_id")
-    out = own.join(answer.withColumnRenamed("fp", "set"), (F.col("fp") == F.col("set")) & (F.col("n") > 0), "left")
-    out = stored(
-        out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components"
-    )
+    # sets of one row alone answer for themselves; only groups of equal sets and linked sets are joined back
+    whole = nodes.select("id", "fp", "fp2", "row", "rows").join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    shared = whole.groupBy("root").agg(F.min("row").alias("keeper"), F.sum("rows").alias("rows")).where("rows > 1")
+    answer = whole.join(shared.select("root", "keeper"), "root").select("fp", "fp2", "keeper")
+    out = own.where("n > 0").join(answer, ["fp", "fp2"], "left").select("doc_id", "hash", "n", "keeper")
+    out = out.unionByName(own.where("n = 0").select("doc_id", "hash", "n", F.lit(None).cast(out.schema["keeper"].dataType).alias("keeper")))
+    component = F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id"))
+    out = stored(out.select("doc_id", "hash", "n", component.alias("component_id"), "keeper"), "components")
+    for b in sent:
+        b.destroy()
     forget(spark, done)
     return out
 
 
-def across_parts(docs: DataFrame, wanted: DataFrame, links: DataFrame, level: np.ndarray, save) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text)."""
+    return linked(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+#: What fetching a set takes: its id and fingerprints, and the row that it goes by.
+ROW = ("id", "fp", "fp2", "unnamed", "doc_id", "hash")
+
+
+def across_parts(docs: DataFrame, wanted: DataFrame, links: DataFrame, level: np.ndarray, save, sent: list[Broadcast]) -> DataFrame:
     """``src, dst``: the links within parts, and those that connect the parts of components too large for a task."""
     inner = links.where("apart IS NULL").select("src", "dst")
-    members = links.where("apart IS NOT NULL").select(F.col("src").alias("fp"), F.col("dst").alias("leader"), "apart", "block", "part")
-    leaders = save(members.groupBy("leader", "block", "part").agg(F.max("apart").alias("radius")).withColumnRenamed("leader", "fp"), "leaders")
-    own = leaders.join(wanted.select("fp", "doc_id", "n"), "fp")
+    members = links.where("apart IS NOT NULL").select(F.col("src").alias("id"), F.col("dst").alias("leader"), "apart", "block", "part")
+    leaders = save(members.groupBy("leader", "block", "part").agg(F.max("apart").alias("radius")).withColumnRenamed("leader", "id"), "leaders")
+    own = leaders.join(wanted.select(*ROW, "n"), "id")
     size = own.groupBy("block").agg((F.ceil(F.sum(F.col("n") * 8 + 64) / GIANT_BYTES)).cast("int").alias("cells"))
     # leaders are few where sets are alike; where they still fill several tasks, their shares meet pairwise
-    share = F.pmod(F.xxhash64("fp"), F.col("cells"))
+    share = F.pmod(F.xxhash64("id"), F.col("cells"))
     pair = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.least(c, share).alias("a"), F.greatest(c, share).alias("b")))
     spread = own.join(size, "block").withColumn("cell", F.explode(F.array_distinct(pair)))
-    spread = spread.select("doc_id", "fp", "block", "part", "radius", F.xxhash64("block", "cell").alias("bin"))
-    between = save(fetch(docs, spread, level).groupBy("bin").applyInArrow(met, LINK), "between")
+    spread = spread.select(*ROW, "block", "part", "radius", F.xxhash64("block", "cell").alias("bin"))
+    between = save(fetch(docs, spread, level, save, sent).groupBy("bin").applyInArrow(met, LINK), "between")
     known = inner.unionByName(between.where("apart IS NULL").select("src", "dst"))
-    roots = components(known, save)
+    roots = components(known)
     left = between.where("apart IS NOT NULL").select("src", "dst", "apart").distinct()
     for c in ("src", "dst"):
         left = left.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"r_{c}")), c, "left")
-        left = left.join(leaders.select(F.col("fp").alias(c), F.col("radius").alias(f"radius_{c}")), c)
+        left = left.join(leaders.select(F.col("id").alias(c), F.col("radius").alias(f"radius_{c}")), c)
     left = left.where(F.coalesce("r_src", "src") != F.coalesce("r_dst", "dst"))
     left = save(left.select("src", "dst", "apart", "radius_src", "radius_dst", F.xxhash64("src", "dst").alias("block")), "open")
     sides = []
     for mine, other in (("src", "dst"), ("dst", "src")):
         reach = left.select(F.col(mine).alias("leader"), "block", (F.col("apart") - (100 - PERCENT) / 100 - F.col(f"radius_{other}") - 1e-9).alias("least"))
-        sides.append(members.select("fp", "leader", "apart").join(reach, "leader").where(F.col("apart") >= F.col("least")).select("fp", "block"))
-    asked = sides[0].unionByName(sides[1]).distinct().join(wanted.select("fp", "doc_id"), "fp")
-    asked = asked.select("doc_id", "fp", "block", F.lit(None).cast("int").alias("part"), F.col("block").alias("bin"))
-    rest = fetch(docs, asked, level).groupBy("bin").applyInArrow(joined, LINK).select("src", "dst")
+        sides.append(members.select("id", "leader", "apart").join(reach, "leader").where(F.col("apart") >= F.col("least")).select("id", "block"))
+    asked = sides[0].unionByName(sides[1]).distinct().join(wanted.select(*ROW), "id")
+    asked = asked.select(*ROW, "block", F.lit(None).cast("int").alias("part"), F.col("block").alias("bin"))
+    rest = fetch(docs, asked, level, save, sent).groupBy("bin").applyInArrow(joined, LINK).select("src", "dst")
     return known.unionByName(rest)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
-    """``wanted`` (doc_id, fp and more) with the keys of the sets instead of doc_id; a small counted table is broadcast to the texts, else both are shuffled."""
+def fetch(docs: DataFrame, wanted: DataFrame, level: np.ndarray, save, sent: list[Broadcast]) -> DataFrame:
+    """``wanted`` (``ROW`` and more) with the keys of the sets instead of the row; a small counted table is broadcast to the texts, else both are shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
-    wanted = stored(wanted, "fetched")
-    columns = ["fp", *[c for c in wanted.columns if c not in ("fp", "doc_id")]]
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc_id").select(*columns, "text")
+    sent.append(shared)
+    wanted = save(wanted, "fetched")
+    more = [c for c in wanted.columns if c not in ROW]
+    columns = ["id", "fp", "fp2", *more]
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+    named = wanted.where("NOT unnamed").drop("unnamed")
+    rows = docs.where(F.col("doc_id").isNotNull()).join(small(named), ["doc_id", "hash"]).select(*columns, "text")
+    unnamed = wanted.where("unnamed")
+    if not unnamed.isEmpty():  # of rows without a doc_id one of each text is taken, folded in the tasks that read them
+        keys = save(unnamed.select("hash").distinct(), "unnamed")
+        texts = docs.where(F.col("doc_id").isNull()).join(small(keys), "hash").groupBy("hash").agg(F.first("text").alias("text"))
+        rows = rows.unionByName(texts.join(unnamed, "hash").select(*columns, "text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column(len(columns))):
                 sets = shingle_sets(data, offs)
-                _, one, _ = fingerprints(sets)
+                _, one, two = fingerprints(sets)
                 part = batch.slice(lo, hi - lo)
                 cells = [keyed(s, shared.value).tobytes() for s in sets]
-                made = pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(cells, pa.binary())], [*columns, "keys"])
-                yield made.filter(pa.array(one == part.column(0).to_numpy()))  # a doc_id that repeats may have other texts
+                made = pa.RecordBatch.from_arrays([part.column(0), *part.columns[3 : len(columns)], pa.array(cells, pa.binary())], ["id", *more, "keys"])
+                yield made.filter(pa.array((one == part.column(1).to_numpy()) & (two == part.column(2).to_numpy())))
 
-    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in columns)
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("id", *more))
     return rows.mapInArrow(own, f"{kinds}, keys binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of linked documents: the one with the least doc_id. Rows without words all stay."""
-    found = join(docs.select("doc_id", "text"))
-    rest = found.where((F.col("component_id") != F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rest = stored(rest, "copies")
-    small = rest.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(rest) if small else rest.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked documents: the one with the least doc_id, rows without one last. Rows without words all stay."""
+    found = linked(docs.select("doc_id", "text")).where(F.col("keeper").isNotNull())
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("hash") == F.col("keeper.hash"))
+    known = stored(found.groupBy("doc_id", "hash", stays.alias("stays")).agg(F.count(F.lit(1)).alias("rows")), "copies")
+    key, text_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
+
+    def where(kind: str, what: DataFrame) -> DataFrame:
+        few = what.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        table = what.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"))
+        return docs.join(F.broadcast(table) if few else table.hint("shuffle_hash"), key.eqNullSafe(F.col("__doc")) & (text_hash == F.col("__hash")), kind)
+
+    again = known.where("stays AND rows > 1")
+    if again.isEmpty():
+        return where("left_anti", known.where("NOT stays")).select(*docs.columns)
+    # rows that repeat both doc_id and text: any one of them
+    one = where("left_semi", again).groupBy(key.alias("__doc"), text_hash.alias("__hash")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    rest = where("left_anti", known.where("NOT stays OR rows > 1")).select(*docs.columns)
+    return rest.unionByName(one.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
