@@ -17,7 +17,7 @@ from graphloom.storage import forget, shared_path, stored
 
 __all__ = ["forget", "shared_path", "stored"]
 
-#: Bytes of text that one vectorised step handles at most (a single longer text is one step).
+#: Bytes of text that one vectorised step handles, about; a longer text is worked through in pieces.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1_000
@@ -106,6 +106,36 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def piece_edges(data: np.ndarray, is_word: np.ndarray) -> list[int]:
+    """Where a chunk is cut into pieces of ``CHUNK_BYTES``, about: always before a byte that is no word's."""
+    out, n = [0], len(data)
+    while out[-1] + 2 * CHUNK_BYTES < n:
+        at = out[-1] + CHUNK_BYTES
+        while at < n:
+            outside = np.flatnonzero(~is_word[data[at : at + CHUNK_BYTES]])
+            if len(outside):
+                at += int(outside[0])
+                break
+            at += CHUNK_BYTES
+        if at >= n:
+            break
+        out.append(at)
+    return [*out, n]
+
+
+def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of a chunk's words; what a piece needs on the way is let go with it."""
+    edge = piece_edges(data, is_word)
+    out = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        part = data[a:b]
+        starts, ends = word_spans(part, np.clip(offs, a, b) - a, is_word)
+        out.append((starts + a, ends + a, word_hashes(part, starts, is_word, fold)))
+    if len(out) == 1:
+        return out[0]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None) -> np.ndarray:
     """A 64-bit hash of each word's (case-folded) bytes."""
     if not len(starts):

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lean_batches, lowered, put_back, set_aside, text_chunks, word_hashes, word_spans
+from .common import U64, lean_batches, lowered, put_back, set_aside, text_chunks, words
 
 WINDOW = 10
 #: Every so many suffix positions one is kept, for locating.
 SAMPLE = 8
+#: Words of a shard at most: texts of a chunk are one shard, a longer text is several.
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text that are broadcast at most.
 BENCHMARK_LIMIT = 64 << 20
 
@@ -122,20 +124,19 @@ class Benchmark:
         texts = pa.array([t for _, t in items], type=pa.string())
         hashes: list[np.ndarray] = []
         for lo, hi, data, offs in text_chunks(texts):
-            starts, _ = word_spans(data, offs, IS_WORD)
-            words = word_hashes(data, starts, IS_WORD, FOLD)
+            starts, _, found = words(data, offs, IS_WORD, FOLD)
             edge = np.searchsorted(starts, offs)
-            hashes += [words[edge[i] : edge[i + 1]] for i in range(hi - lo)]
+            hashes += [found[edge[i] : edge[i + 1]] for i in range(hi - lo)]
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, U64)
-        found: dict[tuple[int, ...], set[str]] = {}
-        for (item, _), words in zip(items, hashes, strict=True):
-            ids = (np.searchsorted(self.vocabulary, words) + 2).tolist()
+        phrases: dict[tuple[int, ...], set[str]] = {}
+        for (item, _), own in zip(items, hashes, strict=True):
+            ids = (np.searchsorted(self.vocabulary, own) + 2).tolist()
             for i in range(max(1, len(ids) - WINDOW + 1)) if ids else ():
-                found.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
-        self.items = list(found.values())
-        self.sizes = np.array([len(p) for p in found], dtype=np.int64)
-        self.phrases = np.zeros((len(found), WINDOW), dtype=np.int64)
-        for i, p in enumerate(found):
+                phrases.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
+        self.items = list(phrases.values())
+        self.sizes = np.array([len(p) for p in phrases], dtype=np.int64)
+        self.phrases = np.zeros((len(phrases), WINDOW), dtype=np.int64)
+        for i, p in enumerate(phrases):
             self.phrases[i, : len(p)] = p
         # a small table of hash prefixes sends most foreign words away at once
         self.maybe = np.zeros(1 << 20, dtype=bool)
@@ -176,6 +177,17 @@ def shard_hits(bench: Benchmark, ids: np.ndarray, word_doc: np.ndarray) -> tuple
     return phrase, origin[index.locate(rows)]
 
 
+def chunk_hits(bench: Benchmark, ids: np.ndarray, word_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shard_hits` of a chunk, by shards of ``SHARD_WORDS`` words; a shard reads on as far as a phrase that starts in it can reach."""
+    out = []
+    for a in range(0, max(len(ids), 1), SHARD_WORDS):
+        b = a + SHARD_WORDS
+        phrase, first = shard_hits(bench, ids[a : b + WINDOW - 1], word_doc[a : b + WINDOW - 1])
+        own = first < SHARD_WORDS
+        out.append((phrase[own], first[own] + a))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool = False) -> DataFrame:
     """Adds ``n_words, n_hit, items array<string>, spans array<struct<start,end>>`` (UTF-8 byte spans to remove).
 
@@ -193,9 +205,9 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool =
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for lo, hi, data, offs in text_chunks(batch.column(at)):
-                starts, ends = word_spans(data, offs, IS_WORD)
+                starts, ends, hashes = words(data, offs, IS_WORD, FOLD)
                 word_doc = np.searchsorted(offs, starts, side="right") - 1
-                phrase, first = shard_hits(b, b.ids(word_hashes(data, starts, IS_WORD, FOLD)), word_doc)
+                phrase, first = chunk_hits(b, b.ids(hashes), word_doc)
                 edge = np.zeros(len(starts) + 1, dtype=np.int64)
                 np.add.at(edge, first, 1)
                 np.add.at(edge, first + b.sizes[phrase], -1)

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 
-from .common import U64, forget, lean_batches, lowered, mix, stored, text_chunks, word_hashes, word_spans
+from .common import U64, forget, lean_batches, lowered, mix, stored, text_chunks
+from .common import words as chunk_words
 
 WORDS = 5
 PERCENT = 80
@@ -63,8 +64,7 @@ STEPS = mix(np.arange(11, 11 + WORDS, dtype=U64)) | U64(1)
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     n = len(offs) - 1
-    starts, _ = word_spans(data, offs, IS_WORD)
-    words = word_hashes(data, starts, IS_WORD, FOLD)
+    starts, _, words = chunk_words(data, offs, IS_WORD, FOLD)
     edge = np.searchsorted(starts, offs)
     whole = np.zeros(max(len(words) - WORDS + 1, 0), dtype=U64)
     for i in range(WORDS):

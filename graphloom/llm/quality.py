@@ -4,8 +4,9 @@ Cyclic boosting of shallow trees learns one lookup table a feature (binned at qu
 and one a chosen pair of features. A text's score is the logistic of the sum of its bins' entries.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, the least by a hash of their doc_id: a bounded, stated sample.
-Features come from the whole text alone. A null text counts as empty and gets a score like any other; a null doc_id counts
-as the empty string in the hold-out rule. Rows that repeat are each scored. Labels other than 0 and 1, and null ones, teach nothing;
+Features come from the whole text alone; one longer than a chunk is counted in pieces. A null text counts as empty and gets a score like
+any other; a null doc_id counts as the empty string in the hold-out rule. Rows that repeat are each scored, an empty table gives no rows.
+Labels that tie on a doc_id teach the least. Labels other than 0 and 1, and null ones, teach nothing;
 without any usable label every score is 0.5. Extra columns pass through :func:`score`.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lean_batches, put_back, set_aside, text_chunks, word_hashes, word_spans
+from .common import CHUNK_BYTES, U64, lean_batches, put_back, set_aside, text_chunks, words
 
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -69,29 +70,31 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """One row of features a text."""
     n = len(offs) - 1
     size = np.diff(offs)
-    doc = np.repeat(np.arange(n), size)
     # bytes of each class: one count over (text, class)
-    count = np.bincount(doc * 10 + CODE[data], minlength=n * 10).reshape(n, 10)
-    starts, ends = word_spans(data, offs, IS_WORD)
+    count = np.zeros(n * 10, dtype=np.int64)
+    for at in range(0, len(data), CHUNK_BYTES):
+        doc = np.searchsorted(offs, np.arange(at, min(at + CHUNK_BYTES, len(data))), side="right") - 1
+        count += np.bincount(doc * 10 + CODE[data[at : at + CHUNK_BYTES]], minlength=n * 10)
+    count = count.reshape(n, 10)
+    starts, ends, hashes = words(data, offs, IS_WORD, None)
     wdoc = np.searchsorted(offs, starts, side="right") - 1
-    words = np.bincount(wdoc, minlength=n)
-    hashes = word_hashes(data, starts, IS_WORD, None)
+    n_words = np.bincount(wdoc, minlength=n)
     two = hashes[:-1] * U64(3) + hashes[1:]
     same = wdoc[:-1] == wdoc[1:]
-    lines, _ = word_spans(data, offs, IN_LINE)
+    lines, _, line_hashes = words(data, offs, IN_LINE, None)
     ldoc = np.searchsorted(offs, lines, side="right") - 1
     n_lines = np.bincount(ldoc, minlength=n)
     length = ends - starts
     longest = np.zeros(n, dtype=np.int64)
     np.maximum.at(longest, wdoc, length)
-    b, w = np.maximum(size, 1), np.maximum(words, 1)
+    b, w = np.maximum(size, 1), np.maximum(n_words, 1)
     return np.stack(
         [
-            np.log2(1 + size), np.log2(1 + words), np.bincount(wdoc, length, n) / w,
+            np.log2(1 + size), np.log2(1 + n_words), np.bincount(wdoc, length, n) / w,
             *(count[:, i] / b for i in (1, 2, 3, 4, 5, 6, 7, 8)),
             _distinct(wdoc, hashes, n) / w,
-            _distinct(wdoc[:-1][same], two[same], n) / np.maximum(words - 1, 1) if len(hashes) else np.zeros(n),
-            _distinct(ldoc, word_hashes(data, lines, IN_LINE, None), n) / np.maximum(n_lines, 1),
+            _distinct(wdoc[:-1][same], two[same], n) / np.maximum(n_words - 1, 1) if len(hashes) else np.zeros(n),
+            _distinct(ldoc, line_hashes, n) / np.maximum(n_lines, 1),
             np.bincount(wdoc[CODE[data[starts]] == 1], minlength=n) / w,
             np.bincount(wdoc[DECORATION[data[ends - 1]]], minlength=n) / w,
             np.log2(1 + longest), count[:, 9] / b,

@@ -16,7 +16,8 @@ byte) equals a string that covers it; strings are judged on the input and never
 
 A null text counts as empty. doc_id names a document: rows that repeat it with the same text are one document and get the same answer;
 other texts with that doc_id are documents of their own, in the order of a hash of the text. A null doc_id comes before all others and
-names nothing: each such row is a document, so of equal ones one stays. Texts shorter than ``SPAN`` bytes lose nothing. Strings of runs are compared by 64-bit hashes of
+names nothing: each such row is a document, so of equal ones one stays. Texts shorter than ``SPAN`` bytes, empty ones too, lose nothing; one longer than a chunk is cut into runs piece by piece. An empty
+table gives no rows. Strings of runs are compared by 64-bit hashes of
 k-gram and bytes, the merged ones by their bytes. Extra columns are ignored.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, U64, lean_batches, mix, powers, stored, text_chunks
+from .common import BYTE_CODE, CHUNK_BYTES, U64, lean_batches, mix, powers, stored, text_chunks
 from .winnow import GRAM, PLACE_BITS, SPAN, WIDE, runs
 
 #: Bytes of a bucket of runs, of a bin of run texts (about), and rows and items of a broadcast table at most.
@@ -101,14 +102,19 @@ def posted(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, hi, data, offs in text_chunks(batch.column(1)):
-                c = runs(data, offs)
-                c["doc"] = ids[lo:hi][c.pop("row")]
-                held.append(c)
-                size += len(c["at"])
-                if size >= FLUSH_RUNS:
-                    yield flush()
-                    held.clear()
-                    size = 0
+                # a long text goes by pieces of string starts; a run that is cut is two runs, which the transforms compare
+                step = CHUNK_BYTES if len(data) > 2 * CHUNK_BYTES and hi - lo == 1 else max(len(data), 1)
+                for at in range(0, max(len(data), 1), step):
+                    part = data[at : at + step + SPAN - 1]
+                    c = runs(part, offs if hi - lo > 1 else np.array([0, len(part)]))
+                    c["at"] += at
+                    c["doc"] = ids[lo:hi][c.pop("row")]
+                    held.append(c)
+                    size += len(c["at"])
+                    if size >= FLUSH_RUNS:
+                        yield flush()
+                        held.clear()
+                        size = 0
         if size:
             yield flush()
 
