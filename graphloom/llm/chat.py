@@ -8,16 +8,21 @@ Events are ``conv_id, seq, kind, message_id, role, text``. Kinds:
   message and this event (the branch that the user threw away).
 
 A null text counts as empty, a null role as the empty role, a null ``seq`` sorts first; events that
-tie on ``seq`` sort by kind, role and text, so repeated rows give one defined result. An empty log gives no rows.
-Extra columns are ignored. A conversation is one output row, so its own length bounds a task's memory.
+tie on ``seq`` sort by kind, role and text, so repeated rows give one defined result: each counts. An empty log gives no rows, an empty
+text an empty turn. Extra columns, whatever their names, are ignored. A very long text is a turn like others; a conversation is one
+output row, so its own length bounds a task's memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+#: Turns, and code points of formatted text, that are handled as one block.
+BLOCK, CUT = 256, 1024
 TURN, SAID, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Every control string starts with one of these; a text keeps none of them once escaped.
 ESCAPES = (("\\", "\\s"), ("<", "\\l"), ("[", "\\b"))
@@ -70,6 +75,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     return alive.select("conv_id", "turns")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def render(folded: DataFrame) -> DataFrame:
     """Adds ``formatted`` and ``loss_spans``: half-open code-point spans of the assistant texts."""
     piece = lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(SAID), escape(m["text"]), F.lit(END))
@@ -85,12 +95,34 @@ def render(folded: DataFrame) -> DataFrame:
             F.when(m["role"] == "assistant", F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
         )
 
-    spans = F.aggregate("turns", F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda d: d["spans"])
+    def block(done: Column, i: Column) -> Column:
+        # spans are gathered by blocks of turns: appending to one long array would copy it for every turn
+        start = F.struct(done["at"].alias("at"), none.alias("spans"))
+        own = F.aggregate(F.slice("turns", i * BLOCK + 1, F.lit(BLOCK)), start, step)
+        return bind(own, lambda x: F.struct(x["at"].alias("at"), F.concat(done["blocks"], F.array(x["spans"])).alias("blocks")))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<struct<start:bigint,end:bigint>>>)").alias("blocks"))
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size("turns") - 1) / BLOCK), F.lit(0)).cast("int"))
+    spans = F.aggregate(blocks, start, block, lambda d: F.flatten(d["blocks"]))
     return folded.select(
         "conv_id", F.array_join(F.transform("turns", piece), "").alias("formatted"), spans.alias("loss_spans")
     )
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The text under ``spans``, unescaped and joined. Each span reads only the blocks of ``CUT`` code points that it touches."""
+
+    def texts(blocks: Column) -> Column:
+        def text(s: Column) -> Column:
+            first = F.floor(s["start"] / CUT).cast("int")
+            touched = F.slice(blocks, first + 1, F.floor((s["end"] - 1) / CUT).cast("int") - first + 1)
+            return unescape(F.substr(F.array_join(touched, ""), (s["start"] - first * CUT + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+        return F.array_join(F.transform(F.filter(spans, lambda s: s["end"] > s["start"]), text), "")
+
+    return bind(F.split(formatted, f"(?s)(?<=\\G.{{{CUT}}})", -1), texts)
+
+
 def read_back(formatted: Column) -> Column:
     """Parses rendered text to ``array<struct<role,text>>``; the inverse of :func:`render`."""
     pieces = F.filter(F.split(formatted, r"<\|end\|>", -1), lambda p: p != "")
@@ -120,16 +152,16 @@ def rows_as_events(rows: DataFrame) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the contract asks for, all of it read back from the rendered output."""
+    """What the contract asks for, all of it read back from the rendered output: the turns from its text, the loss from its mask."""
     back = formatted.withColumn("back", read_back(F.col("formatted")))
     whole = F.array_join(F.transform("back", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda m: m["role"] == "assistant"), lambda m: m["text"]), "")
+    back = back.withColumn("loss", masked(F.col("formatted"), F.col("loss_spans")))
     return back.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
