@@ -7,13 +7,15 @@ anything else is a false hit and is inserted too. Of equal texts the largest doc
 one arrives the old live entry is deleted from the filter and the new one inserted. When an insertion finds
 no free slot the filter doubles and is refilled from the stored keys.
 
-Two texts count as equal when their SHA-256 digests and byte lengths are equal. A null text counts as empty.
-A null doc_id is smaller than all others. Rows that repeat a doc_id and a text count each in
-``group_size``; each of them is kept if its doc_id is the group's largest. Extra columns pass through :func:`dedup`.
+Two texts count as equal when their SHA-256 digests and byte lengths are equal. A null text counts as empty. A very long text is
+digested inside the JVM and never reaches Python. A null doc_id is smaller than all others. Rows that repeat a doc_id and a text count
+each in ``group_size``; each of them, ties on the largest doc_id included, is kept if its doc_id is the group's largest. An empty table
+gives no rows. Extra columns, whatever their names, are left out of the result.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from .common import stored
 SLOTS, KICKS, START = 4, 200, 256
 #: Entries folded in memory before a map task hands them on.
 FOLD_ROWS = 200_000
+#: Digests that a bucket's task indexes, about: some 400 bytes each.
+BUCKET_ROWS = 200_000
 
 
 class CuckooFilter:
@@ -34,7 +38,7 @@ class CuckooFilter:
 
     def __init__(self, buckets: int = START) -> None:
         self.size = 1 << (buckets - 1).bit_length()
-        self.table: list[list[int]] = [[] for _ in range(self.size)]
+        self.table = array("H", bytes(2 * SLOTS * self.size))  # 0 is a free slot
         self.count = 0
         self._turn = 0
 
@@ -46,27 +50,30 @@ class CuckooFilter:
     def _other(self, place: int, mark: int) -> int:
         return (place ^ (mark * 0x5BD1E995)) & (self.size - 1)
 
+    def _put(self, place: int, mark: int) -> bool:
+        for at in range(place * SLOTS, place * SLOTS + SLOTS):
+            if not self.table[at]:
+                self.table[at] = mark
+                self.count += 1
+                return True
+        return False
+
     def __contains__(self, key: int) -> bool:
         mark, one, two = self._places(key)
-        return mark in self.table[one] or mark in self.table[two]
+        return mark in self.table[one * SLOTS : one * SLOTS + SLOTS] or mark in self.table[two * SLOTS : two * SLOTS + SLOTS]
 
     def insert(self, key: int) -> bool:
         """False if no slot came free; the filter then lacks one mark and must be rebuilt larger."""
         mark, one, two = self._places(key)
-        for place in (one, two):
-            if len(self.table[place]) < SLOTS:
-                self.table[place].append(mark)
-                self.count += 1
-                return True
+        if self._put(one, mark) or self._put(two, mark):
+            return True
         place = one
         for _ in range(KICKS):
             self._turn = (self._turn + 1) % SLOTS
-            held = self.table[place]
-            mark, held[self._turn] = held[self._turn], mark
+            at = place * SLOTS + self._turn
+            mark, self.table[at] = self.table[at], mark
             place = self._other(place, mark)
-            if len(self.table[place]) < SLOTS:
-                self.table[place].append(mark)
-                self.count += 1
+            if self._put(place, mark):
                 return True
         return False
 
@@ -74,10 +81,11 @@ class CuckooFilter:
         """Removes one copy of the key's mark; only for keys that were inserted."""
         mark, one, two = self._places(key)
         for place in (one, two):
-            if mark in self.table[place]:
-                self.table[place].remove(mark)
-                self.count -= 1
-                return True
+            for at in range(place * SLOTS, place * SLOTS + SLOTS):
+                if self.table[at] == mark:
+                    self.table[at] = 0
+                    self.count -= 1
+                    return True
         return False
 
 
@@ -90,16 +98,19 @@ class LiveIndex:
         self.grown = 0
 
     def _insert(self, key: int) -> None:
-        while not self.filter.insert(key):
+        """Inserts the key of an entry that is stored already; overflow refills ever larger filters until every stored key is in one."""
+        if self.filter.insert(key):
+            return
+        size = self.filter.size
+        while True:
             self.grown += 1
-            bigger = CuckooFilter(self.filter.size * 2)
-            # the new key's entry is already stored, so a refill places it as well
+            size *= 2
+            bigger = CuckooFilter(size)
             if all(bigger.insert(k) for k, held in self.content.items() for _ in held):
                 self.filter = bigger
                 return
-            self.filter = CuckooFilter(bigger.size)
 
-    def add(self, digest: bytes, size: int, doc: float | None, rows: int) -> None:
+    def add(self, digest: bytes, size: int, doc: int | None, rows: int) -> None:
         key = int.from_bytes(digest[:8], "little")
         held = self.content.get(key, {}).get((digest, size)) if key in self.filter else None
         if held is None:
@@ -119,6 +130,8 @@ class LiveIndex:
             return False
         self.filter.delete(key)
         del self.content[key][(digest, size)]
+        if not self.content[key]:
+            del self.content[key]
         return True
 
     def rows(self) -> Iterator[tuple[bytes, int, int | None, int]]:
@@ -177,9 +190,13 @@ def digests(text: Column) -> Column:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """``doc_id, sha (hex), size`` -> one row a distinct text: ``sha, size, keep_id, group_size``."""
+    """``doc_id, sha (hex), size`` -> one row a distinct text: ``sha, size, keep_id, group_size``.
+
+    Entries are dealt to as many buckets as the counted rows need, so that a task's filter and keys stay within bounds.
+    """
     own = rows.select(F.unhex("sha").alias("digest"), "size", "doc_id")
-    entries = own.mapInPandas(_fold, ENTRY).repartition("digest")
+    buckets = max(16, -(-rows.count() // BUCKET_ROWS))
+    entries = own.mapInPandas(_fold, ENTRY).repartition(buckets, "digest")
     live = entries.mapInPandas(_index, ENTRY)
     return live.select(
         F.lower(F.hex("digest")).alias("sha"), "size", F.col("doc_id").alias("keep_id"), F.col("rows").alias("group_size")
