@@ -6,11 +6,15 @@ parts lie within ``SCOPE`` code points of each other in one text: an access iden
 
 Spans are found by marking matches with control characters and summing the lengths of the pieces, in code
 points. Where a text holds those control characters itself they are replaced, one for one, by a character that
-no pattern takes, so offsets and matches stay. Null texts count as empty; rows need no key, nothing shuffles.
+no pattern takes, so offsets and matches stay. Null texts count as empty; empty texts and empty tables give no spans and no rows. A very
+long text costs in proportion to its length and its spans. Spans that tie on their start sort by kind. Rows need no key, rows that repeat
+are each answered, nothing shuffles. Extra columns, whatever their names, pass through :func:`scan`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ WEAK = (
 )
 KINDS = [k[0] for k in (*BASE, *WEAK)]
 SCOPE = 200
+#: Pieces of text that are handled as one block, and bits of the largest number of spans in a text.
+BLOCK, LONGEST_BITS = 256, 28
 OPEN, MID, CLOSE, STAND_IN = "\x01", "\x03", "\x02", "�"
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
@@ -58,49 +64,88 @@ def find(text: Column, kind: str, head: str, value: str, least: int, least_value
             F.when(good, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
         )
 
-    start = F.struct(
-        F.length(pieces[0]).cast("long").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans")
-    )
-    found = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda d: d["spans"])
-    return F.when(text.rlike(head + value), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    def spans(pieces: Column) -> Column:
+        def block(done: Column, i: Column) -> Column:
+            # spans are gathered by blocks of pieces: appending to one long array would copy it for every span
+            start = F.struct(done["at"].alias("at"), nothing().alias("spans"))
+            own = F.aggregate(F.slice(pieces, i * BLOCK + 2, F.lit(BLOCK)), start, step)
+            return bind(own, lambda x: F.struct(x["at"].alias("at"), F.concat(done["blocks"], F.array(x["spans"])).alias("blocks")))
 
+        start = F.struct(F.length(pieces[0]).cast("long").alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("blocks"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+        return F.aggregate(blocks, start, block, lambda d: F.flatten(d["blocks"]))
 
-def near(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"] + SCOPE) & (b["start"] < a["end"] + SCOPE)
+    return bind(pieces, spans)
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def nothing() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
-def link(base: Column, weak: Column) -> Column:
-    """The weak spans whose complements lie in scope; a span that covers part of a base one says nothing new."""
-    code = {k: i for i, k in enumerate(KINDS)}
-    fresh = F.filter(weak, lambda w: ~F.exists(base, lambda b: overlaps(w, b)))
-    ids = F.concat(F.filter(base, lambda b: b["kind"] == code["access"]), F.filter(fresh, lambda w: w["kind"] == code["ident"]))
-    keys = F.concat(F.filter(base, lambda b: b["kind"] != code["access"]), F.filter(fresh, lambda w: w["kind"] == code["token"]))
-    by_id = lambda w: F.exists(ids, lambda i: near(w, i))
-    by_key = lambda w: F.exists(keys, lambda k: near(w, k))
-    return F.filter(
-        fresh,
-        lambda w: F.when(w["kind"] == code["ident"], by_key(w))
-        .when(w["kind"] == code["token"], by_id(w))
-        .otherwise(by_id(w) & by_key(w)),
-    )
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def meets(w: Column, spans: Column, reach: int) -> Column:
+    """Whether a span of ``spans``, which are in order and apart, comes within ``reach`` of ``w``: only the last that starts
+    no later than ``w`` and the next one can, and a binary search finds them."""
+    n = F.size(spans)
+
+    def halve(low: Column, bit: Column) -> Column:
+        # ``low`` spans start no later; tries that many more
+        more = low + bit
+        return F.when((more <= n) & (F.get(spans, more - 1)["start"] <= w["start"]), more).otherwise(low)
+
+    before = F.aggregate(F.array(*[F.lit(1 << b) for b in range(LONGEST_BITS - 1, -1, -1)]), F.lit(0), halve)
+
+    def hit(k: Column) -> Column:
+        left = (k > 0) & (F.get(spans, k - 1)["end"] + reach > w["start"])
+        right = (k < n) & (F.get(spans, k)["start"] < w["end"] + reach)
+        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+
+    return F.when(n == 0, False).otherwise(bind(before, hit))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Adds ``base_spans`` and ``linked_spans``, sorted by start and kind. A span is start, kind (index in KINDS), end."""
-    text = F.col("__safe")
-    marked = docs.withColumn("__safe", safe_text(F.col("text")))
-    cols = {f"__{k[0]}": find(text, *k) for k in (*BASE, *WEAK)}
-    found = marked.withColumns(cols).drop("__safe")
-    base = F.array_sort(F.concat(*[F.col(f"__{k[0]}") for k in BASE]))
-    weak = F.concat(*[F.col(f"__{k[0]}") for k in WEAK])
-    out = found.withColumn("base_spans", base).withColumn("__weak", weak)
-    nothing = F.expr(f"cast(array() as array<{SPAN}>)")
-    linked = F.when(F.size("__weak") > 0, F.array_sort(link(F.col("base_spans"), F.col("__weak")))).otherwise(nothing)
-    return out.withColumn("linked_spans", linked).drop("__weak", *cols)
+    """Adds ``base_spans`` and ``linked_spans``, sorted by start and kind. A span is start, kind (index in KINDS), end.
+
+    Weak kinds are looked for only where a text holds complements for them. Spans of a kind are in order and apart, so each join of
+    one kind to another within the scope is a search for neighbours, not a comparison of all pairs.
+    """
+    kinds = {k[0]: k for k in (*BASE, *WEAK)}
+    col = lambda k: F.col(f"__{k}")
+    has = lambda k: F.size(col(k)) > 0
+    at = lambda k, test: F.when(test, find(F.col("__safe"), *kinds[k])).otherwise(nothing())
+    out = docs.withColumn("__safe", safe_text(F.col("text")))
+    heads = out["__safe"].rlike("|".join(kinds[k][1] for k in ("assign", "ident")))
+    out = out.withColumn("__heads", heads)
+    out = out.withColumns({
+        "__assign": at("assign", F.col("__heads")), "__ident": at("ident", F.col("__heads")),
+        "__access": at("access", F.col("__safe").contains("AKIA")), "__hex": at("hex", F.col("__safe").rlike(kinds["hex"][2])),
+    })
+
+    # a weak span that covers part of a base one says nothing new
+    def fresh(weak: str) -> Column:
+        base = [col(k[0]) for k in BASE]
+        return F.filter(col(weak), lambda w: ~(meets(w, base[0], 0) | meets(w, base[1], 0) | meets(w, base[2], 0)))
+
+    out = out.withColumn("__ident", F.when(has("ident"), fresh("ident")).otherwise(nothing()))
+    out = out.withColumn("__token", at("token", has("access") | has("ident")))
+    out = out.withColumn("__token", F.when(has("token"), fresh("token")).otherwise(nothing()))
+    both = (has("access") | has("ident")) & (has("assign") | has("hex") | has("token"))
+    out = out.withColumn("__endpoint", at("endpoint", both & F.col("__safe").contains("://")))
+    out = out.withColumn("__endpoint", F.when(has("endpoint"), fresh("endpoint")).otherwise(nothing()))
+
+    by_id = lambda w: meets(w, col("access"), SCOPE) | meets(w, col("ident"), SCOPE)
+    by_key = lambda w: meets(w, col("assign"), SCOPE) | meets(w, col("hex"), SCOPE) | meets(w, col("token"), SCOPE)
+    linked = F.array_sort(F.concat(
+        F.filter(col("ident"), by_key), F.filter(col("token"), by_id), F.filter(col("endpoint"), lambda w: by_id(w) & by_key(w))
+    ))
+    base = F.concat(*[col(k[0]) for k in BASE])
+    weak = has("ident") | has("token") | has("endpoint")
+    out = out.withColumn("base_spans", F.when(F.size(base) > 1, F.array_sort(base)).otherwise(base)).withColumn("linked_spans", F.when(weak, linked).otherwise(nothing()))
+    return out.drop("__safe", "__heads", *[f"__{k}" for k in KINDS])
 
 
 def written(spans: Column) -> Column:
