@@ -8,7 +8,10 @@ backwards at once with its ranks. Occurrences are located from sampled suffix po
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. A phrase is each run of
 ``WINDOW`` words of an item, or the whole item if it has fewer but some. Null and empty texts have no words.
 Words are compared by 64-bit hashes. The benchmark is broadcast: its bytes are checked against ``BENCHMARK_LIMIT`` first, and
-a larger one is worked through in slices of its items. Rows need no key; rows that repeat are each answered.
+a larger one is worked through in slices of its items, a pass over the documents each. A text longer than a chunk is searched in several
+shards. Items that share an id are one item, items without one have the empty id; an empty benchmark hits nothing, an empty table gives no
+rows. Rows need no key; rows that repeat are each answered. Extra columns pass through; those of the names in ``MADE`` give way in
+:func:`annotate` and are kept by :func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, lean_batches, lowered, put_back, set_aside, text_chunks, words
+from .common import U64, lean_batches, lowered, put_back, set_aside, stored, text_chunks, words
 
 WINDOW = 10
 #: Every so many suffix positions one is kept, for locating.
 SAMPLE = 8
 #: Words of a shard at most: texts of a chunk are one shard, a longer text is several.
 SHARD_WORDS = 1 << 19
-#: Bytes of benchmark text that are broadcast at most.
+#: Bytes of benchmark text that are broadcast at most; of a larger benchmark so many are searched in one pass, about.
 BENCHMARK_LIMIT = 64 << 20
 
 FOLD = lowered()
@@ -188,16 +191,17 @@ def chunk_hits(bench: Benchmark, ids: np.ndarray, word_doc: np.ndarray) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool = False) -> DataFrame:
+def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", more: bool = False) -> DataFrame:
     """Adds ``n_words, n_hit, items array<string>, spans array<struct<start,end>>`` (UTF-8 byte spans to remove).
 
-    With ``cut`` the spans are also taken out of the text.
+    With ``more`` the columns are there already, from other items, and what is found is added.
     """
     spark = docs.sparkSession
     lean_batches(spark)
-    docs = docs.drop(*MADE)
+    docs = docs if more else docs.drop(*MADE)
+    own_columns = [c for c in docs.columns if c not in MADE]
     shared = spark.sparkContext.broadcast(bench)
-    schema = docs.schema.simpleString()[7:-1]
+    schema = docs.select(*[F.col(f"`{c}`") for c in own_columns]).schema.simpleString()[7:-1]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +217,14 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool =
                 np.add.at(edge, first + b.sizes[phrase], -1)
                 hit = np.cumsum(edge[:-1]) > 0
                 n = hi - lo
+                known = [[] for _ in range(n)]
+                if more:
+                    known = batch.column(batch.schema.get_field_index("items")).slice(lo, n).to_pylist()
+                    for d, cuts in enumerate(batch.column(batch.schema.get_field_index("spans")).slice(lo, n).to_pylist()):
+                        for c in cuts:
+                            hit[np.searchsorted(starts, offs[d] + c["start"]) : np.searchsorted(starts, offs[d] + c["end"])] = True
                 n_hit = np.bincount(word_doc[hit], minlength=n)
-                items: list[list[str]] = [[] for _ in range(n)]
+                items: list[list[str]] = [list(x) for x in known]
                 by_doc = word_doc[first]
                 for p, d in np.unique(np.stack([phrase, by_doc], 1), axis=0).tolist():
                     items[d] += b.items[p]
@@ -227,9 +237,7 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool =
                     else:
                         spans[d].append({"start": int(starts[w] - offs[d]), "end": int(ends[w] - offs[d])})
                     last = w
-                part = batch.slice(lo, n)
-                if cut and hit.any():
-                    part = part.set_column(at, part.schema.field(at), remove_spans(part.column(at), spans))
+                part = batch.slice(lo, n).select(own_columns)
                 extra = [
                     pa.array(np.bincount(word_doc, minlength=n).astype(np.int64)),
                     pa.array(n_hit.astype(np.int64)),
@@ -243,13 +251,34 @@ def annotate(docs: DataFrame, bench: Benchmark, text: str = "text", cut: bool =
     )
 
 
-def read_benchmark(benchmark: DataFrame) -> Benchmark:
-    """Collects the items after a check of their size; the test set is data of a stated bound, not the corpus."""
+def slices(benchmark: DataFrame) -> Iterator[Benchmark]:
+    """The benchmark in slices of its items, each within ``BENCHMARK_LIMIT`` bytes of text, about; one is held at a time."""
     own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    if size > BENCHMARK_LIMIT:
-        raise ValueError(f"the benchmark has {size} bytes of text, more than {BENCHMARK_LIMIT}: pass it in slices of its items")
-    return Benchmark([(r["item"], r["text"]) for r in own.collect()])
+    own = own.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    size = own.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    n = 2 * (size // BENCHMARK_LIMIT) + 1
+    for i in range(n):
+        part = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)
+        # an iterator fetches one partition at a time
+        yield Benchmark([(r["item"], r["text"]) for r in part.select("item", "text").toLocalIterator()])
+
+
+def read_benchmark(benchmark: DataFrame) -> Benchmark:
+    """A benchmark that fits one slice; larger ones go through :func:`marked`."""
+    found = list(slices(benchmark))
+    if len(found) > 1:
+        raise ValueError(f"the benchmark has more than {BENCHMARK_LIMIT} bytes of text: use marked() or decontaminate()")
+    return found[0]
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """:func:`annotate` by every slice of the benchmark: a pass adds its hits and items to those of the passes before, then is stored."""
+    out = None
+    for bench in slices(benchmark):
+        if out is not None:
+            out = stored(out, "slice")
+        out = annotate(docs if out is None else out, bench, text, more=out is not None)
+    return out
 
 
 def remove_spans(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
@@ -267,9 +296,24 @@ def remove_spans(texts: pa.Array, spans: list[list[dict]]) -> pa.Array:
     return pa.array(out, type=pa.string())
 
 
+def cut_spans(rows: DataFrame) -> DataFrame:
+    """Takes the ``spans`` out of ``text``."""
+    names = rows.columns
+    text, spans = names.index("text"), names.index("spans")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = batch.column(spans).to_pylist()
+            if any(cuts):
+                batch = batch.set_column(text, batch.schema.field(text), remove_spans(batch.column(text), cuts))
+            yield batch
+
+    return rows.mapInArrow(own, rows.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the removal spans cut out of ``text`` and ``n_chars`` counted anew; no row is dropped."""
-    out = annotate(set_aside(docs, MADE), read_benchmark(benchmark), cut=True)
+    out = cut_spans(marked(set_aside(docs, MADE), benchmark))
     if "n_chars" in docs.columns:
         chars = F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars)
@@ -278,8 +322,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    bench = read_benchmark(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return annotate(docs, bench).select(
+    return marked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
         "doc_id",
         "n_words",
         "n_hit",
