@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import fmindex, mixing, ngram_join, quality, sharding
-from graphloom.llm.common import stored
+from graphloom.llm.common import forget, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[str] = []
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage{i}")
+            now: list[str] = []
+            docs = stored(docs, f"stage{i}", now)
+            forget(spark, last)  # what the stage read
+            last = now
+    # the last stage's result is a stored table of its own
+    forget(spark, last)
     return docs
