@@ -1,14 +1,20 @@
 """HTML main-text extraction by union-free regular-expression inference over the pages of a host.
 
-Each page becomes a token stream (tags, with class and id for containers, and text slots). Tandem repeats fold to repeated groups.
-A map task aligns the streams of a host one by one into a partial wrapper: matching tokens stay, a run that only one
-side has becomes optional, or a repeated group if it repeats its neighbour. The partial wrappers of a host are then aligned
-in the same way, so every page counts and no task sees a host's pages together. The wrapper's text slots
-carry the amounts of text and link text that fell into them on all pages; from these and the tags around a slot each
-is labelled main text or not, and every page is read through its host's labels.
-
-A null or empty html gives an empty text, a null url belongs to the host of the empty name. Rows that repeat are each
-answered; extra columns pass through :func:`extract`. White space is what ``str.split`` takes as such.
+1. Each page becomes a token stream (tags, with class, id and role for containers, and text slots), nested by its containers.
+2. The streams of a host are aligned one after the other into its wrapper, level by level of containers. Tokens of one key and place
+   match; what some pages lack becomes optional, what occurs in differing numbers becomes a repeated group, and a slot whose text
+   differs is a text slot proper, while one that stays the same is template. A level holds each key once (or each of a fixed number of
+   siblings), so the expression stays as small as the host's markup, and aligning is associative: map tasks align their own pages,
+   partial wrappers are then aligned in the same way, and the order never matters. No task sees a host's pages together.
+3. The wrapper's parts are labelled: article, other main containers, the rest; and side matter: containers that their tag or words
+   mark, that hold little but links, or whose text stays the same over pages while the page's varies.
+4. Every page is read through its host's wrapper: its tokens are aligned with the expression, and a text counts by the part that
+   it falls in. Of the kinds of main part the page takes the best that it has text in. What no wrapper knows gives no text.
+
+A null or empty html gives an empty text, a null url belongs to the host of the empty name. A very long page costs in proportion to its
+length, and its markup alone stays in the wrapper. Rows that repeat are each answered; ties between parts can't occur, as all of the best
+kind count. An empty table gives no rows. Extra columns pass through :func:`extract`, whatever their names, but for ``text``, which gives way.
+White space is what ``str.split`` takes as such.
 """
 
 from __future__ import annotations
@@ -16,8 +22,8 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +34,12 @@ from .common import lean_batches, stored
 
 #: Bytes of wrapper labels that are broadcast at most; beyond, pages are joined with them by host.
 BROADCAST_LIMIT = 16 << 20
-#: Longest group of tokens that is looked for as a repeat, and most items that a wrapper's level is aligned with in full.
-PERIOD, ALIGN = 8, 400
+#: Parts of wrappers that a map task holds before it hands them on, and shares in which a host's partial wrappers are aligned first.
+HELD_PARTS, SHARES = 200_000, 16
+#: Pages that must show the same text before it is template; share of link text that makes a menu within main text, and outside.
+TEMPLATE_PAGES, MENU, LINKS = 3, 0.8, 0.5
+#: Kinds of main part, best first.
+ARTICLE, MAIN_TAG, NAMED_MAIN, REST = 1, 2, 4, 8
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z][^>]*>|<[!?][^>]*>|[^<]+|<", re.S)
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
@@ -38,6 +48,7 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select"}
 CONTAINERS = set("html head body article main section div nav header footer aside form ul ol dl table figure dialog details".split())
 INLINE = set("a abbr b bdi bdo big cite code em font i ins kbd mark q s samp small span strike strong sub sup tt u var wbr del time label".split())
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_TAGS = {"head", "nav", "footer", "aside", "form", "dialog"}
 SIDE = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|header|masthead|"
@@ -86,243 +97,202 @@ def signature(tag: str, source: str) -> str:
     return tag + "".join(f".{w}" for w in words) if words else tag
 
 
-def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str, bool]]:
-    """(token, container path, text, in a link): the page with its containers closed as browsers would."""
-    path: list[str] = []
-    link = 0
+class Box:
+    """A container of a page: its key and, in order, its boxes, its texts as (slot, text, in a link), and None where a block ends."""
+
+    __slots__ = ("key", "items")
+
+    def __init__(self, key: str) -> None:
+        self.key, self.items = key, []
+
+
+def outline(page: str) -> Box:
+    """The page's stream nested by its containers, closed as browsers would. A text's slot is named by the block that it stands in."""
+    stack = [Box("")]
+    link, slot = 0, "#"
     for kind, tag, rest in tokens(page):
         if kind == "text":
-            yield "#", tuple(path), rest, link > 0
+            stack[-1].items.append((slot, rest, link > 0))
             continue
-        if kind == "open":
-            token = signature(tag, rest) if tag in CONTAINERS else tag
-            link += tag == "a"
-            if tag in CONTAINERS and not rest.endswith("/>"):
-                yield token, tuple(path), "", False
-                path.append(token)
-                continue
-            yield token, tuple(path), "", False
+        opens = kind == "open"
+        if tag == "a":
+            link = link + 1 if opens else max(0, link - 1)
+        if tag in INLINE:
+            continue
+        if tag not in CONTAINERS:
+            stack[-1].items.append(None)
+            if tag not in VOID:
+                slot = f"#{tag}" if opens else "#"
+            continue
+        slot = "#"
+        if opens:
+            box = Box(signature(tag, rest))
+            stack[-1].items.append(box)
+            if not rest.endswith("/>"):
+                stack.append(box)
         else:
-            if tag in CONTAINERS:
-                for i in range(len(path) - 1, -1, -1):
-                    if path[i].split(".", 1)[0] == tag:
-                        del path[i:]
-                        break
-            link = max(0, link - (tag == "a"))
-            yield "/" + tag, tuple(path), "", False
-
-
-# A wrapper is a list of items: a token, or [mark, items] with the mark "+" (repeated) or "?" (optional).
-
-
-def fold(items: list) -> list:
-    """Tandem repeats as repeated groups, short periods first."""
-    for period in range(1, PERIOD + 1):
-        out, i, n = [], 0, len(items)
-        if n < 2 * period:
-            break
-        while i < n:
-            group = items[i : i + period]
-            j = i + period
-            while len(group) == period and items[j : j + period] == group:
-                j += period
-            if j > i + period and not (period == 1 and isinstance(group[0], list)):
-                out.append(["+", group])
-                i = j
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return items
-
-
-def _key(item) -> str:
-    while isinstance(item, list):
-        item = item[1][0]
-    return item
-
-
-def _as_groups(items: list, groups: list) -> list:
-    """Writes a single occurrence of the other side's repeated group as that group."""
-    for g in groups:
-        out, i, k = [], 0, len(g)
-        while i < len(items):
-            if items[i : i + k] == g:
-                if out[-1:] != [["+", g]]:
-                    out.append(["+", g])
-                i += k
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return items
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].key.split(".", 1)[0] == tag:
+                    del stack[i:]
+                    break
+    return stack[0]
+
+
+# A part of a wrapper is a list: occurrences, characters, those in links, hash of its text (None once it differed), and its level,
+# key -> [occurrences of the parent that have it, place, repeated group or not, parts]. A fixed number of equal siblings are parts
+# of their own, a repeated group is one part.
+
+
+def shape(box: Box) -> list:
+    """A page's container as the part of a wrapper that takes it alone."""
+    level: dict[str, list] = {}
+    slots: dict[str, list] = {}
+    chars = links = 0
+    whole = blake2b(digest_size=8)
+    fresh = True
+    for at, item in enumerate(box.items):
+        if item is None:
+            fresh = True
+        elif isinstance(item, Box):
+            part = shape(item)
+            level.setdefault(item.key, [1, at, 0, []])[3].append(part)
+            chars, links, fresh = chars + part[1], links + part[2], True
+            whole.update(part[3].encode())
+        elif text := "".join(item[1].split()).encode("utf-8", "replace"):
+            own = slots.setdefault(item[0], [at, 0, 0, 0, blake2b(digest_size=8)])
+            in_links = len(text) * item[2]
+            for k, n in ((1, int(fresh or not own[1])), (2, len(text)), (3, in_links)):
+                own[k] += n
+            own[4].update(text)
+            whole.update(text)
+            chars, links, fresh = chars + len(text), links + in_links, False
+    for slot, (at, runs, n, in_links, digest) in slots.items():
+        level[slot] = [1, at, int(runs > 1), [[1, n, in_links, digest.hexdigest(), {}]]]
+    return [1, chars, links, whole.hexdigest(), level]
+
+
+def parts_of(part: list) -> int:
+    return 1 + sum(parts_of(p) for entry in part[4].values() for p in entry[3])
 
 
 def align(a: list, b: list) -> list:
-    """The least general wrapper found that takes what either takes."""
-    if a == b:
-        return a
-    repeated = [x[1] for x in (*a, *b) if isinstance(x, list) and x[0] == "+"]
-    a, b = _as_groups(a, repeated), _as_groups(b, repeated)
-    if a == b:
-        return a
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if len(x) * len(y) > ALIGN * ALIGN:
-        middle = [["?", x]] * bool(x) + [["?", y]] * bool(y)
-    else:
-        kx, ky = [_key(i) for i in x], [_key(i) for i in y]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if kx[i] == ky[j] else max(best[i + 1][j], best[i][j + 1])
-        middle, i, j = [], 0, 0
-        only_x, only_y = [], []
-
-        def flush() -> None:
-            for run in (only_x, only_y):
-                if run:
-                    plain = run[0][1] if len(run) == 1 and isinstance(run[0], list) and run[0][0] == "?" else list(run)
-                    # a run that repeats what stands before it makes that a repeated group
-                    if middle[-len(plain) :] == plain and not any(isinstance(t, list) for t in plain):
-                        middle[-len(plain) :] = [["+", plain]]
-                    elif not (middle and middle[-1] == ["?", plain]):
-                        middle.append(["?", plain])
-                    run.clear()
-
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and kx[i] == ky[j]:
-                flush()
-                middle.append(_join(x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif j >= len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-                only_x.append(x[i])
-                i += 1
+    """The wrapper part that takes what either takes; ``a`` is changed."""
+    for i in range(3):
+        a[i] += b[i]
+    if a[3] != b[3]:
+        a[3] = None
+    for key, other in b[4].items():
+        own = a[4].get(key)
+        if own is None:
+            a[4][key] = other  # optional: not all occurrences of the parent have it
+            continue
+        own[0] += other[0]
+        own[1] = min(own[1], other[1])
+        if own[2] or other[2] or len(own[3]) != len(other[3]):  # a repeated group
+            first, *rest = own[3]
+            for part in (*rest, *other[3]):
+                align(first, part)
+            own[2], own[3] = 1, [first]
+        else:
+            for x, y in zip(own[3], other[3], strict=True):
+                align(x, y)
+    return a
+
+
+def expression(part: list) -> str:
+    """A part's level as a union-free regular expression over tokens."""
+    out = []
+    for key, (have, at, repeated, parts) in part[4].items():
+        for i, p in enumerate(parts):
+            if key[0] == "#":
+                tag = key[1:]
+                text = "#text" if p[3] is None else "#same"
+                own = f"<{tag}> {text} </{tag}>" if tag else text
             else:
-                only_y.append(y[j])
-                j += 1
-        flush()
-    return a[:head] + middle + a[len(a) - tail :]
-
-
-def _join(p, q):
-    if p == q:
-        return p
-    marks = {x[0] for x in (p, q) if isinstance(x, list)}
-    inner = [x[1] if isinstance(x, list) else [x] for x in (p, q)]
-    return ["+" if "+" in marks else "?", align(*inner)]
-
-
-def expression(items: list) -> str:
-    """The wrapper as a union-free regular expression over tokens."""
-    return " ".join(f"( {expression(i[1])} ){i[0]}" if isinstance(i, list) else "#text" if i == "#" else f"<{i}>" for i in items)
-
-
-class Partial:
-    """A host's wrapper so far with what its slots hold: path -> [characters, in links, pages]."""
-
-    def __init__(self, wrapper: list | None = None, slots: dict | None = None, pages: int = 0) -> None:
-        self.wrapper, self.pages = wrapper, pages
-        self.slots: dict[str, list[int]] = slots or {}
-
-    def add_page(self, page: str) -> None:
-        stream, seen = [], set()
-        for token, path, text, in_link in walk(page):
-            if token == "#":
-                size = len(text) - text.count(" ") - text.count("\n")
-                if not size:
-                    continue
-                key = "\n".join(path)
-                slot = self.slots.setdefault(key, [0, 0, 0])
-                slot[0] += size
-                slot[1] += size * in_link
-                slot[2] += key not in seen
-                seen.add(key)
-            if token == "#" and stream[-1:] == ["#"] or token.lstrip("/") in INLINE or token == "br":
+                own = " ".join(x for x in (f"<{key}>", expression(p), f"</{key.split('.', 1)[0]}>") if x)
+            mark = ("*" if repeated else "?") if have < part[0] else "+" if repeated else ""
+            out.append((at, key, i, f"( {own} ){mark}" if mark else own))
+    return " ".join(x[3] for x in sorted(out))
+
+
+def side(key: str, in_article: bool) -> bool:
+    """Whether a container's tag or words mark menus, notices, adverts, forms, comments and the like."""
+    tag, _, names = key.partition(".")
+    if tag in SIDE_TAGS or tag == "header" and not in_article:
+        return True
+    return bool(names) and tag != "body" and any(SIDE.search(n) and not MAIN.search(n) for n in names.split("."))
+
+
+def main_kind(key: str) -> int:
+    tag, _, names = key.partition(".")
+    if tag == "article":
+        return ARTICLE
+    if tag == "main":
+        return MAIN_TAG
+    return NAMED_MAIN if names and any(MAIN.search(n) for n in names.split(".")) else 0
+
+
+def label(part: list, in_main: int = REST, varies: bool | None = None) -> dict:
+    """What the wrapper says of each part: ``m`` kinds of main part that it is in, ``d`` side matter, ``s`` slots of template text, ``k`` its level."""
+    if varies is None:
+        varies = part[3] is None
+    same = lambda p: varies and p[3] is not None and p[0] >= TEMPLATE_PAGES
+    out: dict = {"m": in_main}
+    level: dict[str, list] = {}
+    slots = []
+    for key, (_, _, _, parts) in part[4].items():
+        if key[0] == "#":
+            if in_main == REST and any(same(p) and p[1] for p in parts):
+                slots.append(key)
+            continue
+        kind = in_main | main_kind(key)
+        own = []
+        for p in parts:
+            if side(key, bool(kind & (ARTICLE | MAIN_TAG))):
+                own.append({"d": 1})
                 continue
-            stream.append(token)
-        self.merge(Partial(fold(stream), None, 1))
-
-    def merge(self, other: Partial) -> None:
-        if other.wrapper is not None:
-            self.wrapper = other.wrapper if self.wrapper is None else align(self.wrapper, other.wrapper)
-        self.pages += other.pages
-        for k, v in other.slots.items():
-            own = self.slots.setdefault(k, [0, 0, 0])
-            for i in range(3):
-                own[i] += v[i]
-
-    def dump(self) -> str:
-        return json.dumps([self.wrapper, self.slots, self.pages])
-
-    @staticmethod
-    def load(text: str) -> Partial:
-        return Partial(*json.loads(text))
-
-
-def side(path: tuple[str, ...]) -> bool:
-    """Whether a container on the path marks menus, notices, adverts, forms, comments and the like."""
-    in_article = False
-    for token in path:
-        tag, _, names = token.partition(".")
-        if tag in SIDE_TAGS or tag == "header" and not in_article:
-            return True
-        if names and tag != "body" and any(SIDE.search(n) and not MAIN.search(n) for n in names.split(".")):
-            return True
-        in_article = in_article or tag in ("article", "main")
-    return False
-
-
-def main_score(path: tuple[str, ...]) -> int:
-    """3 within an article, 2 within main, 1 within a container named as content, else 0."""
-    tags = [t.partition(".") for t in path]
-    if any(t[0] == "article" for t in tags):
-        return 3
-    if any(t[0] == "main" for t in tags):
-        return 2
-    return int(any(t[2] and any(MAIN.search(n) for n in t[2].split(".")) for t in tags))
-
-
-def label(partial: Partial) -> dict[str, bool]:
-    """Main text or not, for every slot path of the wrapper."""
-    paths = {k: tuple(k.split("\n")) if k else () for k in partial.slots}
-    open_ = [k for k in paths if not side(paths[k])]
-    top = max((main_score(paths[k]) for k in open_), default=0)
-    return {
-        k: k in open_ and main_score(paths[k]) == top and (top > 0 or partial.slots[k][1] * 2 <= partial.slots[k][0]) for k in paths
-    }
-
-
-def read(page: str, labels: dict[str, bool]) -> str:
-    """The main text of a page through its host's labels."""
-    own: dict[str, bool] = {}
-    pieces: list[str] = []
-    keys: dict[tuple[str, ...], str] = {}
-    stream = list(walk(page))
-    for token, path, _, _ in stream:
-        if token == "#" and path not in keys:
-            keys[path] = "\n".join(path)
-            own[keys[path]] = labels.get(keys[path], False)
-    # a page none of whose slots the wrapper takes as main text falls back to the best of its own
-    if keys and not any(own.values()):
-        alone = Partial(None, {k: [1, 0, 1] for k in own}, 1)
-        for token, path, text, in_link in stream:
-            if token == "#":
-                alone.slots[keys[path]][0] += len(text)
-                alone.slots[keys[path]][1] += len(text) * in_link
-        own = label(alone)
-    for token, path, text, _ in stream:
-        if token == "#":
-            if own[keys[path]]:
-                pieces.append(_html.unescape(text))
-        elif token.lstrip("/").partition(".")[0] not in INLINE:
-            pieces.append(" ")
-    return " ".join("".join(pieces).split())
+            # a part that is main text itself is never a menu or a template
+            begins = kind != in_main or key.split(".", 1)[0] in ("html", "body")
+            menu = p[2] > p[1] * (LINKS if kind == REST else MENU)
+            if not begins and (menu or same(p) and p[1]):
+                own.append({"d": 1})
+            else:
+                own.append(label(p, kind, p[3] is None if begins else varies))
+        level[key] = own
+    if level:
+        out["k"] = level
+    if slots:
+        out["s"] = slots
+    return out
+
+
+def read(page: str, labels: dict) -> str:
+    """The main text of a page through its host's wrapper."""
+    pieces: list[tuple[int, str]] = []
+
+    def collect(box: Box, own: dict) -> None:
+        kinds, known, template = own.get("m", 0), own.get("k", {}), own.get("s", ())
+        seen: dict[str, int] = {}
+        for item in box.items:
+            if item is None:
+                pieces.append((0, " "))
+            elif isinstance(item, Box):
+                place = seen[item.key] = seen.get(item.key, -1) + 1
+                parts = known.get(item.key)
+                pieces.append((0, " "))
+                if parts:
+                    part = parts[min(place, len(parts) - 1)]
+                    if not part.get("d"):
+                        collect(item, part)
+                pieces.append((0, " "))
+            elif item[0] not in template:
+                pieces.append((kinds, item[1]))
+
+    collect(outline(page), labels)
+    for kind in (ARTICLE, MAIN_TAG, NAMED_MAIN, REST):
+        if any(k & kind and not t.isspace() for k, t in pieces):
+            return " ".join("".join(_html.unescape(t) if k else t for k, t in pieces if not k or k & kind).split())
+    return ""
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -333,27 +303,42 @@ def host_column(url: Column) -> Column:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``url, html`` -> one row a host: ``host, pages, wrapper`` (expression) and ``labels`` (JSON of slot path to main or not)."""
+    """``url, html`` -> one row a host: ``host, pages, wrapper`` (expression) and ``labels`` (JSON of :func:`label`)."""
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Partial] = defaultdict(Partial)
+        held: dict[str, list] = {}
+        size = 0
+        dump = lambda: pd.DataFrame([(h, json.dumps(p)) for h, p in held.items()], columns=["host", "partial"])
         for batch in batches:
             for url, page in zip(batch["url"], batch["html"], strict=True):
-                held[host_of(url)].add_page(page or "")
-            if len(held) > 5_000:
-                yield pd.DataFrame([(h, p.dump()) for h, p in held.items()], columns=["host", "partial"])
-                held.clear()
-        yield pd.DataFrame([(h, p.dump()) for h, p in held.items()], columns=["host", "partial"])
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Partial] = defaultdict(Partial)
+                part, host = shape(outline(page or "")), host_of(url)
+                size += parts_of(part)
+                held[host] = align(held[host], part) if host in held else part
+                if size > HELD_PARTS:
+                    size = sum(map(parts_of, held.values()))
+                    if size > HELD_PARTS // 2:
+                        yield dump()
+                        held.clear()
+                        size = 0
+        yield dump()
+
+    def aligned(batches: Iterator[pd.DataFrame]) -> dict[str, list]:
+        held: dict[str, list] = {}
         for batch in batches:
             for host, text in zip(batch["host"], batch["partial"], strict=True):
-                held[host].merge(Partial.load(text))
-        out = [(h, p.pages, expression(p.wrapper or []), json.dumps(label(p))) for h, p in held.items()]
+                part = json.loads(text)
+                held[host] = align(held[host], part) if host in held else part
+        return held
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(h, json.dumps(p)) for h, p in aligned(batches).items()], columns=["host", "partial"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = [(h, p[0], expression(p), json.dumps(label(p))) for h, p in aligned(batches).items()]
         yield pd.DataFrame(out, columns=["host", "pages", "wrapper", "labels"])
 
     found = pages.select("url", "html").mapInPandas(partials, "host string, partial string")
+    found = found.repartition("host", F.spark_partition_id() % SHARES).mapInPandas(shares, "host string, partial string")
     return found.repartition("host").mapInPandas(whole, "host string, pages long, wrapper string, labels string")
 
 
@@ -392,8 +377,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: The query's SQL: tags are dropped in this order; within ``<article>`` the side elements go whole (none is nested in one of its name).
 _ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "middot": "·", "copy": "©", "nbsp": " ", "amp": "&"}
-_TEXT = r"regexp_replace(coalesce(regexp_extract(html, '<article[^>]*>(.*)</article>', 1, 's'), ''), '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g')"
+_TEXT = "coalesce(regexp_extract(html, '<article[^>]*>(.*)</article>', 1, 's'), '')"
+for _tag in ("script", "style", "nav", "aside", "form", "footer"):
+    _TEXT = f"regexp_replace({_TEXT}, '<{_tag}[ >].*?</{_tag}>', ' ', 'gs')"
+for _word in ("ad", "comments", "sidebar", "notice"):
+    _TEXT = f"""regexp_replace({_TEXT}, '<div class="{_word}">.*?</div>', ' ', 'gs')"""
+_TEXT = rf"regexp_replace({_TEXT}, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g')"
 _TEXT = f"regexp_replace({_TEXT}, '<[^>]*>', ' ', 'g')"
 for _name, _char in _ENTITIES.items():
     _TEXT = "replace(" + _TEXT + f", '&{_name};', " + ("chr(39)" if _char == "'" else f"'{_char}'") + ")"
