@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,27 +106,106 @@ def porter2(word: str) -> str:
     return w.lower()
 
 
+_ION = ("sion", "tion")
+PORTER_2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
+    ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
+    ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+PORTER_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+PORTER_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou")
+
+
+def _shape(word: str) -> str:
+    """The word as v (vowel) and c (consonant); y is a vowel after a consonant."""
+    out = ""
+    for c in word:
+        out += "v" if c in "aeiou" or c == "y" and out[-1:] == "c" else "c"
+    return out
+
+
+def _measure(stem: str) -> int:
+    """How often a vowel run meets a consonant run."""
+    return _shape(stem).count("vc")
+
+
+def _closed(stem: str) -> bool:
+    """Ends in consonant, vowel, consonant other than w, x, y."""
+    return _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
+
+
+def _replace(w: str, rules, least: int) -> str:
+    for end, new in sorted(rules, key=lambda r: -len(r[0])):
+        if w.endswith(end):
+            return w[: -len(end)] + new if _measure(w[: -len(end)]) > least else w
+    return w
+
+
+def porter(word: str) -> str:
+    """The published Porter algorithm of 1980."""
+    w = word.lower()
+    if len(w) < 3:
+        return w
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        end = next((e for e in ("ed", "ing") if w.endswith(e)), None)
+        if end and "v" in _shape(w[: -len(end)]):
+            w = w[: -len(end)]
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
+                w = w[:-1]
+            elif _measure(w) == 1 and _closed(w):
+                w += "e"
+    if w.endswith("y") and "v" in _shape(w[:-1]):
+        w = w[:-1] + "i"
+    w = _replace(_replace(w, PORTER_2, 0), PORTER_3, 0)
+    for end in sorted(PORTER_4, key=len, reverse=True):
+        if w.endswith(end):
+            if _measure(w[: -len(end)]) > 1 and (end != "ion" or w.endswith(_ION)):
+                w = w[: -len(end)]
+            break
+    if w.endswith("e"):
+        m = _measure(w[:-1])
+        w = w[:-1] if m > 1 or m == 1 and not _closed(w[:-1]) else w
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
 def check_stemmer(name: str) -> None:
     if name not in ("english", "porter", "none"):
         raise ValueError(f"Unrecognized stemmer '{name}'. Supported stemmers are: english, porter, none.")
 
 
-@F.pandas_udf(T.StringType())
-def _stem_english(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _stemmed(batches: Iterator[pd.Series], rule: Callable[[str], str]) -> Iterator[pd.Series]:
     known: dict[str | None, str | None] = {None: None}
     for words in batches:
         for w in words.unique():
             if w not in known:
-                known[w] = porter2(w)
+                known[w] = rule(w)
         yield words.map(known)
         if len(known) > 500_000:
             known = {None: None}
 
 
+@F.pandas_udf(T.StringType())
+def _stem_english(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _stemmed(batches, porter2)
+
+
+@F.pandas_udf(T.StringType())
+def _stem_porter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _stemmed(batches, porter)
+
+
 def stem(word: Column, stemmer: str = "english") -> Column:
     """The word's stem; ``none`` returns it as it is."""
     check_stemmer(stemmer)
-    return word if stemmer == "none" else _stem_english(word)
+    return {"none": lambda w: w, "english": _stem_english, "porter": _stem_porter}[stemmer](word)
 
 
 def tokenize(text: Column, tokenizer: str = "simple") -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import window as W
 from ..graph import GraphError, ProjectedGraph
 from ..storage import Loop, stored
 
+#: Paths up to this many edges are one plan of joins; longer ones are built from stored levels.
+UNROLLED = 3
+
 
 def bfs_distance(graph: ProjectedGraph, source: int) -> DataFrame:
     """Directed hops from ``source``; -1.0 where it doesn't lead: ``id, distance``."""
@@ -75,19 +78,24 @@ def weighted_distance(graph: ProjectedGraph, source: int, weight: str) -> DataFr
     return state.select("id", "cost")
 
 
-def walks(edges: DataFrame, least: int, most: int, mode: str = "WALK", start: DataFrame | None = None) -> DataFrame:
+def walks(edges: DataFrame, least: int, most: int | None, mode: str = "WALK", start: DataFrame | None = None) -> DataFrame:
     """Directed paths of ``least`` to ``most`` edges: ``src, dst, nodes array, rels array``.
 
     ``edges`` has ``src, dst, rel``. Modes: WALK (anything), TRAIL (no edge twice), ACYCLIC (no node twice), SIMPLE (no node
-    twice, but the last may be the first). ``start`` (``id``) limits the first node. Paths are pruned as they grow.
+    twice, but the last may be the first). ``start`` (``id``) limits the first node. Paths are pruned as they grow; each level is
+    stored. ``most`` None goes on until no path grows, which a WALK need not reach.
     """
-    if least < 0 or most < least:
+    if least < 0 or most is not None and most < least:
         raise GraphError("a path's bounds must be 0 <= least <= most.")
+    if most is None and mode == "WALK":
+        raise GraphError("walks without an upper bound may be endless: bound them, or take TRAIL, ACYCLIC or SIMPLE.")
     ids = start if start is not None else edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
     paths = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.array("id").alias("nodes"), F.expr("cast(array() as array<bigint>)").alias("rels"))
     out = paths if least == 0 else None
     steps = edges.select(F.col("src").alias("dst"), F.col("dst").alias("__to"), F.col("rel").cast("long").alias("__rel"))
-    for n in range(1, most + 1):
+    n = 0
+    while most is None or n < most:
+        n += 1
         grown = paths.join(steps, "dst")
         if mode == "TRAIL":
             grown = grown.where(~F.array_contains("rels", F.col("__rel")))
@@ -99,22 +107,28 @@ def walks(edges: DataFrame, least: int, most: int, mode: str = "WALK", start: Da
         elif mode != "WALK":
             raise GraphError(f"unknown path mode {mode}")
         paths = grown.select("src", F.col("__to").alias("dst"), F.concat("nodes", F.array("__to")).alias("nodes"), F.concat("rels", F.array("__rel")).alias("rels"))
+        if most is None or most > UNROLLED:
+            paths = stored(paths, "level")
+            if paths.isEmpty():
+                break
         if n >= least:
             out = paths if out is None else out.unionByName(paths)
-    return out
+    return paths.limit(0) if out is None else out
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, which: str = "ALL", most: int = 30, least: int = 1) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, which: str = "ALL", most: int | None = None, least: int = 1) -> DataFrame:
     """All shortest directed paths from ``sources`` (``id``), or with ``ANY`` one a pair: ``src, dst, length, nodes, rels``.
 
-    A level keeps only nodes that no earlier level reached from that source; paths that tie stay for ALL, ANY takes the least by its edges.
+    Without ``most`` it goes on until no new pair is found. A level keeps only nodes that no earlier level reached from that source; paths that tie stay for ALL, ANY takes the least by its edges.
     """
     steps = edges.select(F.col("src").alias("dst"), F.col("dst").alias("__to"), F.col("rel").cast("long").alias("__rel"))
     front = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.array("id").alias("nodes"), F.expr("cast(array() as array<bigint>)").alias("rels"))
     seen = front.select("src", "dst")
     out = front.withColumn("length", F.lit(0)) if least == 0 else None
     loop = Loop(every=1)
-    for n in range(1, most + 1):
+    n = 0
+    while most is None or n < most:
+        n += 1
         grown = front.join(steps, "dst").select("src", F.col("__to").alias("dst"), F.concat("nodes", F.array("__to")).alias("nodes"), F.concat("rels", F.array("__rel")).alias("rels"))
         grown = grown.join(seen, ["src", "dst"], "left_anti")
         if which == "ANY":

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..graph import GraphCatalogue, GraphError
 from ..operators import paths
@@ -30,8 +31,8 @@ def unsupported(what: str) -> GqlError:
 TOKEN = re.compile(r"\s*(?:(--[^>\-\[(][^\n]*|//[^\n]*)|('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(\d+\.\d+|\d+)|([A-Za-z_]\w*)|(<>|<=|>=|\|\||<-|->|.))", re.S)
 CLAUSES = "MATCH OPTIONAL WHERE FILTER FOR RETURN SELECT FROM GROUP HAVING ORDER OFFSET SKIP LIMIT INSERT SET REMOVE DETACH DELETE LET NEXT UNION EXCEPT INTERSECT OTHERWISE YIELD MERGE CALL".split()
 AGGREGATE = re.compile(r"\b(count|sum|avg|min|max|collect_list|percentile_cont|percentile_disc)\s*\(", re.I)
-#: Longest path of a quantifier without an upper bound, and branches and width of a repeated group, as documented limits.
-OPEN_END, GROUP_BRANCHES, GROUP_WIDTH = 30, 8, 4
+#: Branches and width of a repeated group, as documented limits; what exceeds them is refused.
+GROUP_BRANCHES, GROUP_WIDTH = 8, 4
 
 
 def tokens(text: str) -> list[str]:
@@ -64,7 +65,7 @@ class Edge:
     where: str | None = None
     way: str = ">"
     low: int | None = None
-    high: int = 1
+    high: int | None = 1  # None: no upper bound
     named: bool = False
 
 
@@ -187,11 +188,11 @@ class Parser:
         var, label, props, where, named = self.filler(")")
         return Node(var, label, props, where, named)
 
-    def quantifier(self) -> tuple[int, int] | None:
+    def quantifier(self) -> tuple[int, int | None] | None:
         if self.take("*"):
-            return 0, OPEN_END
+            return 0, None
         if self.take("+"):
-            return 1, OPEN_END
+            return 1, None
         if self.take("?"):
             return 0, 1
         if self.is_("{") and (self.peek(1).isdigit() or self.peek(1) == ","):
@@ -199,9 +200,9 @@ class Parser:
             low = int(self.next()) if self.peek().isdigit() else 0
             high = low
             if self.take(","):
-                high = int(self.next()) if self.peek().isdigit() else OPEN_END
+                high = int(self.next()) if self.peek().isdigit() else None
             self.need("}")
-            if high < low:
+            if high is not None and high < low:
                 raise GqlError("a quantifier's upper bound is below its lower bound")
             return low, high
         return None
@@ -240,7 +241,7 @@ class Parser:
                 q = self.quantifier()
                 if q is None:
                     out += inner
-                elif q[1] - q[0] > GROUP_WIDTH or q[1] - q[0] + 1 > GROUP_BRANCHES:
+                elif q[1] is None or q[1] - q[0] > GROUP_WIDTH or q[1] - q[0] + 1 > GROUP_BRANCHES:
                     raise unsupported("a repeated group of so wide a range")
                 else:
                     out.append(Group(inner, *q))
@@ -454,6 +455,8 @@ class GqlSession:
         turned = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel")
         own = {">": own, "<": turned, "-": own.union(turned.where("src <> dst"))}[e.way]
         start = df.select(F.col(f"{prev}.id").alias("id")).distinct()
+        if e.high is None and path.mode == "WALK" and not path.shortest:
+            raise unsupported("an open quantifier in a WALK, which may be endless: give a bound, a path mode or SHORTEST")
         if path.shortest:
             found = paths.shortest_paths(own, start, path.shortest, e.high, e.low).where(F.size("rels") >= e.low)
         else:
@@ -474,7 +477,13 @@ class GqlSession:
             if optional:
                 return a.join(b, F.lit(True), "left")
             return a.crossJoin(b)  # patterns that share no variable are a product by the language's rules
-        on = [(F.col(f"{c}.id") == F.col(f"__r_{c}.id")) & (F.col(f"{c}._label") == F.col(f"__r_{c}._label")) for c in shared]
+        on = []
+        for c in shared:  # nodes are the same by id and label, edges by their ends too; lists and paths as they are
+            kind = a.schema[c].dataType
+            names = set(kind.names) if isinstance(kind, T.StructType) else set()
+            keys = ("id", "_label") if "id" in names and "src" not in names else ("rel", "_label", "src", "dst", "_from", "_to") if "rel" in names else ()
+            own = [F.col(f"{c}.{k}").eqNullSafe(F.col(f"__r_{c}.{k}")) for k in keys if k in names] or [F.col(c) == F.col(f"__r_{c}")]
+            on += own
         return a.join(b, reduce(lambda x, y: x & y, on), "left" if optional else "inner").drop(*[f"__r_{c}" for c in shared])
 
     # statements
@@ -498,7 +507,8 @@ class GqlSession:
                 raise GqlError(f"[42000] graph {name} does not exist")
             self.catalogue = self.graphs[name]
             return None
-        p.take("OR", "REPLACE")
+        if p.is_("OR", "REPLACE"):
+            raise unsupported(f"{verb} OR REPLACE")
         p.take("PROPERTY")
         kind = p.next().upper()
         maybe = p.take("IF", "NOT", "EXISTS") or p.take("IF", "EXISTS")

@@ -42,6 +42,29 @@ re AS MATERIALIZED (SELECT *, (src * 7 + dst) % 11 AS weight FROM (SELECT n_nati
   lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS dst FROM nation) WHERE dst IS NOT NULL)"""
 
 
+def ring_graph(spark: SparkSession, sf_dir: str) -> ProjectedGraph:
+    """Customers in rings of eight by key (each knows the next, the last the first), every second ring bridged to the one after: cycles, and growing."""
+    ring = F.floor(F.col("c_custkey") / 8).cast("long")
+    order = W.Window.partitionBy("ring").orderBy("id")
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), ring.alias("ring"))
+    first, nxt = F.first("id").over(W.Window.partitionBy("ring").orderBy("id")), F.lead("id").over(order)
+    edges = own.select(F.col("id").alias("src"), F.coalesce(nxt, first).alias("dst")).where("src <> dst")
+    bridge = own.groupBy("ring").agg(F.min("id").alias("src")).where("ring % 2 = 0")
+    onto = own.groupBy("ring").agg(F.min("id").alias("dst")).withColumn("ring", F.col("ring") - 1)
+    edges = edges.unionByName(bridge.join(onto, "ring").select("src", "dst"))
+    edges = edges.withColumn("rel", F.col("src") * 4 + (F.col("dst") > F.col("src") + 7).cast("int")).withColumn("weight", (F.col("src") * 7 + F.col("dst")) % 11)
+    return ProjectedGraph(own.select("id"), edges)
+
+
+RING_SQL = """
+rg AS MATERIALIZED (SELECT *, (src * 7 + dst) % 11 AS weight FROM (
+  SELECT c_custkey AS src, coalesce(lead(c_custkey) OVER w, first_value(c_custkey) OVER w) AS dst, 'ring' AS kind FROM customer WINDOW w AS (PARTITION BY c_custkey // 8 ORDER BY c_custkey)
+  UNION ALL SELECT a.id, b.id, 'bridge' FROM (SELECT c_custkey // 8 AS r, min(c_custkey) AS id FROM customer GROUP BY r) a
+    JOIN (SELECT c_custkey // 8 AS r, min(c_custkey) AS id FROM customer GROUP BY r) b ON b.r = a.r + 1 WHERE a.r % 2 = 0) WHERE src <> dst)"""
+_STRONG = """, reach AS (SELECT c_custkey AS id, c_custkey AS other FROM customer UNION SELECT id, dst FROM reach JOIN rg ON src = other)
+SELECT a.id, min(a.other) AS group_id FROM reach a JOIN reach b ON b.id = a.other AND b.other = a.id GROUP BY a.id"""
+
+
 @register(
     "graph_two_hops",
     """SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey
@@ -120,11 +143,13 @@ def graph_k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "graph_spanning_forest",
-    f"""WITH {REGION_SQL} SELECT src, dst, weight FROM re""",
+    # rings have no chord: of each ring the edge that comes last in the order of weight and ends goes, bridges all stay
+    f"""WITH {RING_SQL} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src // 8, kind ORDER BY weight DESC, src DESC, dst DESC) AS n,
+      count(*) OVER (PARTITION BY src // 8, kind) AS size FROM rg) WHERE kind = 'bridge' OR size < 3 OR n > 1""",
 )
 def graph_spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region graph has no cycle, so its forest is all of its edges."""
-    graph = region_graph(spark, sf_dir)
+    """The ring graph's least forest by weight."""
+    graph = ring_graph(spark, sf_dir)
     return forest.spanning_forest(graph, "min", "weight").join(graph.edges.select("rel", "weight"), "rel").select("src", "dst", "weight")
 
 
@@ -166,13 +191,13 @@ def graph_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("graph_simple_page_rank")
 def graph_simple_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.simple_page_rank(part_graph(spark, sf_dir), tolerance=1e-6)
+    return centrality.simple_page_rank(part_graph(spark, sf_dir))
 
 
 @register("graph_personalised_rank")
 def graph_personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = part_graph(spark, sf_dir)
-    return centrality.simple_page_rank(graph, tolerance=1e-6, sources=[graph.nodes.agg(F.min("id").alias("id")).first()["id"]])
+    return centrality.simple_page_rank(graph, sources=[graph.nodes.agg(F.min("id").alias("id")).first()["id"]])
 
 
 @register("graph_betweenness")
@@ -182,7 +207,7 @@ def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("graph_katz")
 def graph_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.katz(part_graph(spark, sf_dir), tolerance=1e-6)
+    return centrality.katz(part_graph(spark, sf_dir))
 
 
 @register("graph_eigenvector")
@@ -195,9 +220,20 @@ def graph_core_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.core_number(part_graph(spark, sf_dir))
 
 
-@register("graph_strong_components")
+@register("graph_strong_components", f"WITH RECURSIVE {RING_SQL}{_STRONG}")
 def graph_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.strongly_connected(region_graph(spark, sf_dir))
+    return community.strongly_connected(ring_graph(spark, sf_dir))
+
+
+@register("graph_strong_components_kosaraju", f"WITH RECURSIVE {RING_SQL}{_STRONG}")
+def graph_strong_components_kosaraju(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.strongly_connected_kosaraju(ring_graph(spark, sf_dir))
+
+
+@register("graph_parallel_core_number", f"WITH {EDGE_SQL}{_cores(40).replace('SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe', 'SELECT src, dst FROM ps')} SELECT id, coalesce(k, 0)::DOUBLE AS core_number FROM pn LEFT JOIN k40 USING (id)")
+def graph_parallel_core_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The core numbers once more: every round here is parallel, so this is the same operator."""
+    return community.core_number(part_graph(spark, sf_dir))
 
 
 @register("graph_louvain")
