@@ -120,7 +120,7 @@ def masked(formatted: Column, spans: Column) -> Column:
 
         return F.array_join(F.transform(F.filter(spans, lambda s: s["end"] > s["start"]), text), "")
 
-    return bind(F.split(formatted, f"(?s)(?<=\\G.{{{CUT}}})", -1), texts)
+    return bind(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), texts)
 
 
 def read_back(formatted: Column) -> Column:

@@ -630,7 +630,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def where(kind: str, what: DataFrame) -> DataFrame:
         few = what.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         table = what.select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash"))
-        return docs.join(F.broadcast(table) if few else table.hint("shuffle_hash"), key.eqNullSafe(F.col("__doc")) & (text_hash == F.col("__hash")), kind)
+        return docs.join(F.broadcast(table) if few else table.hint("shuffle_hash"), key.eqNullSafe(table["__doc"]) & (text_hash == table["__hash"]), kind)
 
     again = known.where("stays AND rows > 1")
     if again.isEmpty():
