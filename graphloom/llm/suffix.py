@@ -5,7 +5,9 @@ byte) equals a string that covers it; strings are judged on the input and never
 
 1. Each document is cut into runs of strings that choose the same k-gram (see ``winnow``), so all
    occurrences of a string lie in runs of one k-gram. Of runs with the same bytes only the first can be news: a map task
-   settles its own copies before the shuffle, the k-gram's bucket the rest.
+   settles its own copies before the shuffle, the k-gram's bucket the rest. Runs of a k-gram that stands in many different runs of a
+   map task are dealt by their bytes instead, and only a mark goes to the k-gram's bucket, which then passes its own runs of it on
+   to meet them by bytes: no task holds all runs of a frequent k-gram.
 2. Of k-grams with several different runs, the bytes of each first run are fetched and dealt to bins by k-gram. Runs that
    share no core of a string with another run of their k-gram can't repeat and are left out. A k-gram with very many runs
    is split: a run is cut by the quarter of its strings that the k-gram stands in, and each piece is dealt by that quarter's core.
@@ -38,6 +40,8 @@ from .winnow import GRAM, PLACE_BITS, SPAN, WIDE, runs
 BUCKET_BYTES, BIN_BYTES = 12 << 20, 1 << 20
 BROADCAST_ROWS, BROADCAST_ITEMS = 400_000, 4_000_000
 FLUSH_RUNS = 400_000
+#: From this many different runs of a k-gram among ``FLUSH_RUNS``, they are dealt by their bytes.
+LOCAL_HOT = 8
 #: A k-gram with more different runs than this is dealt by the cores of its strings too.
 HOT_RUNS = 20_000
 #: Bytes that UTF-8 never holds: between runs, and at the end of a shard.
@@ -76,7 +80,10 @@ def of_first(c: dict[str, np.ndarray], order: np.ndarray, fresh: np.ndarray) ->
 
 
 def posted(docs: DataFrame, buckets: int) -> DataFrame:
-    """Runs packed by bucket; ``copies`` are those whose bytes an earlier run of the same task has."""
+    """Runs packed by bucket; ``copies`` are those whose bytes an earlier run of the same task has.
+
+    Buckets from ``buckets`` on hold runs of frequent k-grams, dealt by k-gram and bytes; ``marks`` tells a k-gram's own bucket of it.
+    """
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -84,19 +91,30 @@ def posted(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             c = {k: np.concatenate([h[k] for h in held]) for k, _ in FIELDS}
-            order, _, fresh = order_runs(c)
-            cells: list[list] = [[], [], []]
-            for column, rows, key in ((1, order[fresh], c["gram"]), (2, order[~of_first(c, order, fresh)], c["doc"].view(U64))):
+            order, head, fresh = order_runs(c)
+            run = np.cumsum(head) - 1
+            often = np.bincount(run[fresh], minlength=run[-1] + 1)[run] >= LOCAL_HOT
+            gram, n = c["gram"], U64(buckets)
+            by_bytes = mix(gram ^ mix(c["bytes"])) % n + n
+            cells: list[list] = [[], [], [], []]
+
+            def put(column: int, rows: np.ndarray, bucket: np.ndarray, packed) -> None:
                 rows = np.sort(rows)
-                bucket = (key[rows] % U64(buckets)).astype(np.int32)
-                rows, bucket = rows[o := np.argsort(bucket, kind="stable")], bucket[o]
-                edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)][: len(edge)], strict=True):
-                    cells[0].append(bucket[a])
-                    cells[column].append(pack(c, rows[a:b]))
-                    cells[3 - column].append(None)
+                b = bucket[rows].astype(np.int32)
+                rows, b = rows[o := np.argsort(b, kind="stable")], b[o]
+                edge = np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)])
+                for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)][: len(edge)], strict=True):
+                    for i in range(1, 4):
+                        cells[i].append(packed(rows[lo:hi]) if i == column else None)
+                    cells[0].append(b[lo])
+
+            whole = lambda rows: pack(c, rows)
+            put(1, order[fresh & ~often], gram % n, whole)
+            put(1, order[fresh & often], by_bytes, whole)
+            put(2, order[~of_first(c, order, fresh)], c["doc"].view(U64) % n, whole)
+            put(3, order[head & often], gram % n, lambda rows: gram[rows].astype("<u8").tobytes())
             return pa.RecordBatch.from_arrays(
-                [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.binary()), pa.array(cells[2], pa.binary())], ["bucket", "cells", "copies"]
+                [pa.array(cells[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cells[1:])], ["bucket", "cells", "copies", "marks"]
             )
 
         for batch in batches:
@@ -118,35 +136,51 @@ def posted(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("doc", "text").mapInArrow(own, "bucket int, cells binary, copies binary")
+    return docs.select("doc", "text").mapInArrow(own, "bucket int, cells binary, copies binary, marks binary")
 
 
-def settle(group: pa.Table) -> pa.Table:
-    """Copies of a run (``gram`` null: their bytes go) and the first runs of k-grams that have several."""
+def settle(group: pa.Table, buckets: int) -> pa.Table:
+    """Copies of a run (``gram`` null: their bytes go), the first runs of k-grams that have several, and those to meet by ``bytes``."""
     c = unpack([x for x in group.column("cells").to_pylist() if x is not None])
     copies = unpack([x for x in group.column("copies").to_pylist() if x is not None])
+    marks = np.frombuffer(b"".join(x for x in group.column("marks").to_pylist() if x is not None), dtype="<u8")
     order, gram, fresh = order_runs(c)
     run = np.cumsum(gram) - 1
     several = np.bincount(run[fresh], minlength=run[-1] + 1 if len(run) else 0)[run] > 1 if len(run) else fresh
-    first = np.flatnonzero(fresh & several)
+    apart = np.isin(c["gram"][order], marks) | (group.column("bucket")[0].as_py() >= buckets)
+    first = np.flatnonzero(fresh & (several | apart))
     # a row that repeats is no copy of itself
     same = np.zeros(len(order), dtype=bool)
     same[1:] = ~fresh[1:] & (c["doc"][order][1:] == c["doc"][order][:-1]) & (c["at"][order][1:] == c["at"][order][:-1])
     old = order[~of_first(c, order, fresh) & ~same]
     want = order[first]
     cols = {k: np.concatenate((c[k][want], c[k][old], copies[k])) for k in ("doc", "at", "strings")}
+    pad = np.zeros(len(old) + len(copies["doc"]), np.int64)
     asked = np.arange(len(cols["doc"])) < len(want)
-    grams = np.concatenate((c["gram"][want].view(np.int64), np.zeros(len(old) + len(copies["doc"]), np.int64)))
+    meet = np.concatenate((apart[first], pad.astype(bool)))
     return pa.table(
         {
             "doc": cols["doc"].astype(np.int64),
             "at": cols["at"].astype(np.int64),
             "strings": cols["strings"].astype(np.int32),
-            "gram": pa.array(grams, mask=~asked),
+            "gram": pa.array(np.concatenate((c["gram"][want].view(np.int64), pad)), mask=~asked),
+            "bytes": pa.array(np.concatenate((c["bytes"][want].view(np.int64), pad)), mask=~meet),
         }
     )
 
 
+def met(found: DataFrame) -> DataFrame:
+    """``found`` once runs of frequent k-grams have met by bytes: of two places of the same bytes the later is a copy.
+
+    There are two at most: one from the bucket of their bytes, one from the k-gram's own.
+    """
+    place = F.struct("doc", "at", "strings")
+    pairs = found.where("bytes IS NOT NULL").groupBy("gram", "bytes").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    copy = F.when(F.struct("low.doc", "low.at") != F.struct("high.doc", "high.at"), F.struct("high.*", F.lit(None).cast("long").alias("gram")))
+    told = pairs.select(F.inline(F.array_compact(F.array(F.struct("low.*", "gram"), copy))))
+    return found.where("bytes IS NULL").drop("bytes").unionByName(told)
+
+
 def core_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each run and each quarter of the k-gram's places in a string: a hash of the bytes all those strings cover.
 
@@ -357,7 +391,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     lean_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(32, int(total * 2 / WIDE * 30 / BUCKET_BYTES) + 1)
-    found = stored(posted(docs, buckets).groupBy("bucket").applyInArrow(settle, "doc long, at long, strings int, gram long"), "runs")
+    own = lambda group: settle(group, buckets)
+    found = met(stored(posted(docs, buckets).groupBy("bucket").applyInArrow(own, "doc long, at long, strings int, gram long, bytes long"), "runs"))
     copies = found.where("gram IS NULL").select("doc", F.col("at").alias("start"), (F.col("at") + F.col("strings") + SPAN - 1).alias("end"))
     wanted = found.where("gram IS NOT NULL")
     size = wanted.agg(F.coalesce(F.sum(F.col("strings") + SPAN), F.lit(0)).alias("n")).first()["n"]

@@ -136,12 +136,12 @@ def repetitive(seed=7):
     return rows + [(100, "ab" * 300), (101, "ab" * 90), (102, "z" * 500), (103, passage[4] * 3), (104, "q" * 99), (105, None), (106, "")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 1, "BIN_BYTES": 5_000}, {"HOT_RUNS": 1, "BIN_BYTES": 2_000}])
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 1, "BIN_BYTES": 5_000}, {"HOT_RUNS": 1, "BIN_BYTES": 2_000}, {"LOCAL_HOT": 2, "FLUSH_RUNS": 40}, {"LOCAL_HOT": 1}])
 def test_suffix_dedup(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix, name, value)
     rows = repetitive()
-    got = suffix.digest(suffix.cut(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = suffix.digest(suffix.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == cut(rows)
 
 
