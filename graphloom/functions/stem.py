@@ -208,6 +208,12 @@ def stem(word: Column, stemmer: str = "english") -> Column:
     return {"none": lambda w: w, "english": _stem_english, "porter": _stem_porter}[stemmer](word)
 
 
+def stem_word(word: str, stemmer: str = "english") -> str:
+    """The stem of one word, by the same rules as :func:`stem`."""
+    check_stemmer(stemmer)
+    return {"none": lambda w: w, "english": porter2, "porter": porter}[stemmer](word)
+
+
 def tokenize(text: Column, tokenizer: str = "simple") -> Column:
     """Words between blanks; empty ones are dropped."""
     if tokenizer != "simple":

@@ -119,6 +119,16 @@ class GraphCatalogue:
             raise GraphError(f"Project graph {name} does not exist")
         del self.projected[name]
 
+    def free_index_name(self, table: str, name: str) -> None:
+        if (table, name) in self.indexes:
+            raise GraphError(f"Index {name} already exists in table {table}")
+
+    def index(self, table: str, name: str, kind: str):
+        """The index of that kind, else an error."""
+        if self.indexes.get((table, name), (None,))[0] != kind:
+            raise GraphError(f"Table {table} has no {kind} index named {name}")
+        return self.indexes[table, name][1]
+
     def show_indexes(self) -> list[tuple[str, str, str]]:
         """(table, index, kind) of every index."""
         return sorted((t, i, kind) for (t, i), (kind, _) in self.indexes.items())

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stem import check_stemmer, porter2, stem, tokenize
+from ..functions.stem import check_stemmer, stem, stem_word, tokenize
 from ..storage import stored
 
 #: Characters that documents and queries lose by default (queries keep the wildcards).
@@ -48,6 +48,8 @@ class FtsIndex:
     lengths: DataFrame
     terms: DataFrame
     config: FtsConfig
+    #: Stored tables that go with the index.
+    paths: list[str] = field(default_factory=list)
 
     def save(self, path: str) -> None:
         for name in ("postings", "lengths", "terms"):
@@ -93,10 +95,12 @@ def _postings(docs: DataFrame, columns: list[str], config: FtsConfig) -> DataFra
 
 def _indexed(postings: DataFrame, config: FtsConfig) -> FtsIndex:
     """Postings are kept in ranges of terms, sorted, so that a query's terms prune files and row groups of the scan."""
-    kept = stored(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
-    lengths = stored(kept.groupBy("id").agg(F.sum("tf").alias("len")), "lengths")
-    terms = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return FtsIndex(kept, lengths, terms, config)
+    paths: list[str] = []
+    kept = stored(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings", paths)
+    lengths = stored(kept.groupBy("id").agg(F.sum("tf").alias("len")), "lengths", paths)
+    counted = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = stored(counted.sortWithinPartitions("term"), "terms", paths)
+    return FtsIndex(kept, lengths, terms, config, paths)
 
 
 def build(docs: DataFrame, columns: list[str], config: FtsConfig | None = None) -> FtsIndex:
@@ -115,7 +119,7 @@ def query_terms(text: str, config: FtsConfig, conjunctive: bool) -> tuple[list[s
         stop = {r[0] for r in stop.select(stop.columns[0]).where(F.col(stop.columns[0]).isin(found)).collect()} if isinstance(stop, DataFrame) else set(stop)
         found = [t for t in found if t not in stop]
     wild = [t for t in found if "*" in t or "?" in t]
-    plain = [t if config.stemmer == "none" else porter2(t) for t in found if t not in wild]
+    plain = [stem_word(t, config.stemmer) for t in found if t not in wild]
     return list(dict.fromkeys(plain)), list(dict.fromkeys(wild))
 
 

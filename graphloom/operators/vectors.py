@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shared_path, stored
+
 METRICS = {"cosine": "cosine", "l2": "l2", "l2sq": "l2sq", "dotproduct": "ip", "dot_product": "ip", "ip": "ip", "inner_product": "ip"}
 SEARCH_TYPES = ("auto", "navix", "adaptive_l", "adaptive_g", "blind", "directed", "one_hop", "random", "naive")
 QUANTIZATIONS = {"none": None, "sq8": 127.0, "sq16": 32767.0}
@@ -146,6 +148,22 @@ class QuantizedIndex:
     metric: str
     quantization: str
     rerank: bool
+    #: Stored tables that go with the index.
+    paths: list[str] = field(default_factory=list)
+
+    def without(self, ids: DataFrame) -> QuantizedIndex:
+        """The index after deleting the rows in ``ids`` (``id``)."""
+        gone = ids.select("id")
+        return self._with(self.codes.join(gone, "id", "left_anti"), self.rows.join(gone, "id", "left_anti"))
+
+    def with_rows(self, rows: DataFrame) -> QuantizedIndex:
+        """The index after inserting or updating ``rows``; only their codes are made."""
+        left, own = self.without(rows), rows.where(F.col(self.column).isNotNull())
+        return self._with(left.codes.unionByName(_coded(own, self.column, self.quantization)), left.rows.unionByName(own.select(*left.rows.columns)))
+
+    def _with(self, codes: DataFrame, rows: DataFrame) -> QuantizedIndex:
+        paths: list[str] = []
+        return replace(self, codes=stored(codes, "codes", paths) if self.paths else codes, rows=rows, paths=paths)
 
     def search(self, vector, k: int, efs: int = 200, search_type: str = "auto") -> DataFrame:
         """The k nearest by quantised distance, or with ``rerank`` the k best by full distance among ``max(k, efs)`` of them."""
@@ -168,16 +186,24 @@ def quantize_vector(vector, quantization: str) -> tuple[list[float], float]:
     return [max(-limit, min(limit, math.copysign(math.floor(abs(float(x) / scale) + 0.5), float(x)))) for x in vector], scale
 
 
-def quantized(rows: DataFrame, column: str, metric: str = "cosine", quantization: str = "sq8", rerank: bool = False) -> QuantizedIndex:
-    """Builds the codes of ``rows`` (``id`` and the vector column); null vectors are left out."""
+def _coded(rows: DataFrame, column: str, quantization: str) -> DataFrame:
+    codes, scale = quantize(F.col(column), quantization)
+    return rows.select("id", codes.alias("codes"), scale.alias("scale"))
+
+
+def quantized(
+    rows: DataFrame, column: str, metric: str = "cosine", quantization: str = "sq8", rerank: bool = False, keep: bool = False
+) -> QuantizedIndex:
+    """Builds the codes of ``rows`` (``id`` and the vector column); null vectors are left out. ``keep`` stores them for many searches."""
     metric = metric_of(metric)
     if quantization not in QUANTIZATIONS or quantization == "none":
         raise ValueError("quantization must be sq8 or sq16.")
     if metric == "ip":
         raise ValueError("Quantization is not supported with dot product.")
-    codes, scale = quantize(F.col(column), quantization)
     own = rows.where(F.col(column).isNotNull())
-    return QuantizedIndex(own.select("id", codes.alias("codes"), scale.alias("scale")), own, column, metric, quantization, rerank)
+    paths: list[str] = []
+    codes = _coded(own, column, quantization)
+    return QuantizedIndex(stored(codes, "codes", paths) if keep else codes, own, column, metric, quantization, rerank, paths)
 
 
 @dataclass(frozen=True)
@@ -188,6 +214,36 @@ class IvfIndex:
     centres: list[list[float]]
     column: str
     metric: str
+    #: Stored tables that go with the index.
+    paths: list[str] = field(default_factory=list)
+
+    def without(self, ids: DataFrame) -> IvfIndex:
+        """The index after deleting the rows in ``ids`` (``id``)."""
+        return self._with(self.rows.join(ids.select("id"), "id", "left_anti"))
+
+    def with_rows(self, rows: DataFrame) -> IvfIndex:
+        """The index after inserting or updating ``rows``, each into the list of its nearest centre; the centres stay."""
+        own = rows.where(F.col(self.column).isNotNull()).withColumn("list", self.ranked(F.col(self.column))[0])
+        return self._with(self.rows.join(rows.select("id"), "id", "left_anti").unionByName(own.select(*self.rows.columns)))
+
+    def _with(self, rows: DataFrame) -> IvfIndex:
+        paths: list[str] = []
+        return replace(self, rows=_by_list(rows, paths) if self.paths else rows, paths=paths)
+
+    def ranked(self, vector: Column) -> Column:
+        """The numbers of all lists, the nearest centre first."""
+        apart = [F.struct(distance(vector, literal(c), "l2sq").alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]
+        return F.transform(F.array_sort(F.array(*apart)), lambda x: x["i"])
+
+    def search_all(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """``query, id, distance`` for every row of ``queries`` (``query, vector``): each meets the rows of its nearest lists alone."""
+        from pyspark.sql import window as W
+
+        asked = queries.withColumn("list", F.explode(F.slice(self.ranked(F.col("vector")), 1, probes)))
+        near = self.rows.where(F.col(self.column).isNotNull()).select("id", F.col(self.column).alias("__v"), "list").join(asked, "list")
+        near = near.select("query", "id", distance(F.col("__v"), F.col("vector"), self.metric).alias("distance"))
+        order = W.Window.partitionBy("query").orderBy("distance", "id")
+        return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
     def search(self, vector, k: int, probes: int = 8) -> DataFrame:
         """The k nearest of the probed lists; with fewer than k there, all lists are read."""
@@ -197,8 +253,16 @@ class IvfIndex:
         return near if near.count() == k else knn(self.rows, self.column, vector, k, self.metric)
 
 
-def ivf(rows: DataFrame, column: str, lists: int = 64, metric: str = "l2", sample: int = 50_000, seed: int = 42) -> IvfIndex:
-    """Centres come from a k-means over at most ``sample`` rows; every row is then assigned. Write ``rows`` partitioned by ``list`` to prune the scan."""
+def _by_list(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """Stores rows partitioned by ``list``, so that a search reads its lists' files alone."""
+    path = shared_path(rows.sparkSession, "lists")
+    rows.write.partitionBy("list").parquet(path)
+    paths.append(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def ivf(rows: DataFrame, column: str, lists: int = 64, metric: str = "l2", sample: int = 50_000, seed: int = 42, keep: bool = False) -> IvfIndex:
+    """Centres come from a k-means over at most ``sample`` rows; every row is then assigned. ``keep`` stores rows by list, which prunes the scan."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -207,4 +271,5 @@ def ivf(rows: DataFrame, column: str, lists: int = 64, metric: str = "l2", sampl
     model = KMeans(k=lists, seed=seed, maxIter=15).fit(fit)
     centres = [c.tolist() for c in model.clusterCenters()]
     told = model.transform(own.withColumn("features", array_to_vector(F.col(column).cast("array<double>"))))
-    return IvfIndex(told.withColumnRenamed("prediction", "list").drop("features"), centres, column, metric_of(metric))
+    own, paths = told.withColumnRenamed("prediction", "list").drop("features"), []
+    return IvfIndex(_by_list(own, paths) if keep else own, centres, column, metric_of(metric), paths)
