@@ -207,6 +207,10 @@ def to_json(value: Column, kind: T.DataType) -> Column:
     return F.when(value.isNotNull(), F.substring(inner, F.lit(2), F.length(inner) - 2))
 
 
+#: Other names of the same function.
+json_quote = array_to_json = row_to_json = to_json
+
+
 def json_array(*parts: Column) -> Column:
     """An array of JSON texts; null becomes the JSON null."""
     return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(p, F.lit("null")) for p in parts]), F.lit("]"))

@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import engine_queries, graph_queries, json_queries, pattern_queries, text_queries, vector_queries  # noqa: E402, F401
+from . import engine_queries, gql_queries, graph_queries, json_queries, pattern_queries, text_queries, vector_queries  # noqa: E402, F401

@@ -70,6 +70,21 @@ def cdc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(changes.select("user_id", "event_type", "value").limit(0), changes, ["user_id"])
 
 
+@register(
+    "cdc_merge",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events), l AS (SELECT * FROM r WHERE n = 1)
+    SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM l)
+    UNION ALL SELECT user_id, value FROM l WHERE event_type <> (SELECT min(event_type) FROM events)""",
+)
+def cdc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events change the customers that are there: balances are replaced, rows deleted, unknown keys inserted."""
+    events = table(spark, sf_dir, "events")
+    gone = events.agg(F.min("event_type").alias("t")).first()["t"]
+    op = F.when(F.col("event_type") == gone, "delete").otherwise("upsert")
+    changes = events.select(F.col("user_id").alias("c_custkey"), F.col("value").alias("c_acctbal"), F.col("event_id").alias("seq"), op.alias("op"))
+    return apply_changes(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), changes, ["c_custkey"])
+
+
 @register(
     "cdc_diff",
     "SELECT c_custkey, 'upsert' AS op FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'delete' FROM customer WHERE c_acctbal > 9500",

@@ -488,10 +488,15 @@ class GqlSession:
 
     # statements
     def run(self, text: str) -> DataFrame | None:
-        """A query's rows; None for statements that only change something."""
+        """A query's rows; None for statements that only change something. EXPLAIN gives the plan (``plan``) of a query that changes nothing."""
         p = Parser(text)
         if not p.t:
             raise GqlError("the statement is empty")
+        if p.take("EXPLAIN"):
+            if {t.upper() for t in p.t} & {"INSERT", "SET", "REMOVE", "DELETE", "CREATE", "DROP", "SESSION"}:
+                raise unsupported("EXPLAIN of a change")
+            plan = self._query(p)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            return self.spark.createDataFrame([(plan,)], "plan string")
         if p.peek().upper() in ("CREATE", "DROP", "SESSION"):
             return self._catalogue(p)
         return self._query(p)
@@ -608,7 +613,7 @@ class GqlSession:
                 continue
             alias = None
             ups = [x.upper() for x in one]
-            if "AS" in ups and len(one) - ups.index("AS") == 2:
+            if len(one) > 2 and ups[-2] == "AS":
                 alias, one = one[-1].strip('`"'), one[:-2]
             text = expression(one)
             items.append((text, alias or text))
@@ -713,6 +718,8 @@ class GqlSession:
                 own = self.catalogue.node_tables[label]
                 values = {k: F.expr(v) for k, v in x.props.items()}
                 row = base.select(*[(values[c] if c in values else F.lit(None)).cast(own.schema[c].dataType).alias(c) for c in own.columns])
+                if "id" in x.props and not own.join(row.select("id"), "id", "left_semi").isEmpty():
+                    raise GqlError(f"a node of {label} with this id exists already")
                 self.catalogue.node_tables[label] = stored(own.unionByName(row), "nodes")
                 known[x.var] = (label, x.props.get("id", "NULL"))
         for a, e, b in zip(items[0::2], items[1::2], items[2::2], strict=False):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import jsonfns as J
+from ..sources import jsonio
+from ..storage import shared_path
 from .catalogue import register, table
 
 
@@ -61,3 +63,51 @@ def json_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(J.json_structure(F.col("props")).alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("json_minify", """SELECT event_id, '{"k":' || json_extract(props, '$.k')::VARCHAR || '}' AS small FROM events""")
+def json_minify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = F.regexp_replace("props", ":", " :\n ")
+    return events(spark, sf_dir).select("event_id", J.json_minify(J.cast_to_json(spaced)).alias("small"))
+
+
+@register(
+    "json_object_null_key",
+    """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '{"a":null}' ELSE '{"a":null,"odd":' || user_id || '}' END AS made, '[null,' || user_id || ']' AS listed FROM events""",
+)
+def json_object_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, nothing = J.json_quote(F.col("user_id"), T.LongType()), F.lit(None).cast("string")
+    key = F.when(F.col("user_id") % 2 != 0, "odd")
+    return events(spark, sf_dir).select("event_id", J.json_object(F.lit("a"), nothing, key, user).alias("made"), J.json_array(nothing, user).alias("listed"))
+
+
+@register("json_scan", "SELECT event_id, user_id, json_extract(props, '$.k')::BIGINT AS k, [user_id, event_id] AS pair FROM events WHERE event_id % 10 <> 0")
+def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as lines of JSON, every tenth of them broken, and scanned with inferred types."""
+    line = F.to_json(F.struct("event_id", "user_id", F.from_json("props", "k long").alias("props"), F.array("user_id", "event_id").alias("pair")))
+    path = shared_path(spark, "lines")
+    events(spark, sf_dir).select(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), line)).otherwise(line)).write.text(path)
+    return jsonio.scan(spark, path, ignore_errors=True).where("event_id IS NOT NULL").select("event_id", "user_id", F.col("props.k").alias("k"), "pair")
+
+
+@register("json_rejected", "SELECT count(*) AS broken FROM events WHERE event_id % 10 = 0")
+def json_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "lines")
+    events(spark, sf_dir).select(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{"), F.col("props"))).otherwise(F.col("props"))).write.text(path)
+    return jsonio.rejected(spark, path).agg(F.count(F.lit(1)).alias("broken"))
+
+
+@register("json_array_file", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations exported as one JSON array and read back."""
+    path = shared_path(spark, "array")
+    jsonio.export_array(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    return jsonio.scan(spark, path)
+
+
+@register("database_export", "SELECT n_name, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+def database_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, names = shared_path(spark, "export"), ["nation", "customer"]
+    jsonio.export_database({n: table(spark, sf_dir, n) for n in names}, path)
+    t = jsonio.import_database(spark, path, names)
+    return t["nation"].join(t["customer"], F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))

@@ -12,13 +12,20 @@ from pyspark.sql import types as T
 FORMATS = ("auto", "array", "unstructured")
 
 
-def detect(spark: SparkSession, path: str) -> str:
-    """``array`` if the text starts with a bracket, ``newline`` if its first line is a whole record, else ``unstructured``."""
-    for row in spark.read.text(path).where(F.trim("value") != "").limit(1).collect():
+def detect(spark: SparkSession, path: str, lenient: int = 0) -> str:
+    """``array`` if the text starts with a bracket, ``newline`` if its first line is a whole record, else ``unstructured``.
+
+    With ``lenient``, for files with broken records, half of the first ``lenient`` lines that are whole objects make it ``newline``.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    for row in lines.limit(1).collect():
         line = row["value"].strip()
         if line.startswith("["):
             return "array"
         whole = spark.range(1).select(F.try_parse_json(F.lit(line)).isNotNull().alias("ok")).first()["ok"]
+        if lenient and not whole:
+            known = F.count(F.when(F.try_parse_json("value").isNotNull(), F.json_object_keys("value")))
+            whole = lines.limit(lenient).agg((2 * known >= F.count(F.lit(1))).alias("ok")).first()["ok"]
         return "newline" if whole else "unstructured"
     return "newline"
 
@@ -29,8 +36,8 @@ def scan(
 ) -> DataFrame:
     """Reads JSON. Without a schema it is inferred and columns stand in the order in which keys first appear.
 
-    Newline-delimited files are split over tasks; arrays and unstructured ones are read a file a task. Records that can't be read fail
-    the scan, or with ``ignore_errors`` are left out.
+    Values that lie deeper than ``maximum_depth`` stay JSON text. Newline-delimited files are split over tasks; arrays and unstructured ones are read a file a task. Records that can't be read fail
+    the scan, or with ``ignore_errors`` are left out; :func:`rejected` lists those of newline-delimited files.
     """
     format = format.lower()
     if format not in FORMATS:
@@ -39,11 +46,13 @@ def scan(
         raise ValueError("SAMPLE_SIZE and MAXIMUM_DEPTH must be positive.")
     if not auto_detect and schema is None:
         raise ValueError("When AUTO_DETECT is set to false, a schema is required.")
-    kind = detect(spark, path) if format == "auto" else format
+    kind = detect(spark, path, sample_size if ignore_errors else 0) if format == "auto" else format
     reader = spark.read.option("mode", "DROPMALFORMED" if ignore_errors else "FAILFAST").option("multiLine", kind != "newline")
     if schema is not None:
         return reader.schema(schema).json(path)
     df = reader.json(path)
+    if shallow(df.schema, maximum_depth) != df.schema:
+        df = reader.schema(shallow(df.schema, maximum_depth)).json(path)
     if kind == "newline":
         lines = spark.read.text(path).where(F.trim("value") != "").limit(sample_size)
         keys = lines.select(F.posexplode(F.json_object_keys("value")).alias("at", "key"))
@@ -53,6 +62,23 @@ def scan(
     return df
 
 
+def shallow(kind: T.DataType, depth: int) -> T.DataType:
+    """``kind`` with whatever lies deeper than ``depth`` levels as text; a record is one level."""
+    if isinstance(kind, (T.StructType, T.ArrayType)) and depth <= 0:
+        return T.StringType()
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, shallow(f.dataType, depth - 1), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(shallow(kind.elementType, depth - 1), kind.containsNull)
+    return kind
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """``file, record``: the lines that a scan with ``ignore_errors`` leaves out because they are no JSON objects."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("record")).where(F.trim("record") != "")
+    return lines.where(F.json_object_keys("record").isNull() | F.try_parse_json("record").isNull())
+
+
 def export_array(df: DataFrame, path: str) -> None:
     """Writes all rows as one JSON array in one file, a record a line. The single task streams, it holds one batch at a time."""
 

@@ -38,6 +38,7 @@ def rows(session, text):
         ("MATCH (a:!Person) RETURN a.name AS n", [("Acme",)]),
         ("MATCH (n:Person) RETURN DISTINCT n.age AS a ORDER BY a", [(20,), (21,)]),
         ("MATCH (n:Person) FILTER n.id > 3 RETURN count(*) AS c", [(2,)]),
+        ("MATCH (n:Person {id: 2}) RETURN CAST(n.age AS STRING) IS NULL AS unknown, n.id AS id", [(False, 2)]),
     ],
 )
 def test_queries(session, text, want):
@@ -97,3 +98,13 @@ def test_shortest_paths_have_no_longest(spark):
     c.add_edges("LINE", "Stop", "Stop", spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst"))
     got = rows(GqlSession(spark, c), "MATCH p = ANY SHORTEST (a:Stop {id: 0})-[:LINE]->+(b:Stop) RETURN max(PATH_LENGTH(p)) AS l, count(*) AS c")
     assert got == [(n - 1, n - 1)]
+
+
+def test_explain_and_keys(session):
+    plan = session.run("EXPLAIN MATCH (n:Person) RETURN n.name AS name")
+    assert plan.columns == ["plan"] and "Project" in plan.first()["plan"]
+    with pytest.raises(GqlError):
+        session.run("EXPLAIN INSERT (n:Person {id: 70})")
+    with pytest.raises(GqlError):
+        session.run("INSERT (n:Person {id: 3, name: 'again'})")
+    assert rows(session, "MATCH (n:Person) RETURN count(*) AS c") == [(5,)]

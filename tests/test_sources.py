@@ -101,3 +101,13 @@ def test_iceberg_snapshots(spark, tmp_path):
     assert lake.snapshot_at(spark, path) == 12 and lake.snapshot_at(spark, path, timestamp_ms=150) == 11
     with pytest.raises(ValueError):
         lake.snapshot_at(spark, path, 11, 100)
+
+
+def test_json_depth_and_broken_first_line(spark, tmp_path):
+    (tmp_path / "deep.json").write_text('{"a": {"b": {"c": 1}}, "l": [[1, 2]], "n": 7}\n')
+    got = jsonio.scan(spark, f"file://{tmp_path}/deep.json", maximum_depth=2).first()
+    assert (got["a"]["b"], got["l"], got["n"]) == ('{"c": 1}', ["[1, 2]"], 7)  # text as it was written
+    (tmp_path / "bad.json").write_text('{"a": \n{"a": 1}\n{"a": 2}\n[3]\n')
+    path = f"file://{tmp_path}/bad.json"
+    assert sorted(r["a"] for r in jsonio.scan(spark, path, ignore_errors=True).where("a IS NOT NULL").collect()) == [1, 2]
+    assert sorted(r["record"] for r in jsonio.rejected(spark, path).collect()) == ['[3]', '{"a": ']
