@@ -155,64 +155,105 @@ def graph_spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "graph_weighted_distance",
-    f"""WITH RECURSIVE {REGION_SQL}, f AS (SELECT (SELECT min(n_nationkey) FROM nation)::BIGINT AS id, 0 AS c
-      UNION SELECT dst, c + weight FROM f JOIN re ON src = id) SELECT id, min(c)::DOUBLE AS cost FROM f GROUP BY id""",
+    # a least path passes no node twice: it has at most 15 edges within two bridged rings
+    f"""WITH RECURSIVE {RING_SQL}, f AS (SELECT (SELECT min(c_custkey) FROM customer) AS id, 0 AS c, 0 AS n
+      UNION SELECT dst, c + weight, n + 1 FROM f JOIN rg ON src = id WHERE n < 15) SELECT id, min(c)::DOUBLE AS cost FROM f GROUP BY id""",
 )
 def graph_weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = region_graph(spark, sf_dir)
+    graph = ring_graph(spark, sf_dir)
     return paths.weighted_distance(graph, graph.nodes.agg(F.min("id").alias("id")).first()["id"], "weight")
 
 
 @register(
     "graph_trails",
-    f"""WITH {REGION_SQL} SELECT a.src, b.dst, 2::BIGINT AS hops FROM re a JOIN re b ON b.src = a.dst
-      UNION ALL SELECT a.src, c.dst, 3 FROM re a JOIN re b ON b.src = a.dst JOIN re c ON c.src = b.dst""",
+    f"""WITH {RING_SQL}, e AS MATERIALIZED (SELECT *, row_number() OVER () AS nth FROM rg)
+      SELECT a.src, b.dst, 2::BIGINT AS hops FROM e a JOIN e b ON b.src = a.dst WHERE a.nth <> b.nth
+      UNION ALL SELECT a.src, c.dst, 3 FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.nth <> b.nth AND a.nth <> c.nth AND b.nth <> c.nth""",
 )
 def graph_trails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.walks(region_graph(spark, sf_dir).edges, 2, 3, "TRAIL")
+    found = paths.walks(ring_graph(spark, sf_dir).edges, 2, 3, "TRAIL")
     return found.select("src", "dst", F.size("rels").cast("long").alias("hops"))
 
 
-_REACH = f"""WITH RECURSIVE {REGION_SQL}, both_ways AS (SELECT src, dst FROM re UNION SELECT dst, src FROM re),
-f AS (SELECT src AS id, dst AS other, 1 AS d FROM both_ways UNION SELECT f.id, dst, d + 1 FROM f JOIN both_ways ON src = other WHERE d < 8),
-s AS (SELECT id, other, min(d) AS d FROM f WHERE id <> other GROUP BY id, other), n AS (SELECT count(*) - 1 AS m FROM nation)
-SELECT n_nationkey::BIGINT AS id, """
+#: Two bridged rings of eight are at most nine edges across.
+_REACH = f"""WITH RECURSIVE {RING_SQL}, both_ways AS MATERIALIZED (SELECT src, dst FROM rg UNION SELECT dst, src FROM rg),
+f AS (SELECT src AS id, dst AS other, 1 AS d FROM both_ways UNION SELECT f.id, dst, d + 1 FROM f JOIN both_ways ON src = other WHERE d < 10),
+s AS (SELECT id, other, min(d) AS d FROM f WHERE id <> other GROUP BY id, other), n AS (SELECT count(*) - 1 AS m FROM customer)
+SELECT c_custkey AS id, """
 
 
-@register("graph_closeness", _REACH + "round(coalesce(any_value(m) / sum(d), 0), 9) AS score FROM nation CROSS JOIN n LEFT JOIN s ON id = n_nationkey GROUP BY n_nationkey")
+@register("graph_closeness", _REACH + "round(coalesce(any_value(m) / sum(d), 0), 9) AS score FROM customer CROSS JOIN n LEFT JOIN s ON id = c_custkey GROUP BY c_custkey")
 def graph_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.closeness(region_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
+    return centrality.closeness(ring_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
 
 
-@register("graph_harmonic", _REACH + "round(coalesce(sum(1.0 / d), 0) / any_value(m), 9) AS score FROM nation CROSS JOIN n LEFT JOIN s ON id = n_nationkey GROUP BY n_nationkey")
+@register("graph_harmonic", _REACH + "round(coalesce(sum(1.0 / d), 0) / any_value(m), 9) AS score FROM customer CROSS JOIN n LEFT JOIN s ON id = c_custkey GROUP BY c_custkey")
 def graph_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.harmonic(region_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
+    return centrality.harmonic(ring_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
+
+
+def _restarted(restart: str) -> str:
+    """The walk with restarts: a round is made of the one before until ranks move by less than 1e-7 in all."""
+    return f"""WITH RECURSIVE {EDGE_SQL}, deg AS MATERIALIZED (SELECT src, count(*) AS deg FROM ps GROUP BY src),
+w AS MATERIALIZED (SELECT src, dst, deg FROM ps JOIN deg USING (src)),
+r AS (SELECT id, {restart} AS rank, {restart} AS restart, deg IS NULL AS dangling, NULL::DOUBLE AS old, 0 AS step FROM pn LEFT JOIN deg ON src = id
+  UNION ALL SELECT r.id, (0.15 + 0.85 * lost) * restart + 0.85 * coalesce(got, 0), restart, dangling, rank, step + 1
+  FROM r LEFT JOIN (SELECT dst AS id, sum(rank / deg) AS got FROM w JOIN r ON r.id = src GROUP BY dst) g ON g.id = r.id
+  CROSS JOIN (SELECT coalesce(sum(rank) FILTER (dangling), 0) AS lost, sum(abs(rank - old)) AS moved FROM r) t WHERE step = 0 OR moved >= 1e-7)
+SELECT id, round(rank, 9) AS rank FROM r WHERE step = (SELECT max(step) FROM r)"""
 
 
-@register("graph_simple_page_rank")
+@register("graph_simple_page_rank", _restarted("1.0::DOUBLE / (SELECT count(*) FROM pn)"))
 def graph_simple_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.simple_page_rank(part_graph(spark, sf_dir))
+    return centrality.simple_page_rank(part_graph(spark, sf_dir)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@register("graph_personalised_rank")
+@register("graph_personalised_rank", _restarted("CASE WHEN id = (SELECT min(id) FROM pn) THEN 1.0::DOUBLE ELSE 0.0 END"))
 def graph_personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = part_graph(spark, sf_dir)
-    return centrality.simple_page_rank(graph, sources=[graph.nodes.agg(F.min("id").alias("id")).first()["id"]])
+    ranks = centrality.simple_page_rank(graph, sources=[graph.nodes.agg(F.min("id").alias("id")).first()["id"]])
+    return ranks.select("id", F.round("rank", 9).alias("rank"))
 
 
-@register("graph_betweenness")
+@register(
+    "graph_betweenness",
+    # all simple paths of the small components, of which the shortest count
+    f"""WITH RECURSIVE {RING_SQL}, both_ways AS MATERIALIZED (SELECT src, dst FROM rg UNION SELECT dst, src FROM rg),
+    p AS (SELECT src AS s, dst AS t, [src, dst] AS way FROM both_ways
+      UNION ALL SELECT s, dst, list_append(way, dst) FROM p JOIN both_ways ON src = t WHERE NOT list_contains(way, dst)),
+    short AS MATERIALIZED (SELECT s, t, way, count(*) OVER (PARTITION BY s, t) AS n FROM (SELECT *, min(len(way)) OVER (PARTITION BY s, t) AS low FROM p) WHERE len(way) = low),
+    inner_nodes AS (SELECT unnest(way[2:-2]) AS id, n FROM short)
+    SELECT c_custkey AS id, round(coalesce(sum(1.0 / n), 0), 9)::DOUBLE AS score FROM customer LEFT JOIN inner_nodes ON id = c_custkey GROUP BY c_custkey""",
+)
 def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.betweenness(region_graph(spark, sf_dir))
+    return centrality.betweenness(ring_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
 
 
-@register("graph_katz")
+@register(
+    "graph_katz",
+    f"""WITH RECURSIVE {EDGE_SQL}, a AS MATERIALIZED (SELECT 1.0::DOUBLE / (max(n) + 1) AS alpha FROM (SELECT count(*) AS n FROM ps GROUP BY src)),
+    r AS (SELECT id, 1.0::DOUBLE AS score, NULL::DOUBLE AS old, 0 AS step FROM pn
+      UNION ALL SELECT r.id, alpha * coalesce(got, 0) + 0.1, score, step + 1
+      FROM r LEFT JOIN (SELECT dst AS id, sum(score) AS got FROM ps JOIN r ON r.id = src GROUP BY dst) g ON g.id = r.id CROSS JOIN a
+      CROSS JOIN (SELECT sqrt(sum((score - old) ** 2)) AS moved FROM r) t WHERE step = 0 OR moved >= 1e-8)
+    SELECT id, round(score / sqrt(sum(score * score) OVER ()), 9) AS score FROM r WHERE step = (SELECT max(step) FROM r)""",
+)
 def graph_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.katz(part_graph(spark, sf_dir))
+    return centrality.katz(part_graph(spark, sf_dir)).select("id", F.round("score", 9).alias("score"))
 
 
-@register("graph_eigenvector")
+@register(
+    "graph_eigenvector",
+    f"""WITH RECURSIVE {EDGE_SQL},
+    r AS (SELECT id, 1.0::DOUBLE AS raw, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS old, 0 AS step FROM pn
+      UNION ALL SELECT id, got, sqrt(sum(got * got) OVER ()), CASE WHEN step = 0 THEN 0 ELSE norm END, step + 1
+      FROM (SELECT r.id, norm, old, step, coalesce(g.got, 0) AS got
+        FROM r LEFT JOIN (SELECT dst AS id, sum(raw / norm) AS got FROM ps JOIN r ON r.id = src GROUP BY dst) g ON g.id = r.id)
+      WHERE step = 0 OR NOT (norm = 0 OR abs(norm - old) < 1e-9 OR step > 2 AND norm <= old))
+    SELECT id, round(raw / CASE WHEN norm = 0 THEN 1 ELSE norm END, 8) AS score FROM r WHERE step = (SELECT max(step) FROM r)""",
+)
 def graph_eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centrality.eigenvector(part_graph(spark, sf_dir))
+    return centrality.eigenvector(part_graph(spark, sf_dir)).select("id", F.round("score", 8).alias("score"))
 
 
 @register("graph_core_number", f"WITH {EDGE_SQL}{_cores(40).replace('SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe', 'SELECT src, dst FROM ps')} SELECT id, coalesce(k, 0)::DOUBLE AS core_number FROM pn LEFT JOIN k40 USING (id)")
@@ -238,12 +279,12 @@ def graph_parallel_core_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("graph_louvain")
 def graph_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.louvain(region_graph(spark, sf_dir))
+    return community.louvain(ring_graph(spark, sf_dir))
 
 
 @register("graph_leiden")
 def graph_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return community.leiden(region_graph(spark, sf_dir))
+    return community.leiden(ring_graph(spark, sf_dir))
 
 
 @register("graph_label_propagation")
@@ -256,7 +297,16 @@ def graph_cut_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.cut_clustering(region_graph(spark, sf_dir), 0.3)
 
 
-@register("graph_steiner_core")
+@register(
+    "graph_steiner_core",
+    # for each depth, what the first seed reaches through cores that deep
+    f"""WITH RECURSIVE {EDGE_SQL}{_cores(40).replace('SELECT src, dst FROM pe UNION ALL SELECT dst, src FROM pe', 'SELECT src, dst FROM ps')},
+    c AS MATERIALIZED (SELECT id, coalesce(k, 0) AS k FROM pn LEFT JOIN k40 USING (id)), seed AS (SELECT id FROM pn ORDER BY id LIMIT 2),
+    reach AS (SELECT id, unnest(range(0, k + 1)) AS depth FROM c WHERE id = (SELECT min(id) FROM seed)
+      UNION SELECT c.id, depth FROM reach JOIN ps ON src = reach.id JOIN c ON c.id = dst WHERE c.k >= depth)
+    SELECT id, 0::BIGINT AS community_id, k AS coreness FROM reach JOIN c USING (id)
+    WHERE depth = (SELECT max(depth) FROM reach WHERE id = (SELECT max(id) FROM seed))""",
+)
 def graph_steiner_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = part_graph(spark, sf_dir)
     seeds = [r["id"] for r in graph.nodes.orderBy("id").limit(2).collect()]
