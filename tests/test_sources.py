@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import json
 import sqlite3
+from urllib.parse import quote
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.sources import attach, jsonio, lake
 from graphloom.streaming import cdc
@@ -94,6 +96,53 @@ def test_delta_log(spark, tmp_path):
     assert [r["id"] for r in lake.delta_scan(spark, str(root), 0).collect()] == [0]
 
 
+def test_delta_partitions_and_checkpoints(spark, tmp_path):
+    root, log = tmp_path / "t d", tmp_path / "t d" / "_delta_log"
+    log.mkdir(parents=True)
+    kinds = ["a b", "50%", "ü=x", None, ""]
+    adds = []
+    for n, kind in enumerate(kinds):
+        folder = root / f"kind={kind or 'none'}{n}"
+        spark.createDataFrame([(n,), (n + 10,)], "id long").coalesce(1).write.parquet(str(folder))
+        file = next(folder.glob("*.parquet")).relative_to(root).as_posix()
+        adds.append({"path": quote(file), "partitionValues": {"kind": kind, "day": f"2024-01-0{n + 1}"}})
+    fields = [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("kind", "string"), ("id", "long"), ("day", "date"))]
+    meta = {"schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": ["kind", "day"], "configuration": {}}
+
+    def commit(n, *actions):
+        (log / f"{n:020}.json").write_text("\n".join(json.dumps(x) for x in actions))
+
+    def rows(*args, **named):
+        return {r["id"]: (r["kind"], str(r["day"])) for r in lake.delta_scan(spark, str(root), *args, **named).collect()}
+
+    commit(0, {"metaData": meta}, *({"add": a} for a in adds))
+    every = {n + m: (kind or None, f"2024-01-0{n + 1}") for n, kind in enumerate(kinds) for m in (0, 10)}
+    assert rows() == every and lake.delta_scan(spark, str(root)).columns == ["kind", "id", "day"]
+    assert set(rows(partitions=F.col("day") < "2024-01-02")) == {0, 10}
+    # version 1 removes a file; its checkpoint has two parts, and what came before is cleaned away
+    commit(1, {"remove": {"path": adds[1]["path"]}})
+    live = [(adds[n]["path"], adds[n]["partitionValues"]) for n in (0, 2, 3, 4)]
+    own = "add struct<path:string,partitionValues:map<string,string>>, metaData struct<schemaString:string,partitionColumns:array<string>>"
+    head = (None, (meta["schemaString"], meta["partitionColumns"]))
+    for part, actions in enumerate(([head, *[(x, None) for x in live[:2]]], [(x, None) for x in live[2:]]), 1):
+        spark.createDataFrame(actions, own).coalesce(1).write.parquet(str(tmp_path / f"c{part}"))
+        next((tmp_path / f"c{part}").glob("*.parquet")).rename(log / f"{1:020}.checkpoint.{part:010}.{2:010}.parquet")
+    (log / f"{0:020}.json").unlink()
+    commit(2, {"remove": {"path": adds[0]["path"]}})
+    assert set(rows()) == {2, 12, 3, 13, 4, 14} and set(rows(1)) == {0, 10, 2, 12, 3, 13, 4, 14}
+    with pytest.raises(ValueError, match="lacks version"):
+        rows(0)
+    commit(3, {"add": {**adds[0], "deletionVector": {"storageType": "u"}}})
+    with pytest.raises(ValueError, match="deletion vectors"):
+        rows()
+    commit(4, {"metaData": {**meta, "configuration": {"delta.columnMapping.mode": "name"}}})
+    with pytest.raises(ValueError, match="other names"):
+        rows()
+    (log / f"{3:020}.json").unlink()
+    with pytest.raises(ValueError, match="lacks version 3"):
+        rows()
+
+
 def test_iceberg_snapshots(spark, tmp_path):
     meta = {"snapshots": [{"sequence-number": n, "snapshot-id": 10 + n, "timestamp-ms": 100 * n, "manifest-list": "m"} for n in (1, 2)]}
     (tmp_path / "m.json").write_text(json.dumps(meta))
