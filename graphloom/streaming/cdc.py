@@ -1,7 +1,8 @@
 """Change data capture into versioned snapshots.
 
-A snapshot is a Parquet table below ``<root>/v<n>``; the file ``cursor-<n>.json`` names the version and the last batch applied. It is put in place
-last and by one rename, so a batch that was interrupted is applied again from the version before it. Upserts come before deletes; the last change of a key wins.
+A snapshot is a Parquet table dealt by its keys into buckets; ``<root>/v<n>`` holds the buckets that version ``n`` changed. The file ``cursor-<n>.json`` names
+the version of every bucket and the last batch applied. It is put in place last and by one rename, so a batch that was interrupted is applied again from the
+version before it. Upserts come before deletes; the last change of a key wins.
 """
 
 from __future__ import annotations
@@ -40,41 +41,67 @@ def apply_changes(current: DataFrame, changes: DataFrame, keys: list[str], op: s
 
 
 class Snapshot:
-    """A versioned table in a shared folder."""
+    """A versioned table in a shared folder; a batch rewrites only the buckets of the keys that it changes.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    ``buckets`` is fixed by the first batch: choose it so that a bucket fits a task. Versions that neither the newest cursor nor the
+    one before it names are removed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.schema, self.buckets = spark, root.rstrip("/"), schema, buckets
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
-    def cursor(self) -> dict:
-        """The newest cursor."""
-        root = self._path(self.root)
-        fs = root.getFileSystem(self._conf)
-        if not fs.exists(root):
-            return {"version": 0, "batch": -1}
-        names = [f.getPath().getName() for f in fs.listStatus(root)]
-        versions = [int(n[7:-5]) for n in names if n.startswith("cursor-") and n.endswith(".json")]
-        if not versions:
-            return {"version": 0, "batch": -1}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/cursor-{max(versions)}.json").collect()))
-
-    def read(self) -> DataFrame:
-        version = self.cursor()["version"]
-        if not version:
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        fs = path.getFileSystem(self._conf)
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _cursors(self) -> list[int]:
+        return sorted(int(n[7:-5]) for n in self._names(self.root) if n.startswith("cursor-") and n.endswith(".json"))
+
+    def cursor(self, version: int | None = None) -> dict:
+        """The newest cursor, or that of a version."""
+        known = self._cursors()
+        if not known:
+            return {"version": 0, "batch": -1, "buckets": self.buckets, "keys": None, "held": {}}
+        name = f"{self.root}/cursor-{known[-1] if version is None else version}.json"
+        return json.loads("".join(r[0] for r in self.spark.read.text(name).collect()))
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        held = self.cursor()["held"]
+        paths = [f"{self.root}/v{v}/__bucket={b}" for b, v in held.items() if only is None or int(b) in only]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
-
-    def replace(self, df: DataFrame, batch: int) -> None:
-        """Writes the next version, then its cursor."""
-        version = self.cursor()["version"] + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def change(self, changes: DataFrame, keys: list[str], batch: int, op: str = "op", order: str = "seq") -> None:
+        """Applies changes (see ``apply_changes``): writes the buckets that they touch, then the next cursor."""
+        now = self.cursor()
+        if now["keys"] not in (None, keys):
+            raise ValueError(f"the snapshot is dealt by {now['keys']}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(now["buckets"])).cast("int").alias("__bucket")
+        last = latest(changes, keys, order).persist()
+        touched = [r[0] for r in last.select(bucket).distinct().collect()]
+        version = now["version"] + 1
+        current = self.read(touched)
+        kept = current.join(last.select(*keys), keys, "left_anti")
+        made = kept.unionByName(last.where(F.col(op) == "upsert").select(*current.columns)).select("*", bucket)
+        made.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/v{version}")
+        last.unpersist()
+        held = {b: v for b, v in now["held"].items() if int(b) not in touched}
+        held |= {n.split("=")[1]: version for n in self._names(f"{self.root}/v{version}") if n.startswith("__bucket=")}
         fresh = self._path(f"{self.root}/next.json")
         fs = fresh.getFileSystem(self._conf)
         out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "batch": batch, "buckets": now["buckets"], "keys": keys, "held": held}).encode()))
         out.close()
         fs.rename(fresh, self._path(f"{self.root}/cursor-{version}.json"))
+        used = {version, *held.values(), *now["held"].values()}
+        for name in self._names(self.root):
+            if name.startswith("v") and int(name[1:]) not in used or name.startswith("cursor-") and int(name[7:-5]) < version - 1:
+                fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
 def sync_stream(changes: DataFrame, snapshot: Snapshot, keys: list[str], checkpoint: str, **trigger):
@@ -82,7 +109,7 @@ def sync_stream(changes: DataFrame, snapshot: Snapshot, keys: list[str], checkpo
 
     def one(batch: DataFrame, number: int) -> None:
         if number > snapshot.cursor()["batch"]:
-            snapshot.replace(apply_changes(snapshot.read(), batch, keys), number)
+            snapshot.change(batch, keys, number)
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -143,13 +170,14 @@ class SqliteSync:
         for table, keys in self.mapping.items():
             new = self.spark.read.format("sqlite_table").options(path=self.path, table=table).load()
             snapshot = Snapshot(self.spark, f"{self.root}/{table}", new.schema.simpleString()[7:-1].replace(":", " "))
-            old = snapshot.read()
-            upserts, deletes = diff(old, new, keys)
-            n, m = upserts.count(), deletes.count()
-            if n or m:
-                kept = old.join(deletes, keys, "left_anti").join(upserts.select(*keys), keys, "left_anti")
-                snapshot.replace(kept.unionByName(upserts), snapshot.cursor()["batch"] + 1)
-            up, down = up + n, down + m
+            upserts, deletes = diff(snapshot.read(), new, keys)
+            changes = upserts.withColumn("__op", F.lit("upsert")).unionByName(deletes.withColumn("__op", F.lit("delete")), allowMissingColumns=True)
+            changes = changes.withColumn("__seq", F.lit(0)).persist()
+            found = dict(map(tuple, changes.groupBy("__op").count().collect()))
+            if found:
+                snapshot.change(changes, keys, snapshot.cursor()["batch"] + 1, "__op", "__seq")
+            changes.unpersist()
+            up, down = up + found.get("upsert", 0), down + found.get("delete", 0)
         self.last = SyncStatus(len(self.mapping), up, down, "ok")
         return self.last
 

@@ -70,6 +70,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert snapshot.cursor()["batch"] == 3
 
 
+def test_a_batch_rewrites_the_buckets_of_its_keys(spark, tmp_path):
+    snapshot = cdc.Snapshot(spark, f"file://{tmp_path}/s", "id long, v string", buckets=8)
+    feed = lambda rows: spark.createDataFrame(rows, "id long, v string, seq long, op string")
+    snapshot.change(feed([(i, "a", i, "upsert") for i in range(100)]), ["id"], 0)
+    assert set(snapshot.cursor()["held"].values()) == {1} and len(snapshot.cursor()["held"]) == 8
+    snapshot.change(feed([(5, "b", 0, "upsert"), (5, "c", 1, "upsert"), (200, None, 2, "upsert")]), ["id"], 1)
+    held = list(snapshot.cursor()["held"].values())
+    assert held.count(1) >= 6 and 1 <= held.count(2) <= 2
+    assert {r["id"]: r["v"] for r in snapshot.read().collect()} == {**dict.fromkeys(range(100), "a"), 5: "c", 200: None}
+    for n in range(2, 4):
+        snapshot.change(feed([(i, None, 9, "delete") for i in range(300)]), ["id"], n)
+    assert snapshot.read().count() == 0 and snapshot.cursor() == {"version": 4, "batch": 3, "buckets": 8, "keys": ["id"], "held": {}}
+    left = {p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")}
+    assert left == {"cursor-3.json", "cursor-4.json", "v4"}
+    with pytest.raises(ValueError, match="dealt by"):
+        snapshot.change(feed([(1, "a", 0, "upsert")]), ["v"], 4)
+
+
 def test_json_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, 'q"', 2.5)], "z long, b string, a double")
     jsonio.export_array(df, f"{tmp_path}/out")
