@@ -50,9 +50,12 @@ def _batch(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else value_key(parse(t)) for t in texts], dtype=object)
 
 
+sort_key_udf = F.pandas_udf(_batch, T.StringType())
+
+
 def sort_key(text: Column) -> Column:
     """The key of a JSON text; null stays null."""
-    return F.pandas_udf(_batch, T.StringType())(text)
+    return sort_key_udf(text)
 
 
 def compare(a: Column, op: str, b: Column) -> Column:
@@ -79,14 +82,17 @@ def total(text: Column) -> Column:
     return F.sum(_known(text).cast("decimal(38,10)"))
 
 
-def list_checked(text: Column) -> Column:
-    """An array whose elements are of one type, else an error; nulls fit everywhere."""
+def _checked(texts: pd.Series) -> pd.Series:
+    for t in texts:
+        v = parse(t) if t is not None else None
+        if isinstance(v, list) and len({type(x) for x in v if x is not None}) > 1:
+            raise ValueError("a list mixes types")
+    return texts
 
-    def batch(texts: pd.Series) -> pd.Series:
-        for t in texts:
-            v = parse(t) if t is not None else None
-            if isinstance(v, list) and len({type(x) for x in v if x is not None}) > 1:
-                raise ValueError("a list mixes types")
-        return texts
 
-    return F.pandas_udf(batch, T.StringType())(text)
+list_checked_udf = F.pandas_udf(_checked, T.StringType())
+
+
+def list_checked(text: Column) -> Column:
+    """An array whose elements are of one type, else an error; nulls fit everywhere."""
+    return list_checked_udf(text)

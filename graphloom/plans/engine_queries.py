@@ -57,6 +57,34 @@ _gql(
 )
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> GqlSession:
+    """Customers with a JSON value of one of four types, as text and as a variant."""
+    c = GraphCatalogue()
+    number, name = F.floor("c_acctbal").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"'))
+    kind = F.col("c_custkey") % 4
+    text = F.when(kind == 0, number).when(kind == 1, name).when(kind == 2, (F.col("c_custkey") % 8 == 2).cast("string")).otherwise(F.concat(F.lit("["), "c_custkey", F.lit("]")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 6).alias("bin"), text.alias("text"))
+    c.add_nodes("Item", rows.withColumn("value", F.parse_json("text")))
+    return GqlSession(spark, c)
+
+
+MIXED_SQL = """WITH i AS (SELECT c_custkey AS id, c_custkey % 6 AS bin, c_name AS name,
+  CASE c_custkey % 4 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS kind,
+  CASE c_custkey % 4 WHEN 0 THEN floor(c_acctbal)::BIGINT WHEN 3 THEN c_custkey WHEN 2 THEN (c_custkey % 8 = 2)::BIGINT ELSE 0 END AS num,
+  CASE c_custkey % 4 WHEN 0 THEN floor(c_acctbal)::BIGINT::VARCHAR WHEN 1 THEN '"' || c_name || '"' WHEN 2 THEN (c_custkey % 8 = 2)::VARCHAR ELSE '[' || c_custkey || ']' END AS text
+  FROM customer) """
+register(
+    "gql_mixed_aggregates",
+    MIXED_SQL + "SELECT bin, first(text ORDER BY kind, num, name) AS low, first(text ORDER BY kind DESC, num DESC, name DESC) AS high, count(*) AS n FROM i GROUP BY bin",
+)(lambda spark, sf_dir: mixed(spark, sf_dir).run("MATCH (i:Item) RETURN i.bin AS bin, to_json(MIN(i.value)) AS low, to_json(MAX(i.value)) AS high, count(*) AS n"))
+register(
+    "gql_mixed_order",
+    MIXED_SQL + "SELECT id, text FROM i WHERE kind = 2 AND num >= 100 OR kind = 3 OR kind = 4 AND num < 1000 ORDER BY kind DESC, num DESC, name DESC, id LIMIT 60",
+)(lambda spark, sf_dir: mixed(spark, sf_dir).run(
+    "MATCH (i:Item) WHERE _GQL_GE(i.text, '[100]') AND _GQL_LT(i.text, '1000') RETURN i.id AS id, i.text AS text ORDER BY i.value DESC, id LIMIT 60"
+))
+
+
 @register(
     "cdc_apply",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)

@@ -1,7 +1,8 @@
 """A GQL front end: query text is parsed to patterns and clauses and compiled to DataFrame joins.
 
 A node variable is a struct column of its properties with ``id`` and ``_label``, an edge variable one with ``src, dst, rel``; expressions
-are then Spark SQL over these columns, and Catalyst prunes what no expression reads. What has no mapping raises :class:`GqlError`.
+are then Spark SQL over these columns, and Catalyst prunes what no expression reads. Properties of mixed JSON are variants: MIN, MAX and ORDER BY take
+them by the total order of ``functions/order.py``, SUM and AVG by their exact numbers. What has no mapping raises :class:`GqlError`.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import order
 from ..graph import GraphCatalogue, GraphError
 from ..operators import paths
 from ..storage import stored
@@ -30,7 +32,9 @@ def unsupported(what: str) -> GqlError:
 
 TOKEN = re.compile(r"\s*(?:(--[^>\-\[(][^\n]*|//[^\n]*)|('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(\d+\.\d+|\d+)|([A-Za-z_]\w*)|(<>|<=|>=|\|\||<-|->|.))", re.S)
 CLAUSES = "MATCH OPTIONAL WHERE FILTER FOR RETURN SELECT FROM GROUP HAVING ORDER OFFSET SKIP LIMIT INSERT SET REMOVE DETACH DELETE LET NEXT UNION EXCEPT INTERSECT OTHERWISE YIELD MERGE CALL".split()
-AGGREGATE = re.compile(r"\b(count|sum|avg|min|max|collect_list|percentile_cont|percentile_disc)\s*\(", re.I)
+#: Comparisons of JSON texts in the total order of mixed values.
+JSON_ORDER = {"_GQL_LT": "<", "_GQL_LE": "<=", "_GQL_GT": ">", "_GQL_GE": ">=", "_GQL_EQ": "=", "_GQL_NE": "<>"}
+AGGREGATE = re.compile(r"\b(count|sum|avg|min|max|min_by|max_by|collect_list|percentile_cont|percentile_disc)\s*\(", re.I)
 #: Branches and width of a repeated group, as documented limits; what exceeds them is refused.
 GROUP_BRANCHES, GROUP_WIDTH = 8, 4
 
@@ -288,6 +292,16 @@ def expression(parts: list[str]) -> str:
             out.append(f"{up}({inner[1]}) WITHIN GROUP (ORDER BY {inner[0]})")
             i = end + 1
             continue
+        if up in JSON_ORDER and parts[i + 1 : i + 2] == ["("]:
+            end = _close(parts, i + 1)
+            args = [expression(a) for a in _split(parts[i + 2 : end])]
+            if len(args) != 2:
+                raise GqlError(f"{up} takes two values")
+            out.append(f"(_gql_sortkey({args[0]}) {JSON_ORDER[up]} _gql_sortkey({args[1]}))")
+            i = end + 1
+            continue
+        if up in ("_GQL_SORTKEY", "_GQL_LIST_CHECKED"):
+            t = t.lower()
         if up == "PROPERTY_EXISTS" and parts[i + 1 : i + 2] == ["("]:
             end = _close(parts, i + 1)
             a, b = _split(parts[i + 2 : end])
@@ -310,7 +324,11 @@ def expression(parts: list[str]) -> str:
             end = _close(parts, i, "[", "]")
             before = out[-1] if out else ""
             inner = parts[i + 1 : end]
-            if before and re.match(r"[\w)\]`]", before[-1]) and before.upper() not in ("IN", "AND", "OR", "NOT", "="):
+            if before.upper() == "IN":
+                if not inner:
+                    raise unsupported("IN with an empty list")
+                out.append("(" + ", ".join(expression(x) for x in _split(inner)) + ")")
+            elif before and re.match(r"[\w)\]`]", before[-1]) and before.upper() not in ("IN", "AND", "OR", "NOT", "="):
                 out.append(f"[{expression(inner)}]")
             else:
                 kinds = {("s" if p[0][0] in "'\"" else "n") for p in _split(inner) if len(p) == 1 and (p[0][0] in "'\"" or p[0][0].isdigit())} if inner else set()
@@ -358,6 +376,8 @@ class GqlSession:
         self.spark, self.home = spark, catalogue
         self.graphs: dict[str, GraphCatalogue] = {"main": catalogue}
         self.catalogue, self.types = catalogue, {"main": "TYPED"}
+        spark.udf.register("_gql_sortkey", order.sort_key_udf)
+        spark.udf.register("_gql_list_checked", order.list_checked_udf)
 
     # tables
     def nodes(self, n: Node) -> DataFrame:
@@ -646,6 +666,9 @@ class GqlSession:
             if p.peek().upper() in ("UNION", "EXCEPT", "INTERSECT", "NEXT", "OTHERWISE"):
                 raise unsupported(p.peek().upper())
             raise GqlError(f"cannot read {p.peek()!r}")
+        having = _by_total_order(df, having)
+        items = [(_by_total_order(df, t), a) for t, a in items]
+        order = [(_by_total_order(df, t), way) for t, way in order]
         grouped = group is not None or having is not None or any(AGGREGATE.search(t) for t, _ in items)
         if grouped and distinct and select:
             raise unsupported("SELECT DISTINCT with aggregation")
@@ -669,7 +692,7 @@ class GqlSession:
             made = df.select(*[F.expr(t).alias(a) for t, a in [*items, *([] if distinct else hidden)]])
         out = made.select(*[f"`{a}`" for _, a in items]).distinct() if distinct else made
         if order:
-            out = out.orderBy(*[_ordered(F.col(f"`{names.get(t, t)}`"), way) for t, way in order])
+            out = out.orderBy(*[_ordered(_sortable(out, names.get(t, t)), way) for t, way in order])
         if skip:
             out = out.offset(skip)
         if limit is not None:
@@ -806,6 +829,62 @@ def _ordered(c: Column, way: str) -> Column:
     return c.asc_nulls_last() if last else c.asc_nulls_first()
 
 
+MIXED_AGGREGATE = re.compile(r"\b(min|max|sum|avg)\s*\((?!\s*\*)", re.I)
+
+
+def _by_total_order(df: DataFrame, text: str | None) -> str | None:
+    """MIN and MAX of variants by the total order, SUM and AVG of their exact numbers; JSON nulls are skipped. Other text stays."""
+    if not text or T.VariantType() not in _kinds(df.schema) or not MIXED_AGGREGATE.search(text):
+        return text
+    out, at = "", 0
+    while m := MIXED_AGGREGATE.search(text, at):
+        end = _closing(text, m.end())
+        inner = text[m.end() : end]
+        out += text[at : m.start()]
+        if not re.match(r"\s*distinct\b", inner, re.I) and isinstance(df.select(F.expr(inner)).schema[0].dataType, T.VariantType):
+            if m[1].lower() in ("min", "max"):
+                out += f"{m[1].lower()}_by({inner}, CASE WHEN NOT is_variant_null({inner}) THEN _gql_sortkey(to_json({inner})) END)"
+            else:
+                out += f"{m[1].lower()}(CASE WHEN NOT is_variant_null({inner}) THEN CAST({inner} AS DECIMAL(38,10)) END)"
+        else:
+            out += text[m.start() : end + 1]
+        at = end + 1
+    return out + text[at:]
+
+
+def _closing(text: str, at: int) -> int:
+    """Where the parenthesis that is open at ``at`` closes; those within quotes don't count."""
+    depth, quote = 1, ""
+    while at < len(text):
+        c = text[at]
+        if quote:
+            if c == "\\":
+                at += 1
+            elif c == quote:
+                quote = ""
+        elif c in "'\"`":
+            quote = c
+        else:
+            depth += (c == "(") - (c == ")")
+            if not depth:
+                return at
+        at += 1
+    raise GqlError("( is not closed")
+
+
+def _kinds(kind: T.DataType) -> set[T.DataType]:
+    """The types of columns and of their fields."""
+    if not isinstance(kind, T.StructType):
+        return {kind}
+    return set().union(*[_kinds(f.dataType) for f in kind.fields])
+
+
+def _sortable(df: DataFrame, name: str) -> Column:
+    """The column itself, or for variants their key in the total order."""
+    c = F.col(f"`{name}`")
+    return order.sort_key(F.to_json(c)) if isinstance(df.schema[name].dataType, T.VariantType) else c
+
+
 def _union(parts: list[DataFrame], var: str) -> DataFrame:
     if len(parts) == 1:
         return parts[0]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.graph import GraphCatalogue
 from graphloom.plans.gql import GqlError, GqlSession
@@ -38,6 +39,7 @@ def rows(session, text):
         ("MATCH (a:!Person) RETURN a.name AS n", [("Acme",)]),
         ("MATCH (n:Person) RETURN DISTINCT n.age AS a ORDER BY a", [(20,), (21,)]),
         ("MATCH (n:Person) FILTER n.id > 3 RETURN count(*) AS c", [(2,)]),
+        ("MATCH (n:Person) WHERE n.id IN [2, 4, 77] AND NOT n.name IN ['p4'] RETURN n.id AS id", [(2,)]),
         ("MATCH (n:Person {id: 2}) RETURN CAST(n.age AS STRING) IS NULL AS unknown, n.id AS id", [(False, 2)]),
     ],
 )
@@ -45,6 +47,29 @@ def test_queries(session, text, want):
     assert rows(session, text) == want
 
 
+def test_mixed_values_follow_the_total_order(spark):
+    texts = ["3", "null", '"b"', "true", "[1]", "12345678901234567.125", None]
+    c = GraphCatalogue()
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    c.add_nodes("V", nodes.withColumn("v", F.parse_json("text")))
+    c.add_nodes("O", spark.createDataFrame([(1, "{}")], "id long, text string"))
+    s = GqlSession(spark, c)
+    assert rows(s, "MATCH (n:V) RETURN to_json(MIN(n.v)) AS low, to_json(max(n.v)) AS high, count(n.v) AS n, max(n.id) AS i") == [("true", "12345678901234567.125", 6, 6)]
+    assert rows(s, "MATCH (n:V) WHERE n.id IN [0, 1, 5] RETURN CAST(sum(n.v) AS STRING) AS s") == [("12345678901234570.1250000000",)]
+    assert [r[0] for r in rows(s, "MATCH (n:V) RETURN n.id AS id ORDER BY n.v")] == [6, 1, 3, 4, 2, 0, 5]
+    assert [r[0] for r in rows(s, "MATCH (n:V) WHERE _GQL_LT(n.text, '3') RETURN n.id AS id ORDER BY id")] == [1, 2, 3, 4]
+    assert rows(s, "MATCH (n:V) WHERE _GQL_EQ(n.text, '3.0') RETURN _GQL_SORTKEY(n.text) = _GQL_SORTKEY('3.00') AS same") == [(True,)]
+    for text, why in (
+        ("MATCH (n:O) RETURN _GQL_SORTKEY(n.text) AS k", "objects"),
+        ("MATCH (n:V) RETURN sum(n.v) AS s", "CAST"),
+        ("MATCH (n:V) RETURN _GQL_LIST_CHECKED('[1, true]') AS l", "mixes types"),
+    ):
+        with pytest.raises(Exception, match=why):
+            rows(s, text)
+    with pytest.raises(GqlError):
+        s.run("MATCH (n:V) RETURN _GQL_LT(n.text) AS x")
+
+
 def test_unnamed_columns_keep_their_text(session):
     assert session.run("MATCH (n:Person) RETURN max(n.id)").columns == ["max(n.id)"]
 
