@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -28,14 +28,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def with_value(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(value)``, with ``value`` computed once a row; within the lambda of an array function it would be once an element."""
+    return F.transform(F.array(value), made)[0]
+
+
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     """Distance in double precision; ``ip`` is the raw dot product, so the least similar come first when sorted."""
     metric = metric_of(metric)
     if metric == "ip":
         return dot(a, b)
     if metric == "cosine":
-        norm = F.sqrt(dot(a, a) * dot(b, b))
-        return F.when(norm > 0, 1 - dot(a, b) / norm)
+        return with_value(F.sqrt(dot(a, a) * dot(b, b)), lambda norm: F.when(norm > 0, 1 - dot(a, b) / norm))
     square = F.aggregate(
         F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x
     )
@@ -134,8 +138,8 @@ def quantize(vector: Column, quantization: str) -> tuple[Column, Column]:
     scale = F.when(peak > 0, peak / limit).otherwise(1.0)
     kind = "tinyint" if quantization == "sq8" else "smallint"
     away = lambda x: F.signum(x) * F.floor(F.abs(x) + 0.5)
-    codes = F.transform(vector, lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), away(x.cast("double") / scale))).cast(kind))
-    return codes, scale
+    one = lambda x, s: F.greatest(F.lit(-limit), F.least(F.lit(limit), away(x.cast("double") / s))).cast(kind)
+    return with_value(scale, lambda s: F.transform(vector, lambda x: one(x, s))), scale
 
 
 @dataclass(frozen=True)
@@ -169,7 +173,7 @@ class QuantizedIndex:
         """The k nearest by quantised distance, or with ``rerank`` the k best by full distance among ``max(k, efs)`` of them."""
         _check(k, search_type, 0.0, 1.0, efs)
         q, scale = quantize_vector(vector, self.quantization)
-        stored_vector = F.transform("codes", lambda c: c.cast("double") * F.col("scale"))
+        stored_vector = with_value(F.col("scale"), lambda s: F.transform("codes", lambda c: c.cast("double") * s))
         query = literal([c * scale for c in q])
         n = max(k, efs) if self.rerank else k
         near = self.codes.select("id", distance(stored_vector, query, self.metric).alias("distance")).orderBy("distance", "id").limit(n)
