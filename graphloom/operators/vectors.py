@@ -15,6 +15,8 @@ from ..storage import shared_path, stored
 
 METRICS = {"cosine": "cosine", "l2": "l2", "l2sq": "l2sq", "dotproduct": "ip", "dot_product": "ip", "ip": "ip", "inner_product": "ip"}
 SEARCH_TYPES = ("auto", "navix", "adaptive_l", "adaptive_g", "blind", "directed", "one_hop", "random", "naive")
+#: Blocks of queries in one plan at most.
+STORED_BLOCKS = 16
 QUANTIZATIONS = {"none": None, "sq8": 127.0, "sq16": 32767.0}
 
 
@@ -79,23 +81,36 @@ def knn(
 def knn_join(queries: DataFrame, rows: DataFrame, column: str, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
     """``query, id, distance``: the k nearest rows of every query (``query, vector``).
 
-    Queries are taken in blocks of ``block`` (a stated query set, collected block by block); each task scores its rows against a block
-    by a matrix product and keeps k a query, so a task hands on ``k * block`` rows whatever its size.
+    Queries are dealt into blocks of about ``block`` by a hash; the driver holds one block's vectors at a time. Each task scores its rows against a
+    block by a matrix product and keeps k a query, so a task hands on ``k * block`` rows whatever its size. What ``STORED_BLOCKS`` blocks
+    found is stored, so that no plan grows with the queries. Queries without a vector find nothing.
     """
     metric = metric_of(metric)
-    ids = [r["query"] for r in queries.select("query").orderBy("query").collect()]
-    out = None
-    for at in range(0, len(ids), block):
-        own = queries.where(F.col("query").isin(ids[at : at + block])).collect()
-        names, matrix = [r["query"] for r in own], np.array([r["vector"] for r in own], dtype=np.float64)
-        part = _nearest(rows, column, names, matrix, k, metric)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.select("query", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    blocks = -(-queries.count() // block)
+    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(max(blocks, 1))))
+    waiting, paths = None, []
+    for n in range(blocks):
+        own = dealt.where(F.col("__block") == n).select("query", "vector").where("vector IS NOT NULL").collect()
+        if own:
+            part = _least(_nearest(rows, column, [r["query"] for r in own], np.array([r["vector"] for r in own], dtype=np.float64), k, metric), k)
+            waiting = part if waiting is None else waiting.unionByName(part)
+        if waiting is not None and n % STORED_BLOCKS == STORED_BLOCKS - 1:
+            stored(waiting, "nearest", paths)
+            waiting = None
+    kinds = "query long, id long, distance double"
+    done = queries.sparkSession.read.schema(kinds).parquet(*paths) if paths else None
+    if waiting is None or done is None:
+        found = waiting if done is None else done
+        return queries.sparkSession.createDataFrame([], kinds) if found is None else found
+    return done.unionByName(waiting)
+
+
+def _least(found: DataFrame, k: int) -> DataFrame:
+    """The k least distances of each query, ties to the lower id."""
     from pyspark.sql import window as W
 
     order = W.Window.partitionBy("query").orderBy("distance", "id")
-    return out.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
 def _nearest(rows: DataFrame, column: str, names: list, queries: np.ndarray, k: int, metric: str) -> DataFrame:

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from graphloom.graph import GraphCatalogue, GraphError
-from graphloom.operators import fts, indexes
+from graphloom.operators import fts, indexes, vectors
 
 
 @pytest.fixture
@@ -66,3 +67,15 @@ def test_names(shelf):
         indexes.drop_vector_index(shelf, "Card", "i")
     with pytest.raises(GraphError):
         indexes.query_fts_index(shelf, "Card", "j", "red")
+
+
+def test_knn_join_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.random((90, 4))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(90, None)], "id long, v array<double>")
+    queries = spark.createDataFrame([(i, points[i].tolist()) for i in range(0, 90, 3)] + [(90, None)], "query long, vector array<double>")
+    want = {(q, i) for q in range(0, 90, 3) for i in np.argsort(((points - points[q]) ** 2).sum(1), kind="stable")[:3].tolist()}
+    for block, kept in ((1000, 16), (7, 16), (4, 2)):
+        monkeypatch.setattr(vectors, "STORED_BLOCKS", kept)
+        assert {(r["query"], r["id"]) for r in vectors.knn_join(queries, rows, "v", 3, "l2", block).collect()} == want
+    assert vectors.knn_join(queries.limit(0), rows, "v", 3).count() == 0
