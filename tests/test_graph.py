@@ -97,6 +97,18 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_are_numbered_in_order(spark):
+    g = graph(spark, 300, [(i, i + 1) for i in range(0, 300, 3)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scores(community.numbered_components(g))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    least = [i for i in range(300) if i % 3 != 1]
+    assert got == {i: least.index(i - (i % 3 == 1)) for i in range(300)}
+    assert community.numbered_components(graph(spark, 0, [])).count() == 0
+
+
 def test_core_numbers_match_peeling(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(20), rng.randrange(20)) for _ in range(60)]
