@@ -3,7 +3,8 @@
 A text's set is its distinct five-word shingles. Two texts link at a Jaccard similarity of 0.8 or more.
 
 1. Every text gives its set's size and a 128-bit fingerprint; sets of equal fingerprints are one node from here on. The same pass
-   counts all shingles into a table of fixed size, whose excess over the mean orders frequent shingles last.
+   counts all shingles into a table of fixed size, whose excess over the mean orders frequent shingles last. The table is wide
+   enough to tell a shingle whose list would be long from chance: else passages that unrelated texts share would chain them.
 2. Every set sends its prefix (as many shingles as it can't all miss in a partner) to index lists dealt by
    shingle. Lists are ordered by size; pairs are bounded by size and by position in both sets. A list of more than
    ``SHORT_LIST`` sets is only chained by size, never paired, and by the tasks that read the texts if it is long there already. Pairs of short lists whose parity bitmaps (one bit a
@@ -24,6 +25,7 @@ the least id mean nothing to it. An empty table gives no rows. Shingles are comp
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,8 @@ from .common import words as chunk_words
 
 WORDS = 5
 PERCENT = 80
-#: Cells of the table of counts (4 bytes each in a task, summed over all documents; one byte each is broadcast).
-CELL_BITS = 20
+#: Cells of the table of counts (4 bytes each in a task, packed before they are stored, summed over all documents; one byte each is broadcast).
+CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 #: Bytes of a bucket of index lists and of a bin of sets, about.
 BUCKET_BYTES, BIN_BYTES = 12 << 20, 8 << 20
@@ -123,8 +125,8 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def levels(counts: np.ndarray, mean: float) -> np.ndarray:
-    """How far a cell's count stands out from the mean of all cells: 0 for chance, to 15."""
-    over = (counts - mean) / (8 * math.sqrt(mean) + 8)
+    """How far a cell's count stands out from the mean of all cells: 0 for chance, to 15. A few cells in a hundred do by chance, which only orders them later."""
+    over = (counts - mean) / (2 * math.sqrt(mean) + 8)
     return np.where(over < 1, 0, np.minimum(15, 1 + np.log2(np.maximum(over, 1)))).astype(np.uint8)
 
 
@@ -157,12 +159,22 @@ def measure(docs: DataFrame) -> DataFrame:
                 rest = [pa.nulls(hi - lo, k) for k in kinds[6:]]
                 yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array(n), pa.array(one), pa.array(two), pa.array(parities(sets), pa.binary()), *rest], names)
         salt = pa.array([seen % FOLDS] * RANGES, pa.int32())
-        tables = pa.array([x.tobytes() for x in np.split(counts, RANGES)], pa.binary())
+        tables = pa.array([packed(x) for x in np.split(counts, RANGES)], pa.binary())
         yield pa.RecordBatch.from_arrays([*[pa.nulls(RANGES, k) for k in kinds[:6]], pa.array(np.arange(RANGES, dtype=np.int32)), salt, tables], names)
 
     return docs.mapInArrow(own, "doc_id long, hash long, n long, fp long, fp2 long, parity binary, part int, salt int, counts binary")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A range of counts in the narrowest type that holds them, compressed: a byte or less a cell that one task has counted."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())), 1)
+
+
+def unpacked(cell: bytes) -> np.ndarray:
+    raw = zlib.decompress(cell)
+    return np.frombuffer(raw, dtype=f"u{len(raw) * RANGES // CELLS}")
+
+
 def standing_out(measured: DataFrame, shingles: int) -> np.ndarray:
     """The level of each cell of the summed tables. Every range of cells is folded on its own, in ``FOLDS`` shares first; a byte a cell comes back."""
     mean = shingles / CELLS
@@ -171,11 +183,13 @@ def standing_out(measured: DataFrame, shingles: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, x in zip(batch["part"], batch["counts"], strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(x, dtype=np.uint32).astype(np.uint64)
+                if part not in total:
+                    total[part] = np.zeros(CELLS // RANGES, dtype=np.uint64)
+                total[part] += unpacked(x)
         return total
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(p, np.minimum(t, U64(2**32 - 1)).astype(np.uint32).tobytes()) for p, t in summed(batches).items()], columns=["part", "counts"])
+        yield pd.DataFrame([(p, packed(t)) for p, t in summed(batches).items()], columns=["part", "counts"])
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(p, levels(t, mean).tobytes()) for p, t in summed(batches).items()], columns=["part", "levels"])

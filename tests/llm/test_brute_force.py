@@ -344,3 +344,30 @@ def test_secret_spans_match_the_contract(spark, docs):
     got = {r["doc_id"]: r["s"] for r in got.select("doc_id", secrets.written(F.col("base_spans")).alias("s")).collect()}
     assert got == {d: ",".join(secrets_of(t or "")) for d, t in rows}
     assert sum(map(bool, got.values())) > 100
+
+
+def test_shared_passage_is_ordered_last_in_large_tables():
+    """A shingle whose list is long stands out from cells that hold 350 others by chance; else unrelated texts that share it are chained."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(350, ngram_join.CELLS // ngram_join.RANGES)
+    passage = rng.choice(len(counts), 200, replace=False)
+    counts[passage] += ngram_join.SHORT_LIST
+    level = ngram_join.levels(counts, 350.0)
+    assert (level[passage] > 0).mean() > 0.99 and (level > 0).mean() < 0.1
+    # such cells are those of 1.5 billion shingles, about ten billion bytes of text
+    assert round(1.5e9 / ngram_join.CELLS) in range(340, 380)
+
+
+def test_tables_of_counts_come_back_whole(spark):
+    n = ngram_join.CELLS // ngram_join.RANGES
+    for most in (0, 255, 256, 70_000, 5_000_000_000):
+        counts = np.arange(n, dtype=np.uint64) % 7
+        counts[3] = most
+        assert np.array_equal(ngram_join.unpacked(ngram_join.packed(counts)), counts)
+    words = [f"p{i}" for i in range(9)]
+    rows = [(i, None, " ".join([*words, *(f"u{i}x{k}" for k in range(30))])) for i in range(400)]
+    measured = ngram_join.measure(spark.createDataFrame(rows, "doc_id long, hash long, text string").repartition(3)).cache()
+    level = ngram_join.standing_out(measured, 400 * 35)
+    shared = ngram_join.shingle_sets(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))[0]
+    cells = (shared >> np.uint64(64 - ngram_join.CELL_BITS)).astype(np.int64)
+    assert len(shared) == 5 and (level[cells] > 0).all() and (level > 0).sum() == 5
