@@ -6,6 +6,8 @@ megabytes, so that a worker's memory does not depend on the partition or the bat
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,13 @@ def lean_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Gives back what the worker's earlier steps have freed: Spark reuses workers, and the C library keeps freed memory otherwise."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (give := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        give(0)
+
+
 def set_aside(docs: DataFrame, made: tuple[str, ...]) -> DataFrame:
     """Renames the columns that bear a name which an operator makes; :func:`put_back` restores them."""
     return docs.select(*[F.col(f"`{c}`").alias(f"__own_{c}") if c in made else F.col(f"`{c}`") for c in docs.columns])

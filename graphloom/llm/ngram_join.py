@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.components import components
 
-from .common import U64, forget, lean_batches, lowered, mix, stored, text_chunks
+from .common import U64, forget, lean_batches, lowered, mix, stored, text_chunks, trim
 from .common import words as chunk_words
 
 WORDS = 5
@@ -46,7 +46,7 @@ PERCENT = 80
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 #: Bytes of a bucket of index lists and of a bin of sets, about.
-BUCKET_BYTES, BIN_BYTES = 12 << 20, 8 << 20
+BUCKET_BYTES, BIN_BYTES = 6 << 20, 8 << 20
 #: A component whose sets take more than this is compared in parts, then by the parts' leaders.
 GIANT_BYTES = 24 << 20
 #: Rows of a (doc, set, component) table that are broadcast at most; beyond, texts are shuffled to it.
@@ -55,7 +55,8 @@ BROADCAST_ROWS = 400_000
 SHORT_LIST = 128
 #: Ranges of the table of counts that are folded apart, and shares in which a range is folded first.
 RANGES, FOLDS = 64, 16
-FLUSH_POSTINGS = 400_000
+#: Postings that a task holds at most, about, and bytes of text that it works on at a time.
+FLUSH_POSTINGS, STEP_BYTES = 150_000, 1 << 18
 
 FOLD = lowered()
 IS_WORD = np.ones(256, dtype=bool)
@@ -146,10 +147,11 @@ def measure(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         counts = np.zeros(CELLS, dtype=np.uint32)
         seen = 0
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(2)):
+            for lo, hi, data, offs in text_chunks(batch.column(2), STEP_BYTES):
                 sets = shingle_sets(data, offs)
                 n, one, two = fingerprints(sets)
                 for s in sets:
@@ -244,6 +246,7 @@ def posted(docs: DataFrame, level: np.ndarray, buckets: int) -> tuple[DataFrame,
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         seen: set[tuple[int, int]] = set()  # the sets of one input partition
         held: list[np.ndarray] = []
         size = 0
@@ -264,7 +267,7 @@ def posted(docs: DataFrame, level: np.ndarray, buckets: int) -> tuple[DataFrame,
             )
 
         for batch in batches:
-            for _, _, data, offs in text_chunks(batch.column(0)):
+            for _, _, data, offs in text_chunks(batch.column(0), STEP_BYTES):
                 sets = shingle_sets(data, offs)
                 n, one, two = fingerprints(sets)
                 for s, size_, fp, fp2 in zip(sets, n.tolist(), one.tolist(), two.tolist(), strict=True):
@@ -291,6 +294,7 @@ PAIR = "src long, src2 long, dst long, dst2 long, chain long"
 
 def connect(group: pa.Table) -> pa.Table:
     """Edges that connect the sets of each index list which may link; all steps are over whole columns."""
+    trim()
     flat = np.concatenate([np.empty(0, POSTING), *[np.frombuffer(x, dtype=POSTING) for x in group.column("cells").to_pylist() if x is not None]])
     chains = np.concatenate([np.empty(0, CHAIN), *[np.frombuffer(x, dtype=CHAIN) for x in group.column("chains").to_pylist() if x is not None]])
     keys = np.sort(flat["key"])
@@ -490,6 +494,7 @@ def joined(group: pa.Table) -> pa.Table:
 
     For sets of a part also ``src`` (set), ``dst`` (its leader), ``apart``, ``block`` and ``part``.
     """
+    trim()
     parts, out = group.column("part").to_pylist(), []
     blocks = group.column("block").to_pylist()
     for rows, ids, sets in by_block(group):
@@ -622,7 +627,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, level: np.ndarray, save, sent: lis
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column(len(columns))):
+            for lo, hi, data, offs in text_chunks(batch.column(len(columns)), STEP_BYTES):
                 sets = shingle_sets(data, offs)
                 _, one, two = fingerprints(sets)
                 part = batch.slice(lo, hi - lo)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -371,3 +373,24 @@ def test_tables_of_counts_come_back_whole(spark):
     shared = ngram_join.shingle_sets(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))[0]
     cells = (shared >> np.uint64(64 - ngram_join.CELL_BITS)).astype(np.int64)
     assert len(shared) == 5 and (level[cells] > 0).all() and (level > 0).sum() == 5
+
+
+def test_steps_of_the_join_take_little_memory():
+    """A bucket of lists and a flush of postings, at their usual sizes; two workers share an executor with Spark's heap."""
+    rng = np.random.default_rng(5)
+
+    def postings(n):
+        flat = np.zeros(n, ngram_join.POSTING)
+        flat["key"], flat["fp"] = rng.integers(0, n // 2, n), rng.integers(0, n // 50, n)
+        flat["fp2"], flat["n"] = flat["fp"], 300 + flat["fp"] % 200
+        return flat
+
+    bucket = postings(ngram_join.BUCKET_BYTES // ngram_join.POSTING.itemsize)
+    table = pa.table({"cells": pa.array([bucket.tobytes()], pa.binary()), "chains": pa.array([None], pa.binary())})
+    flush = postings(ngram_join.FLUSH_POSTINGS)
+    for step, most in ((lambda: ngram_join.connect(table), 40), (lambda: ngram_join.thinned(flush), 20)):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most
