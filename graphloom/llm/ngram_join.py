@@ -10,10 +10,11 @@ A text's set is its distinct five-word shingles. Two texts link at a Jaccard sim
    ``SHORT_LIST`` sets is only chained by size, never paired, and by the tasks that read the texts if it is long there already. Pairs of short lists whose parity bitmaps (one bit a
    hash class) differ in more places than linked sets can are cut. The components of these edges hold every link.
 3. Within a component's sets, leaders are indexed; lists are kept in blocks by position, and a block whose bound
-   fails is skipped. A set that links to a leader derives its answers from the leader's: by the triangle
-   inequality of the Jaccard distance only a leader within 0.4 can have members that link, and of those only
-   the ones far enough from it are compared. A component too large for a task is dealt in parts; then the parts'
-   leaders meet, and only members of leaders whose distance leaves a link open are compared across parts.
+   fails is skipped. Sets whose keys most others hold come first, so that a text leads its near copies; else copies that
+   differ among themselves would lead themselves, and meet pairwise. A set that links to a leader derives its answers from the
+   leader's: a set connected with the leader skips all members, and by the triangle inequality of the Jaccard distance
+   only members far enough from their leader are compared with others. A component too large for a task is dealt in parts; then the parts'
+   leaders meet, and only members of leaders whose distance leaves a link open are compared across parts, with all lone leaders at once.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a text of fewer than five words is one shingle, one without
 words has an empty set and links with nothing. A text longer than a chunk is taken in pieces. Null texts count as empty. Rows without a doc_id
@@ -361,27 +362,29 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("id_src", "id_dst", "chain", "n_src", "n_dst", "p_src", "p_dst").mapInArrow(own, "src long, dst long")
 
 
+def overlap(n: int, m: int, percent: int) -> int:
+    """Keys that sets of these sizes share at least at that similarity."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 class Blocks:
-    """Index lists of leaders, in blocks by position; a block keeps its least position and largest set."""
+    """Index lists of sets, in blocks by position; a block keeps the most keys that a set has left there, and its smallest set's size."""
 
     def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
-        self.widest = 0
+        self.lists: dict[int, dict[int, list]] = {}
 
-    def add(self, key: int, at: int, size: int, leader: int) -> None:
-        self.widest = max(self.widest, at.bit_length())
-        block = self.lists.setdefault(key << 5 | at.bit_length(), [at, size])
-        block[0], block[1] = min(block[0], at), max(block[1], size)
-        block.append(leader)
+    def add(self, keys: list[tuple[int, int]], size: int, name: int) -> None:
+        for at, key in keys:
+            block = self.lists.setdefault(key, {}).setdefault(at.bit_length(), [size - at, size, []])
+            block[0], block[1] = max(block[0], size - at), min(block[1], size)
+            block[2].append((name, size - at, size))
 
-    def reach(self, key: int, at: int, size: int, percent: int) -> Iterator[int]:
-        if 100 * (size - at) < percent * size:
-            return
-        for place in range(self.widest + 1):
-            block = self.lists.get(key << 5 | place)
-            # the overlap can't exceed what is left of either set
-            if block and 100 * (block[1] - block[0]) >= percent * size:
-                yield from block[2:]
+    def reach(self, keys: list[tuple[int, int]], size: int, percent: int) -> Iterator[int]:
+        """Sets that may be so similar to one of that size and those first keys; the overlap can't exceed what is left of either set."""
+        for at, key in keys:
+            for most, least, entries in self.lists.get(key, {}).values():
+                if min(most, size - at) >= overlap(size, least, percent):
+                    yield from (name for name, left, n in entries if min(left, size - at) >= overlap(size, n, percent))
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -393,12 +396,26 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def holdings(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set, how many of the sets hold each of its keys."""
+    if not sets:
+        return []
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    return np.split(times[at], np.cumsum([len(s) for s in sets])[:-1])
+
+
+def met_keys(keys: np.ndarray, held: np.ndarray, first: int) -> list[tuple[int, int]]:
+    """Positions and keys among so many first ones, without those that no other set has."""
+    at = np.flatnonzero(held[:first] > 1)
+    return list(zip(at.tolist(), keys[at].tolist(), strict=True))
+
+
 def local_links(sets: list[np.ndarray]) -> tuple[list[int], list[tuple[int, float]]]:
     """Index of a root for each set (sets that links connect have the same), and its leader with the distance to it.
 
     Exact; see the module's step 3. Every member of a leader links to it.
     """
-    near = 2 * PERCENT - 100  # a leader at this similarity can have members that link
+    slack = (100 - PERCENT) / 100
     root = list(range(len(sets)))
     led = [(i, 0.0) for i in range(len(sets))]
 
@@ -409,64 +426,71 @@ def local_links(sets: list[np.ndarray]) -> tuple[list[int], list[tuple[int, floa
         return x
 
     index = Blocks()
-    members: dict[int, list[tuple[float, int]]] = {}
-    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+    members: dict[int, Blocks] = {}
+    holders: dict[int, set[int]] = {}  # for a key, the leaders whose members have it in their prefix
+    held = holdings(sets)
+    # the text that a group's near copies were made from has the keys that most of them hold: first, it leads them all
+    for x in sorted(range(len(sets)), key=lambda i: -held[i].sum() / max(len(sets[i]), 1)):
         n = len(sets[x])
         if not n:
             continue
-        first = sets[x][: prefix(n, near)].tolist()
-        leaders = {y for at, key in enumerate(first) for y in index.reach(key, at, n, near) if 100 * len(sets[y]) >= near * n}
-        best, open_ = None, []
-        for y in leaders:
-            both = common(sets[x], sets[y])
-            union = n + len(sets[y]) - both
-            distance = 1 - both / union
-            if 100 * both >= PERCENT * union:
+        known: dict[int, tuple[bool, float]] = {}
+
+        def apart(y: int) -> tuple[bool, float]:
+            if y not in known:
+                both = common(sets[x], sets[y])  # noqa: B023
+                union = n + len(sets[y]) - both  # noqa: B023
+                known[y] = (100 * both >= PERCENT * union, 1 - both / union)  # noqa: B023
+            return known[y]  # noqa: B023
+
+        first = met_keys(sets[x], held[x], prefix(n))
+        best = None
+        for y in index.reach(first, n, PERCENT):
+            if find(y) != find(x) and apart(y)[0]:
                 root[find(x)] = find(y)
-                if best is None or distance < best[0]:
-                    best = (distance, y)
-            elif 100 * both >= near * union:
-                open_.append((distance, y))
-        for distance, y in open_:
-            for own, z in members[y]:
-                if find(z) == find(x):
-                    break  # all members of a leader are connected
-                if own + 1e-9 < distance - (100 - PERCENT) / 100:
-                    continue
-                both = common(sets[x], sets[z])
-                if 100 * both >= PERCENT * (n + len(sets[z]) - both):
+                if best is None or apart(y)[1] < best[0]:
+                    best = (apart(y)[1], y)
+        for y in sorted(set().union(*(holders[k] for _, k in first if k in holders))):
+            if find(y) == find(x):
+                continue  # all members of a leader are connected
+            for z in members[y].reach(first, n, PERCENT):
+                if led[z][1] + 1e-9 >= apart(y)[1] - slack and apart(z)[0]:
                     root[find(x)] = find(z)
                     break
-        if best is not None:
-            members[best[1]].append((best[0], x))
-            led[x] = (best[1], best[0])
+        if best is None:
+            index.add(first, n, x)
         else:
-            members[x] = []
-            for at, key in enumerate(first):
-                index.add(key, at, n, x)
+            led[x] = (best[1], best[0])
+            members.setdefault(best[1], Blocks()).add(first, n, x)
+            for _, key in first:
+                holders.setdefault(key, set()).add(best[1])
     return [find(x) for x in range(len(sets))], led
 
 
 def open_leaders(sets: list[np.ndarray], parts: list[int], radius: list[float]) -> list[tuple[int, int, float | None]]:
     """Pairs of leaders of different parts that link (distance None), or whose members may: (one, other, distance)."""
     slack = (100 - PERCENT) / 100
-    near = 100 - 3 * (100 - PERCENT)  # beyond it no members can link, as none is farther than a link from its leader
-    index, out = Blocks(), []
+    # no member is farther than a link from its leader, so members of both can link up to 3 times that, of one up to twice, and lone leaders only themselves
+    near = [100 - k * (100 - PERCENT) for k in (1, 2, 3)]
+    index, out = {(kind, share): Blocks() for kind in (0, 1) for share in near[kind : kind + 2]}, []
+    held = holdings(sets)
     for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n = len(sets[x])
-        first = sets[x][: prefix(n, near)].tolist()
-        for y in {y for at, key in enumerate(first) for y in index.reach(key, at, n, near)}:
-            if parts[x] == parts[y] or 100 * len(sets[y]) < near * n:
-                continue
-            both = common(sets[x], sets[y])
-            union = n + len(sets[y]) - both
-            distance = 1 - both / union
-            if 100 * both >= PERCENT * union:
-                out.append((x, y, None))
-            elif distance <= slack + radius[x] + radius[y] + 1e-9:
-                out.append((x, y, distance))
-        for at, key in enumerate(first):
-            index.add(key, at, n, x)
+        n, kind = len(sets[x]), int(radius[x] > 0)
+        for other in (0, 1):
+            share = near[kind + other]
+            first = met_keys(sets[x], held[x], prefix(n, share))
+            for y in set(index[other, share].reach(first, n, share)):
+                if parts[x] == parts[y]:
+                    continue
+                both = common(sets[x], sets[y])
+                union = n + len(sets[y]) - both
+                distance = 1 - both / union
+                if 100 * both >= PERCENT * union:
+                    out.append((x, y, None))
+                elif distance <= slack + radius[x] + radius[y] + 1e-9:
+                    out.append((x, y, distance))
+        for share in near[kind : kind + 2]:
+            index[kind, share].add(met_keys(sets[x], held[x], prefix(n, share)), n, x)
     return out
 
 
@@ -598,7 +622,9 @@ def across_parts(docs: DataFrame, wanted: DataFrame, links: DataFrame, level: np
         left = left.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"r_{c}")), c, "left")
         left = left.join(leaders.select(F.col("id").alias(c), F.col("radius").alias(f"radius_{c}")), c)
     left = left.where(F.coalesce("r_src", "src") != F.coalesce("r_dst", "dst"))
-    left = save(left.select("src", "dst", "apart", "radius_src", "radius_dst", F.xxhash64("src", "dst").alias("block")), "open")
+    # a leader's members meet all the lone leaders that are open with it at once: one copy of them, not one a pair
+    block = F.when(F.col("radius_src") == 0, F.xxhash64("dst")).when(F.col("radius_dst") == 0, F.xxhash64("src")).otherwise(F.xxhash64("src", "dst"))
+    left = save(left.select("src", "dst", "apart", "radius_src", "radius_dst", block.alias("block")), "open")
     sides = []
     for mine, other in (("src", "dst"), ("dst", "src")):
         reach = left.select(F.col(mine).alias("leader"), "block", (F.col("apart") - (100 - PERCENT) / 100 - F.col(f"radius_{other}") - 1e-9).alias("least"))

@@ -394,3 +394,43 @@ def test_steps_of_the_join_take_little_memory():
         peak = tracemalloc.get_traced_memory()[1] / 1e6
         tracemalloc.stop()
         assert peak < most
+
+
+def test_near_copies_of_one_text_are_compared_through_it(monkeypatch):
+    """Copies that mostly don't link among themselves don't each lead; texts just too far from them don't meet pairwise."""
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.choice(10**6, 300, replace=False)).astype(np.uint64) + np.uint64(10**9)
+
+    def copy(edits):
+        kept = base[np.sort(rng.permutation(len(base))[edits:])]
+        return np.unique(np.concatenate([rng.integers(0, 10**9, edits).astype(np.uint64), kept]))
+
+    sets = [copy(int(n)) for n in (*rng.integers(5, 33, 300), *rng.integers(38, 50, 150))] + [base]
+    calls = []
+    plain = ngram_join.common
+    monkeypatch.setattr(ngram_join, "common", lambda a, b: calls.append(1) or plain(a, b))
+    got, led = ngram_join.local_links(sets)
+    assert len(calls) < 4 * len(sets)
+    root = got[-1]
+    alike = [len(np.intersect1d(s, base)) for s in sets]
+    assert [r == root for r in got] == [100 * n >= 80 * (len(s) + 300 - n) for n, s in zip(alike, sets, strict=True)]
+    assert len(set(got)) == 151 and len({leader for leader, _ in led}) == 151
+
+
+def test_parts_copy_a_leaders_members_once(spark, monkeypatch):
+    """Lone leaders that are open with a leader meet its members at once, not pair by pair."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):  # lists of more than SHORT_LIST sets are chained
+        w = list(base)
+        for at in rng.sample(range(0, 150, 6), 2 if i % 2 else 5):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "GIANT_BYTES", 150_000)
+    fetched = []
+    plain = ngram_join.fetch
+    monkeypatch.setattr(ngram_join, "fetch", lambda docs, wanted, *rest: fetched.append(wanted.count()) or plain(docs, wanted, *rest))
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked(rows)
+    assert len(fetched) == 3 and 0 < fetched[2] < 6 * len(rows), fetched
