@@ -6,7 +6,8 @@ import uuid
 import pytest
 
 from graphloom.graph import ProjectedGraph
-from graphloom.operators import community, pieces
+from graphloom.operators import centrality, community, paths, pieces
+from graphloom.storage import Loop
 
 from .test_graph import scores
 
@@ -58,3 +59,41 @@ def test_louvain_in_pieces_is_that_of_the_rounds(mixed, whole, refine):
     got = scores(community.louvain(mixed, 2, 6, refine=refine))
     whole()
     assert got == scores(community.louvain(mixed, 2, 6, refine=refine))
+
+
+OPERATORS = {
+    "k_core": community.k_core,
+    "core_number": community.core_number,
+    "steiner_core": lambda g: community.steiner_core(g, [0, 9]),
+    "strong": lambda g: community.strongly_connected(g, 20),
+    "strong_whole": community.strongly_connected_kosaraju,
+    "labels": lambda g: community.label_propagation(g, max_iterations=4),
+    "bfs": lambda g: paths.bfs_distance(g, 3),
+    "closeness": centrality.closeness,
+    "harmonic": centrality.harmonic,
+    "simple_page_rank": centrality.simple_page_rank,
+    "personalised": lambda g: centrality.simple_page_rank(g, sources=[3, 149]),
+    "katz": centrality.katz,
+    "eigenvector": centrality.eigenvector,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_components_that_fit_a_task_take_no_rounds(mixed, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("a round over the cluster")
+
+    monkeypatch.setattr(Loop, "keep", never)
+    assert len(scores(OPERATORS[name](mixed))) == (16 if name == "steiner_core" else 150)
+
+
+@pytest.mark.parametrize("name", ["k_core", "labels", "strong", "closeness"])
+def test_pieces_give_what_rounds_give(mixed, whole, name):
+    got = scores(OPERATORS[name](mixed))
+    whole()
+    assert got == scores(OPERATORS[name](mixed))
+
+
+def test_betweenness_ships_no_graph(mixed, monkeypatch):
+    monkeypatch.setattr(centrality, "ADJACENCY_EDGES", 0)  # before, the whole graph went to every task or was refused
+    assert scores(centrality.betweenness(mixed))[0] > 0
