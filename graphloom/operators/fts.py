@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import check_stemmer, stem, stem_word, tokenize
-from ..storage import stored
+from ..storage import forget, stored
 
 #: Characters that documents and queries lose by default (queries keep the wildcards).
 IGNORE = "[0-9!@#$%^&*()_+={}\\[\\]:;<>,.?~\\/\\|'\"`-]+"
@@ -80,7 +80,9 @@ def _stop_frame(config: FtsConfig, df: DataFrame) -> DataFrame | None:
 
 
 def _postings(docs: DataFrame, columns: list[str], config: FtsConfig) -> DataFrame:
-    text = F.concat_ws(" ", *[F.col(c) for c in columns])
+    # documents are dealt by id once, so their words and stems fold without being shuffled one by one
+    docs = docs.select("id", F.concat_ws(" ", *[F.col(c) for c in columns]).alias("text")).repartition("id")
+    text = F.col("text")
     each = docs.select("id", F.explode(words(text, config.ignore_pattern, config.tokenizer)).alias("word"))
     stop = _stop_frame(config, docs)
     if stop is not None:
@@ -94,10 +96,15 @@ def _postings(docs: DataFrame, columns: list[str], config: FtsConfig) -> DataFra
 
 
 def _indexed(postings: DataFrame, config: FtsConfig) -> FtsIndex:
-    """Postings are kept in ranges of terms, sorted, so that a query's terms prune files and row groups of the scan."""
-    paths: list[str] = []
-    kept = stored(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings", paths)
-    lengths = stored(kept.groupBy("id").agg(F.sum("tf").alias("len")), "lengths", paths)
+    """Postings are kept in ranges of terms, sorted, so that a query's terms prune files and row groups of the scan.
+
+    They are stored before they are dealt in ranges, as the ranges' bounds take a pass of their own.
+    """
+    paths, passing = [], []
+    given = stored(postings, "given", passing)
+    lengths = stored(given.groupBy("id").agg(F.sum("tf").alias("len")), "lengths", paths)
+    kept = stored(given.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings", paths)
+    forget(postings.sparkSession, passing)
     counted = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = stored(counted.sortWithinPartitions("term"), "terms", paths)
     return FtsIndex(kept, lengths, terms, config, paths)
